@@ -56,3 +56,207 @@ def q_anomaly_features(spark, sf_dir):
 def q_latest_by_product(spark, sf_dir):
     """Last demand row per product."""
     return feat.latest_by_product(feat.demand_features(master_from_sf(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# KPIs and model-quality metrics
+
+from ..operators import kpis as K  # noqa: E402
+from ..operators import reports as R  # noqa: E402
+from .sql_ctes import r4  # noqa: E402
+
+
+def _master(spark, sf_dir):
+    return master_from_sf(spark, sf_dir)
+
+
+def _demand(spark, sf_dir):
+    return feat.demand_features(_master(spark, sf_dir))
+
+
+_SUMDEC = "COALESCE(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE), 0.0)"
+
+
+@register("kpis", with_ctes(f"""
+SELECT count(DISTINCT order_id) AS total_orders, count(DISTINCT product_id) AS total_products,
+  count(DISTINCT customer_id) AS total_customers,
+  floor({_SUMDEC} * 1e2 + 5e-1) / 1e2 AS total_revenue,
+  floor(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) / count(total_amount) * 1e2 + 5e-1)
+    / 1e2 AS average_order_value
+FROM master"""))
+def q_kpis(spark, sf_dir):
+    """A4: dashboard KPIs."""
+    return K.kpis(_master(spark, sf_dir))
+
+
+@register("top_categories", with_ctes(f"""
+SELECT category, floor(revenue * 1e2 + 5e-1) / 1e2 AS revenue FROM (
+  SELECT category, {_SUMDEC} AS revenue FROM master WHERE category IS NOT NULL GROUP BY category
+) ORDER BY revenue DESC, category LIMIT 5"""))
+def q_top_categories(spark, sf_dir):
+    """A5 + K2: top-5 categories by revenue."""
+    return K.top_categories(_master(spark, sf_dir), 5)
+
+
+@register("anomaly_label_rate", with_ctes(f"""
+SELECT CAST(COALESCE(sum(anomaly_flag), 0) AS BIGINT) AS labeled_anomaly_count,
+  {r4('avg(anomaly_flag)')} AS labeled_anomaly_rate FROM anom""", Q.ANOMALY))
+def q_anomaly_label_rate(spark, sf_dir):
+    """Labelled anomaly count and rate."""
+    return K.anomaly_label_rate(feat.anomaly_features(_master(spark, sf_dir)))
+
+
+_CLS_SQL = """
+SELECT tp, fp, fn, tn,
+  floor(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0.0 END * 1e4 + 5e-1) / 1e4 AS accuracy,
+  floor(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END * 1e4 + 5e-1) / 1e4 AS precision,
+  floor(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END * 1e4 + 5e-1) / 1e4 AS recall,
+  floor(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END * 1e4 + 5e-1) / 1e4 AS f1_score
+FROM (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y <> 1 AND p = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND p <> 1) AS fn, count(*) FILTER (WHERE y <> 1 AND p <> 1) AS tn
+      FROM (SELECT CAST(COALESCE(TRY_CAST(anomaly_flag AS DOUBLE), 0.0) AS INTEGER) AS y,
+                   CAST(COALESCE(TRY_CAST(promotion_flag AS DOUBLE), 0.0) AS INTEGER) AS p FROM anom))"""
+
+
+@register("classification_metrics", with_ctes(_CLS_SQL, Q.ANOMALY))
+def q_classification_metrics(spark, sf_dir):
+    """accuracy/precision/recall/F1 of a flag pair (label = anomaly_flag,
+    naive prediction = promotion_flag)."""
+    return K.classification_metrics(feat.anomaly_features(_master(spark, sf_dir)),
+                                    "anomaly_flag", "promotion_flag")
+
+
+@register("regression_metrics", with_ctes(f"""
+SELECT n AS rows_test,
+  floor(CASE WHEN syy - sy * sy / n > 0 THEN 1 - sse / (syy - sy * sy / n) END * 1e4 + 5e-1) / 1e4 AS r2_score,
+  {r4('sae / n')} AS mae, {r4('sse / n')} AS mse, {r4('sqrt(sse / n)')} AS rmse
+FROM (SELECT count(1) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - p) * (y - p)) AS sse,
+             sum(abs(y - p)) AS sae
+      FROM (SELECT CAST(target_demand AS DOUBLE) AS y, CAST(lag_1_sales AS DOUBLE) AS p FROM demand))
+""", Q.DAILY + "," + Q.DEMAND))
+def q_regression_metrics(spark, sf_dir):
+    """A10: R2/MAE/MSE/RMSE of the naive forecast (lag_1 vs target)."""
+    return K.regression_metrics(_demand(spark, sf_dir), "target_demand", "lag_1_sales")
+
+
+@register("row_counts", with_ctes("""
+SELECT 'master' AS "table", count(1) AS rows FROM master
+UNION ALL SELECT 'demand', count(1) FROM demand
+UNION ALL SELECT 'anomaly', count(1) FROM anom
+UNION ALL SELECT 'customers', count(1) FROM cust""",
+                                  Q.DAILY + "," + Q.DEMAND + "," + Q.ANOMALY + "," + Q.CUSTOMERS))
+def q_row_counts(spark, sf_dir):
+    """Rows of master, demand, anomaly and customer tables."""
+    m = _master(spark, sf_dir)
+    return K.row_counts(master=m, demand=feat.demand_features(m),
+                        anomaly=feat.anomaly_features(m), customers=feat.customer_features(m))
+
+
+# --------------------------------------------------------------------------
+# Report visuals
+
+
+def _grp_sql(key):
+    return with_ctes(f"""
+SELECT {key}, {_SUMDEC} AS revenue, sum(quantity) AS total_quantity, count(1) AS order_lines
+FROM master GROUP BY {key}""")
+
+
+@register("revenue_by_category", _grp_sql("category"))
+def q_revenue_by_category(spark, sf_dir):
+    """B1: revenue by category."""
+    return R.revenue_by_dimension(_master(spark, sf_dir), "category")
+
+
+@register("revenue_by_region", _grp_sql("order_region"))
+def q_revenue_by_region(spark, sf_dir):
+    """B1: revenue by order region."""
+    return R.revenue_by_dimension(_master(spark, sf_dir), "order_region")
+
+
+@register("monthly_revenue", with_ctes(f"""
+SELECT month_period, {_SUMDEC} AS revenue, count(DISTINCT order_id) AS orders
+FROM master GROUP BY month_period"""))
+def q_monthly_revenue(spark, sf_dir):
+    """B2: monthly revenue trend."""
+    return R.monthly_revenue(_master(spark, sf_dir))
+
+
+@register("product_demand", with_ctes(f"""
+SELECT product_id, sum(quantity) AS total_quantity, {r4('avg(price)')} AS avg_price,
+  {_SUMDEC} AS revenue FROM master GROUP BY product_id"""))
+def q_product_demand(spark, sf_dir):
+    """Quantity and price per product."""
+    return R.product_demand(_master(spark, sf_dir))
+
+
+@register("anomaly_by_region", with_ctes(f"""
+SELECT order_region, count(1) AS order_lines,
+  CAST(sum(COALESCE(CAST(anomaly_flag AS INTEGER), 0)) AS BIGINT) AS anomaly_lines,
+  {r4('avg(COALESCE(CAST(anomaly_flag AS INTEGER), 0))')} AS anomaly_rate,
+  {_SUMDEC} AS revenue,
+  COALESCE(CAST(sum(CAST(CASE WHEN COALESCE(CAST(anomaly_flag AS INTEGER), 0) = 1
+    THEN total_amount END AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS flagged_revenue
+FROM master GROUP BY order_region"""))
+def q_anomaly_by_region(spark, sf_dir):
+    """Anomaly lines, rate and revenue per region."""
+    return R.anomaly_by_region(_master(spark, sf_dir))
+
+
+@register("customers_by_flag_payment", with_ctes("""
+SELECT anomaly_flag, payment_method, count(DISTINCT customer_id) AS customers
+FROM master GROUP BY anomaly_flag, payment_method"""))
+def q_customers_by_flag_payment(spark, sf_dir):
+    """Customers by anomaly flag x payment method."""
+    return R.customers_by_flag_payment(_master(spark, sf_dir))
+
+
+@register("discount_by_category", with_ctes(f"""
+SELECT category, {r4('avg(discount_pct)')} AS avg_discount_pct FROM master GROUP BY category"""))
+def q_discount_by_category(spark, sf_dir):
+    """Mean discount by category."""
+    return R.discount_by_category(_master(spark, sf_dir))
+
+
+@register("customers_by_segment_region", with_ctes("""
+SELECT segment, customer_region, count(DISTINCT customer_id) AS customers
+FROM master GROUP BY segment, customer_region"""))
+def q_customers_by_segment_region(spark, sf_dir):
+    """Customers by segment x region."""
+    return R.customers_by_segment_region(_master(spark, sf_dir))
+
+
+@register("revenue_by_segment_brand", with_ctes(f"""
+SELECT segment, brand, {_SUMDEC} AS revenue FROM master GROUP BY segment, brand"""))
+def q_revenue_by_segment_brand(spark, sf_dir):
+    """Revenue by segment x brand."""
+    return R.revenue_by_segment_brand(_master(spark, sf_dir))
+
+
+@register("feature_summary", with_ctes(f"""
+SELECT category, {r4('avg(lag_1_sales)')} AS avg_lag_1, {r4('avg(rolling_avg_7)')} AS avg_rolling_7,
+  {r4('avg(margin_pct)')} AS avg_margin_pct, {r4('avg(discount_pct)')} AS avg_discount_pct,
+  sum(lag_7_sales) AS sum_lag_7, count(1) AS product_days
+FROM demand GROUP BY ROLLUP (category)""", Q.DAILY + "," + Q.DEMAND))
+def q_feature_summary(spark, sf_dir):
+    """Demand feature averages by category with a total row (rollup)."""
+    return R.feature_summary(_demand(spark, sf_dir))
+
+
+@register("revenue_ytd", with_ctes("""
+SELECT year, order_date, CAST(rev AS DOUBLE) AS revenue,
+  CAST(sum(rev) OVER (PARTITION BY year ORDER BY order_date
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS revenue_ytd
+FROM (SELECT year, order_date, sum(CAST(total_amount AS DECIMAL(18,2))) AS rev
+      FROM master WHERE order_date IS NOT NULL GROUP BY year, order_date)"""))
+def q_revenue_ytd(spark, sf_dir):
+    """Daily revenue with year-to-date running total."""
+    return R.revenue_ytd(_master(spark, sf_dir))
+
+
+@register("category_distribution", with_ctes(f"""
+SELECT category, order_lines, {r4('order_lines / sum(order_lines) OVER ()')} AS share
+FROM (SELECT category, count(1) AS order_lines FROM master GROUP BY category)"""))
+def q_category_distribution(spark, sf_dir):
+    """Category distribution with share."""
+    return R.category_distribution(_master(spark, sf_dir))
