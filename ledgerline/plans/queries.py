@@ -260,3 +260,199 @@ FROM (SELECT category, count(1) AS order_lines FROM master GROUP BY category)"""
 def q_category_distribution(spark, sf_dir):
     """Category distribution with share."""
     return R.category_distribution(_master(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Text, chunks, vectors, retrieval
+
+from ..adapter import products_table, read  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..functions.scalars import round_half_up  # noqa: E402
+from ..functions.vectors import DEFAULT_DIM, cosine  # noqa: E402
+from ..operators import retrieval as RT  # noqa: E402
+
+_KT_SQL = """
+'Product ID: ' || coalesce(nullif(trim(CAST(p_partkey AS VARCHAR)), ''), 'unknown')
+ || chr(10) || 'Product Name: ' || coalesce(nullif(trim(p_name), ''),
+                                             nullif(trim(CAST(p_partkey AS VARCHAR)), ''), 'unknown')
+ || chr(10) || 'Category: ' || coalesce(nullif(trim(p_type), ''), 'general')
+ || chr(10) || 'Brand: ' || coalesce(nullif(trim(p_brand), ''), 'generic')"""
+
+
+@register("knowledge_text", f"SELECT p_partkey AS product_id, trim({_KT_SQL}) AS knowledge_text FROM part")
+def q_knowledge_text(spark, sf_dir):
+    """Compact knowledge text per product."""
+    p = products_table(spark, sf_dir)
+    return p.select("product_id", TX.knowledge_text(available=set(p.columns)).alias("knowledge_text"))
+
+
+def _chunk_sql(table: str, id_col: str, text_col: str, size: int = 80, step: int = 70) -> str:
+    return f"""
+(SELECT {id_col}, {text_col} AS txt,
+        list_filter(regexp_split_to_array(coalesce({text_col}, ''), '{TX.WS_RE2}'), lambda x: x <> '') AS w
+ FROM {table})"""
+
+
+def _chunks_cte(name: str, table: str, id_col: str, text_col: str, size=80, step=70) -> str:
+    return f"""
+{name} AS (
+  SELECT {id_col}, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index,
+         unnest(chunks) AS content
+  FROM (SELECT {id_col},
+          CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+               WHEN len(w) <= {size} THEN [txt]
+               ELSE list_transform(range(0, 1 + CAST(ceil((len(w) - {size}) / {step}) AS INTEGER)),
+                                   lambda i: array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' '))
+          END AS chunks
+        FROM {_chunk_sql(table, id_col, text_col, size, step)})
+)"""
+
+
+@register("chunk_documents", "WITH " + _chunks_cte("dc", "documents", "doc_id", "text")
+          + "\nSELECT doc_id, chunk_index, content FROM dc")
+def q_chunk_documents(spark, sf_dir):
+    """80-word chunks with 10-word overlap over whole documents."""
+    return RT.document_chunks(read(spark, sf_dir, "documents"))
+
+
+@register("prepare_text", "WITH " + _chunks_cte("dc", "documents", "doc_id", "text") + f"""
+SELECT doc_id, chunk_index, prepared FROM (
+  SELECT doc_id, chunk_index,
+    array_to_string(list_filter(regexp_split_to_array(content, '{TX.WS_RE2}'), lambda x: x <> ''), ' ')
+      AS prepared FROM dc) WHERE prepared <> ''""")
+def q_prepare_text(spark, sf_dir):
+    """X4 + L7: white-space normalised chunk texts (whole chunks), blanks dropped."""
+    ch = RT.document_chunks(read(spark, sf_dir, "documents"))
+    out = ch.select("doc_id", "chunk_index",
+                    TX.prepare_text("content", max_chars=None).alias("prepared"))
+    return out.filter(F.col("prepared") != "")
+
+
+_PRODUCT_CHUNKS = f"""
+pk AS (SELECT p_partkey, coalesce(nullif(trim(CAST(p_partkey AS VARCHAR)), ''), 'unknown') AS product_id,
+              coalesce(nullif(trim(p_name), ''), coalesce(nullif(trim(CAST(p_partkey AS VARCHAR)), ''), 'unknown')) AS product_name,
+              coalesce(nullif(trim(p_type), ''), 'general') AS category,
+              coalesce(nullif(trim(p_brand), ''), 'generic') AS brand,
+              trim({_KT_SQL}) AS kt FROM part),
+{_chunks_cte("pkc", "pk", "p_partkey", "kt")},
+store AS (SELECT pk.product_id || '-' || CAST(pkc.chunk_index AS VARCHAR) AS id, pk.product_id,
+                 pk.product_name, pk.category, pk.brand, pkc.content, pkc.chunk_index,
+                 pk.p_partkey AS product_key
+          FROM pkc JOIN pk ON pkc.p_partkey = pk.p_partkey)"""
+
+
+@register("product_chunks", f"WITH {_PRODUCT_CHUNKS}\nSELECT * FROM store")
+def q_product_chunks(spark, sf_dir):
+    """Product knowledge chunks with ids "{product_id}-{index}"."""
+    return RT.product_chunks(products_table(spark, sf_dir))
+
+
+def _bucket_sql(text_expr: str, dim: int = DEFAULT_DIM) -> str:
+    return (f"list_transform(list_filter(regexp_split_to_array(lower(coalesce({text_expr}, '')), "
+            f"'[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), "
+            f"lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS INTEGER))")
+
+
+_SEARCH = f"""
+{_PRODUCT_CHUNKS},
+qs AS (SELECT conv_id, turn, text AS question FROM conversations
+       WHERE role = 'user'
+         AND len(list_filter(regexp_split_to_array(coalesce(text, ''), '{TX.WS_RE2}'), lambda x: x <> '')) > 0),
+qb AS (SELECT conv_id, turn, unnest({_bucket_sql("array_to_string(list_filter(regexp_split_to_array(question, '" + TX.WS_RE2 + "'), lambda x: x <> ''), ' ')")}) AS b FROM qs),
+qv AS (SELECT conv_id, turn, b, count(*) AS c FROM qb GROUP BY ALL),
+qn AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM qv GROUP BY ALL),
+sbk AS (SELECT id, unnest({_bucket_sql("array_to_string(list_filter(regexp_split_to_array(content, '" + TX.WS_RE2 + "'), lambda x: x <> ''), ' ')")}) AS b FROM store),
+sv AS (SELECT id, b, count(*) AS c FROM sbk GROUP BY ALL),
+sn AS (SELECT id, sqrt(sum(c * c)) AS n FROM sv GROUP BY ALL),
+dots AS (SELECT qv.conv_id, qv.turn, sv.id, CAST(sum(qv.c * sv.c) AS DOUBLE) AS d
+         FROM qv JOIN sv ON qv.b = sv.b GROUP BY ALL),
+scored AS (
+  SELECT qs.conv_id, qs.turn, s.*, 
+    CASE WHEN coalesce(qn.n, 0) > 0 AND coalesce(sn.n, 0) > 0
+         THEN coalesce(dots.d, 0.0) / (qn.n * sn.n) ELSE 0.0 END AS raw_score
+  FROM qs CROSS JOIN store s
+  LEFT JOIN qn ON qn.conv_id = qs.conv_id AND qn.turn = qs.turn
+  LEFT JOIN sn ON sn.id = s.id
+  LEFT JOIN dots ON dots.conv_id = qs.conv_id AND dots.turn = qs.turn AND dots.id = s.id),
+ranked AS (
+  SELECT *, floor(raw_score * 1e4 + 5e-1) / 1e4 AS score,
+    row_number() OVER (PARTITION BY conv_id, turn
+                       ORDER BY floor(raw_score * 1e4 + 5e-1) / 1e4 DESC, product_key, chunk_index) AS rank
+  FROM scored),
+top AS (SELECT * FROM ranked WHERE rank <= 3),
+hits AS (
+  SELECT * EXCLUDE (anyp), raw_score < 0.35 AS below_min_score FROM (
+    SELECT *, max(CAST(score >= 0.35 AS INTEGER)) OVER (PARTITION BY conv_id, turn) AS anyp FROM top)
+  WHERE score >= 0.35 OR anyp = 0)"""
+
+
+def _search_hits(spark, sf_dir):
+    store = RT.build_store(products_table(spark, sf_dir))
+    qs = RT.user_questions(read(spark, sf_dir, "conversations"))
+    qs = RT.embed_column(qs, "question", "qvec")
+    return qs, RT.search(qs, ["conv_id", "turn"], "qvec", store,
+                         s_order=["product_key", "chunk_index"], k=TX.TOP_K,
+                         min_score=TX.MIN_SCORE)
+
+
+@register("vector_search", f"WITH {_SEARCH}\nSELECT * FROM hits")
+def q_vector_search(spark, sf_dir):
+    """X5-X8 + J4 + W5: exact top-3 product chunks for every user question."""
+    return _search_hits(spark, sf_dir)[1]
+
+
+@register("support_context", f"""WITH {_SEARCH},
+src AS (SELECT conv_id, turn,
+          list(struct_pack(rank := rank, product_id := product_id, product_name := product_name,
+                           content := content, score := score) ORDER BY rank) AS src
+        FROM hits GROUP BY conv_id, turn)
+SELECT qs.conv_id, qs.turn, qs.question,
+  CASE WHEN src.src IS NULL THEN '{RT.NO_CHUNKS_ANSWER}'
+       WHEN trim(coalesce(src.src[1].content, '')) = '' THEN '{RT.EMPTY_CONTENT_ANSWER}'
+       ELSE 'Based on the retrieved product knowledge for '
+            || coalesce(nullif(src.src[1].product_name, ''), nullif(src.src[1].product_id, ''), 'the matched product')
+            || ' (' || coalesce(nullif(src.src[1].product_id, ''), 'the matched product')
+            || '), the available information is: ' || trim(coalesce(src.src[1].content, '')) END AS answer,
+  coalesce(list_transform(src.src, lambda x: x.product_id), []) AS source_ids,
+  coalesce(list_transform(src.src, lambda x: x.score), []) AS source_scores,
+  coalesce(trim(array_to_string(list_transform(list_filter(src.src, lambda x: coalesce(x.content, '') <> ''),
+            lambda x: 'Source ' || CAST(x.rank AS VARCHAR) || ':' || chr(10) || x.content), chr(10) || chr(10))), '')
+    AS context,
+  '{RT.RETRIEVAL_SOURCE}' AS retrieval_source,
+  CASE WHEN src.src IS NULL THEN '{RT.NO_HITS_ERROR}' END AS retrieval_error,
+  CASE WHEN src.src IS NULL THEN 'not_called' ELSE 'context_fallback' END AS llm_source,
+  'support_agent' AS agent
+FROM qs LEFT JOIN src ON qs.conv_id = src.conv_id AND qs.turn = src.turn""")
+def q_support_context(spark, sf_dir):
+    """Support answers built from the retrieved context (no model call)."""
+    qs, hits = _search_hits(spark, sf_dir)
+    out = RT.support_context(qs.drop("qvec"), hits, ["conv_id", "turn"])
+    # flat arrays instead of array<struct> so results compare across engines
+    return out.select(*[c for c in out.columns if c != "sources"],
+                      F.transform("sources", lambda x: x["product_id"]).alias("source_ids"),
+                      F.transform("sources", lambda x: x["score"]).alias("source_scores"))
+
+
+@register("cosine", """
+WITH p AS (SELECT label, min(vec_id) AS proto_id, arg_min(embedding, vec_id) AS pe
+           FROM embeddings GROUP BY label),
+x AS (SELECT e.vec_id, e.label, p.proto_id, e.embedding AS a, p.pe AS b FROM embeddings e
+      JOIN p ON e.label = p.label),
+y AS (SELECT vec_id, label, proto_id, a, b,
+        list_reduce(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * CAST(b[i] AS DOUBLE)), lambda s, v: s + v) AS d,
+        sqrt(list_reduce(list_transform(a, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda s, v: s + v)) AS na,
+        sqrt(list_reduce(list_transform(b, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda s, v: s + v)) AS nb
+      FROM x)
+SELECT vec_id, label, proto_id,
+  floor(CASE WHEN len(a) > 0 AND len(b) > 0 AND len(a) = len(b) AND na <> 0 AND nb <> 0
+             THEN d / (na * nb) ELSE 0.0 END * 1e4 + 5e-1) / 1e4 AS cosine
+FROM y""")
+def q_cosine(spark, sf_dir):
+    """Cosine of every stored vector with its label's prototype
+    (the label's lowest vec_id); joined on label, no pairs."""
+    e = read(spark, sf_dir, "embeddings")
+    proto = e.groupBy("label").agg(F.min("vec_id").alias("proto_id"),
+                                   F.min_by("embedding", "vec_id").alias("pe"))
+    j = e.join(proto, "label")
+    return j.select("vec_id", "label", "proto_id",
+                    round_half_up(cosine("embedding", "pe"), 4).alias("cosine"))
