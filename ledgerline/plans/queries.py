@@ -456,3 +456,163 @@ def q_cosine(spark, sf_dir):
     j = e.join(proto, "label")
     return j.select("vec_id", "label", "proto_id",
                     round_half_up(cosine("embedding", "pe"), 4).alias("cosine"))
+
+
+# --------------------------------------------------------------------------
+# Cleaning, validation, header repair
+
+from ..adapter import customers_table, orders_table  # noqa: E402
+from ..operators import cleaning as CL  # noqa: E402
+from ..operators import quality as QL  # noqa: E402
+from ..operators.master import build_master  # noqa: E402
+
+
+@register("clean_products", """
+SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, category, brand, base_price,
+       COALESCE(TRY_CAST(price AS DOUBLE), 0.0) AS price, size
+FROM (SELECT *, row_number() OVER (PARTITION BY CAST(product_id AS VARCHAR) ORDER BY product_id) AS rn
+      FROM (SELECT p_partkey AS product_id, COALESCE(p_name, 'unknown') AS product_name,
+                   COALESCE(p_type, 'unknown') AS category, COALESCE(p_brand, 'unknown') AS brand,
+                   p_retailprice AS base_price, p_retailprice AS price, p_size AS size FROM part))
+WHERE rn = 1""")
+def q_clean_products(spark, sf_dir):
+    """A12 + F1/F4: cleaned products, first row per product_id."""
+    p = products_table(spark, sf_dir)
+    return CL.clean_products(p, order_key=F.col("product_id"))
+
+
+@register("clean_customers", with_ctes("""
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, customer_name, location,
+       COALESCE(region, 'unknown') AS region, COALESCE(segment, 'unknown') AS segment
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY customer_id) AS rn
+      FROM customers_c) WHERE rn = 1"""))
+def q_clean_customers(spark, sf_dir):
+    """A12 + F4: cleaned customers, first row per customer_id."""
+    c = customers_table(spark, sf_dir)
+    return CL.clean_customers(c, order_key=F.col("customer_id"))
+
+
+@register("clean_orders", with_ctes("""
+SELECT order_id, product_id, customer_id, order_date, quantity, price, total_amount, discount_pct,
+       promotion_flag, channel, payment_method, shipping_status, region, anomaly_flag
+FROM (SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id,
+             CAST(customer_id AS VARCHAR) AS customer_id, order_date,
+             COALESCE(TRY_CAST(quantity AS DOUBLE), 1.0) AS quantity, price, total_amount,
+             discount_pct, promotion_flag, channel, payment_method, shipping_status, region,
+             anomaly_flag,
+             row_number() OVER (PARTITION BY CAST(order_id AS VARCHAR) ORDER BY line_key) AS rn
+      FROM orders_c
+      WHERE COALESCE(TRY_CAST(quantity AS DOUBLE), 1.0) > 0 AND order_date IS NOT NULL)
+WHERE rn = 1"""))
+def q_clean_orders(spark, sf_dir):
+    """A12 + L1 + L2: cleaned orders, first line per order_id."""
+    return CL.clean_orders(orders_table(spark, sf_dir)).drop("line_key")
+
+
+@register("quarantine", with_ctes(f"""
+SELECT order_id, product_id, customer_id, quantity, price, discount_pct, promotion_flag,
+  errors, len(errors) = 0 AS is_valid
+FROM (SELECT *, list_filter([
+    CASE WHEN TRY_CAST(quantity AS DOUBLE) IS NULL OR TRY_CAST(quantity AS DOUBLE) <= 0 THEN '{QL.MSG_QUANTITY}' END,
+    CASE WHEN TRY_CAST(price AS DOUBLE) IS NULL OR TRY_CAST(price AS DOUBLE) <= 0 THEN '{QL.MSG_PRICE}' END,
+    CASE WHEN COALESCE(TRY_CAST(discount_pct AS DOUBLE), 0.0) < 0 THEN '{QL.MSG_DISCOUNT}' END,
+    CASE WHEN COALESCE(TRY_CAST(promotion_flag AS DOUBLE), 0.0) NOT IN (0.0, 1.0) THEN '{QL.MSG_PROMOTION}' END
+  ], lambda x: x IS NOT NULL) AS errors
+  FROM master)"""))
+def q_quarantine(spark, sf_dir):
+    """Every order line with its validation errors and a valid flag."""
+    m = master_from_sf(spark, sf_dir).select(
+        "order_id", "product_id", "customer_id", "quantity", "price", "discount_pct",
+        "promotion_flag")
+    return QL.quarantine(m)
+
+
+@register("normalize_columns", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
+def q_normalize_columns(spark, sf_dir):
+    """Master built from tables with messy headers (spaces, case,
+    dashes, 'Qty', 'Unit Price', 'Date') must equal the clean master."""
+    o = orders_table(spark, sf_dir)
+    o = o.withColumnsRenamed({"order_id": " Order_ID ", "product_id": "Product-ID",
+                              "customer_id": "CustomerID", "quantity": "Qty",
+                              "price": "Unit Price", "order_date": "Date",
+                              "total_amount": "Total_Amount"})
+    p = products_table(spark, sf_dir).withColumnRenamed("product_id", "Product_ID ")
+    c = customers_table(spark, sf_dir).withColumnRenamed("customer_id", "Customer ID")
+    return build_master(p, c, o).select(*MASTER_COLUMNS)
+
+
+# --------------------------------------------------------------------------
+# Logs, sinks and sources
+
+from ..sources import io as IO  # noqa: E402
+from ..sources import logs as LG  # noqa: E402
+
+
+@register("recent_logs", """
+SELECT event_type, event_id, ts AS created_at, user_id, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rn FROM events)
+WHERE rn <= 20""")
+def q_recent_logs(spark, sf_dir):
+    """Newest 20 documents per collection (events as log)."""
+    ev = read(spark, sf_dir, "events").withColumnRenamed("ts", "created_at")
+    return LG.recent(ev, 20, "created_at", ["event_id"], per=["event_type"]).select(
+        "event_type", "event_id", "created_at", "user_id", "value", "props")
+
+
+@register("upsert", """
+WITH ex AS (SELECT user_id, count(*) AS n_events, max(ts) AS last_ts FROM events
+            WHERE event_type <> 'purchase' GROUP BY user_id),
+u AS (SELECT user_id, n_events, last_ts, last_ts AS updated_at FROM (
+        SELECT user_id, CAST(1 AS BIGINT) AS n_events, ts AS last_ts,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+        FROM events WHERE event_type = 'purchase') WHERE rn = 1)
+SELECT user_id, n_events, last_ts, CAST(NULL AS TIMESTAMP) AS updated_at FROM ex
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = ex.user_id)
+UNION ALL SELECT * FROM u""")
+def q_upsert(spark, sf_dir):
+    """Upsert per-user activity docs with purchase events (last wins)."""
+    ev = read(spark, sf_dir, "events")
+    existing = ev.filter(F.col("event_type") != "purchase").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last_ts"))
+    updates = ev.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.lit(1).cast("long").alias("n_events"), F.col("ts").alias("last_ts"),
+        "event_id")
+    out = LG.upsert(existing, updates, ["user_id"], ["last_ts", "event_id"],
+                    updated_at=F.col("last_ts"))
+    return out.select("user_id", "n_events", "last_ts", "updated_at")
+
+
+@register("preview_master", with_ctes(
+    f"SELECT {', '.join(MASTER_COLUMNS)} FROM master ORDER BY line_key LIMIT 5"))
+def q_preview_master(spark, sf_dir):
+    """First five master rows in order-file order."""
+    m = master_from_sf(spark, sf_dir)
+    return LG.preview(m, 5, ["line_key"]).select(*MASTER_COLUMNS)
+
+
+@register("curated_roundtrip", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
+def q_curated_roundtrip(spark, sf_dir):
+    """S3 + S4: master written partitioned by year, read back whole."""
+    path = IO.unique_scratch(spark, "curated-master")
+    IO.write_curated(master_from_sf(spark, sf_dir), path, partition_by=["year"])
+    back = IO.read_curated(spark, path)
+    return back.select(*MASTER_COLUMNS)
+
+
+@register("report_export", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
+def q_report_export(spark, sf_dir):
+    """Master exported to a reporting CSV and read back with its schema."""
+    m = master_from_sf(spark, sf_dir).select(*MASTER_COLUMNS)
+    src = IO.unique_scratch(spark, "curated-master")
+    IO.write_curated(m, src)
+    out = IO.export_report_csv(spark, src, IO.unique_scratch(spark, "report-csv"))
+    return spark.read.schema(m.schema).option("header", True).csv(out)
+
+
+@register("log_append")
+def q_log_append(spark, sf_dir):
+    """S10 + G4: KPI rows appended to an analytics log collection, read back."""
+    path = IO.unique_scratch(spark, "analytics-log")
+    docs = LG.as_log_documents(K.kpis(master_from_sf(spark, sf_dir)), "analytics")
+    LG.append_log(docs, path)
+    return spark.read.parquet(path)
