@@ -102,6 +102,17 @@ def classification_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     )
 
 
+def anomaly_metrics(scored: DataFrame, label: str, pred: str) -> DataFrame:
+    """A8 + A9 in one pass: predicted counts/rate and label metrics."""
+    c = classification_metrics(scored, label, pred)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return c.select(
+        n.alias("rows_total"), (F.col("tp") + F.col("fp")).alias("anomaly_count"),
+        (F.col("fn") + F.col("tn")).alias("normal_count"),
+        F.coalesce(F.try_divide(F.col("tp") + F.col("fp"), n), F.lit(0.0)).alias("anomaly_rate"),
+        F.lit(label).alias("label_column"), "accuracy", "precision", "recall", "f1_score")
+
+
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     """A10: R^2, MAE, MSE, RMSE in one pass (sums of squares)."""
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")

@@ -616,3 +616,163 @@ def q_log_append(spark, sf_dir):
     docs = LG.as_log_documents(K.kpis(master_from_sf(spark, sf_dir)), "analytics")
     LG.append_log(docs, path)
     return spark.read.parquet(path)
+
+
+# --------------------------------------------------------------------------
+# Models: demand forecast, isolation forest, customer segments
+
+from ..models import clustering as CM  # noqa: E402
+from ..models import demand as DM  # noqa: E402
+from ..models import isoforest as IF  # noqa: E402
+
+
+def _requests(spark, sf_dir):
+    """Forecast requests: every catalogue product for the day after the
+    last order (derived from the data, grows with it)."""
+    last = read(spark, sf_dir, "orders").select(F.max("o_orderdate")).scalar()
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("product_id"),
+        F.date_format(F.date_add(F.to_date(last), 1), "yyyy-MM-dd").alias("forecast_date"))
+
+
+_REQ_SQL = """
+req AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+               strftime(CAST((SELECT max(o_orderdate) FROM orders) AS DATE) + INTERVAL 1 DAY, '%Y-%m-%d')
+                 AS forecast_date FROM part),
+latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
+           (PARTITION BY product_id ORDER BY order_date DESC) AS rn FROM demand) WHERE rn = 1)"""
+
+
+@register("forecast_inputs", with_ctes("""
+SELECT r.product_id, r.forecast_date, l.category, l.brand, l.order_region, l.customer_region,
+  l.channel, l.segment, l.price, COALESCE(l.base_price, l.price, 0.0) AS base_price,
+  CAST(month(CAST(r.forecast_date AS DATE)) AS INTEGER) AS order_month,
+  CAST(isodow(CAST(r.forecast_date AS DATE)) - 1 AS INTEGER) AS order_weekday,
+  CAST((isodow(CAST(r.forecast_date AS DATE)) - 1) IN (5, 6) AS INTEGER) AS is_weekend,
+  l.quantity AS lag_1_sales, l.lag_7_sales, l.rolling_avg_7, l.discount_pct,
+  CAST(l.promotion_flag AS INTEGER) AS promotion_flag, l.purchase_frequency, l.margin_pct,
+  l.popularity_score
+FROM req r JOIN latest l ON r.product_id = CAST(l.product_id AS VARCHAR)""",
+                                       Q.DAILY + "," + Q.DEMAND + "," + _REQ_SQL))
+def q_forecast_inputs(spark, sf_dir):
+    """J5 + M12: forecast feature rows (latest demand row per requested product)."""
+    latest = feat.latest_by_product(_demand(spark, sf_dir))
+    return DM.forecast_inputs(_requests(spark, sf_dir), latest)
+
+
+@register("unknown_products", with_ctes("""
+SELECT r.product_id, r.forecast_date, 'Unknown product_id: ' || r.product_id AS error
+FROM req r WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE CAST(l.product_id AS VARCHAR) = r.product_id)""",
+                                        Q.DAILY + "," + Q.DEMAND + "," + _REQ_SQL))
+def q_unknown_products(spark, sf_dir):
+    """Forecast requests for products without any demand row."""
+    latest = feat.latest_by_product(_demand(spark, sf_dir))
+    return DM.unknown_products(_requests(spark, sf_dir), latest)
+
+
+@register("split_demand", with_ctes("""
+SELECT product_id, order_date,
+  CASE WHEN CAST(('0x' || substr(md5(CAST(product_id AS VARCHAR) || '|' ||
+       strftime(order_date, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 100 AS INTEGER) < 20
+       THEN 'test' ELSE 'train' END AS split
+FROM demand""", Q.DAILY + "," + Q.DEMAND))
+def q_split_demand(spark, sf_dir):
+    """M3: deterministic 80/20 train/test split of the demand rows."""
+    d = _demand(spark, sf_dir).select("product_id", "order_date")
+    return DM.split(d, ["product_id", "order_date"], 20)
+
+
+_MODEL_CACHE: dict = {}
+
+
+def _demand_model(spark, sf_dir):
+    key = ("demand", sf_dir)
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = DM.train(_demand(spark, sf_dir), DM.DemandConfig.quick())
+    return _MODEL_CACHE[key]
+
+
+@register("demand_model")
+def q_demand_model(spark, sf_dir):
+    """M1-M4: random-forest demand model; test-split metrics (quick config)."""
+    return _demand_model(spark, sf_dir)[2]
+
+
+@register("forecast")
+def q_forecast(spark, sf_dir):
+    """Predicted demand for every forecast request."""
+    model, modes, _ = _demand_model(spark, sf_dir)
+    latest = feat.latest_by_product(_demand(spark, sf_dir))
+    inputs = DM.forecast_inputs(_requests(spark, sf_dir), latest)
+    return DM.predict(model, inputs, modes)
+
+
+def _forest(spark, sf_dir):
+    key = ("iforest", sf_dir)
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = IF.fit(feat.anomaly_features(_master(spark, sf_dir)),
+                                   feat.ANOMALY_FEATURES,
+                                   key=["order_id", "product_id", "customer_id", "quantity",
+                                        "total_amount"])
+    return _MODEL_CACHE[key]
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    """M5-M7: isolation-forest score and flag of every order line."""
+    return _forest(spark, sf_dir)[1]
+
+
+@register("anomaly_metrics")
+def q_anomaly_metrics(spark, sf_dir):
+    """A8 + A9 on the isolation-forest flags against the labels."""
+    scored = _forest(spark, sf_dir)[1]
+    return K.anomaly_metrics(scored, "anomaly_flag", "anomaly_pred")
+
+
+@register("score_transactions")
+def q_score_transactions(spark, sf_dir):
+    """M8 + L8: batch scoring of valid transactions (order lines as requests)."""
+    model = _forest(spark, sf_dir)[0]
+    tx = master_from_sf(spark, sf_dir).select("order_id", "quantity", "price", "discount_pct",
+                                              "promotion_flag")
+    valid, _bad = QL.split_valid(tx)
+    return IF.score_transactions(model, valid)
+
+
+def _segments(spark, sf_dir):
+    key = ("kmeans", sf_dir)
+    cust = feat.customer_features(_master(spark, sf_dir))
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = CM.fit(cust, k=3, n_init=20, seed=42)
+    return _MODEL_CACHE[key], cust
+
+
+@register("customer_segments")
+def q_customer_segments(spark, sf_dir):
+    """Customers with their k-means cluster."""
+    model, cust = _segments(spark, sf_dir)
+    return model.predict(cust)
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    """A7 + K3: customers per cluster."""
+    model, cust = _segments(spark, sf_dir)
+    return K.cluster_sizes(model.predict(cust))
+
+
+@register("cluster_quality")
+def q_cluster_quality(spark, sf_dir):
+    """Silhouette (squared Euclidean) of the segmentation."""
+    model, cust = _segments(spark, sf_dir)
+    return CM.silhouette(model, cust)
+
+
+@register("segment_overview")
+def q_segment_overview(spark, sf_dir):
+    """Total customers and the first ten segment rows."""
+    model, cust = _segments(spark, sf_dir)
+    seg = model.predict(cust)
+    total = seg.select(F.count(F.lit(1))).scalar()
+    return seg.orderBy("customer_id").limit(10).withColumn("total_customers", total)

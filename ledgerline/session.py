@@ -26,9 +26,15 @@ BASE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "ledgerline") -> SparkSession:
-    """Return (or create) a session with the library's base settings."""
+              app_name: str = "ledgerline", driver_memory: str | None = "8g") -> SparkSession:
+    """Return (or create) a session with the library's base settings.
+
+    ``driver_memory`` only applies when this call starts the JVM (local
+    runs); on a cluster the launcher sizes the processes.
+    """
     builder = SparkSession.builder.appName(app_name)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
