@@ -35,7 +35,7 @@ def _c(col) -> Column:
 def words(col) -> Column:
     """Whitespace tokens of a text (empty array for null/blank)."""
     parts = F.split(F.coalesce(_c(col), F.lit("")), WS_JAVA)
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(parts, "")
 
 
 def chunk_params(size: int = CHUNK_SIZE_WORDS, overlap: int = CHUNK_OVERLAP_WORDS):
@@ -55,15 +55,22 @@ def chunk_text(col, size: int = CHUNK_SIZE_WORDS, overlap: int = CHUNK_OVERLAP_W
     The whole text is chunked; nothing is cut off.
     """
     size, step = chunk_params(size, overlap)
-    w = words(col)
-    n = F.size(w)
-    n_chunks = F.lit(1) + F.ceil((n - F.lit(size)) / F.lit(step)).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(0), n_chunks - 1),
-        lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
-    return (F.when(n == 0, F.array().cast("array<string>"))
-             .when(n <= size, F.array(_c(col)))
-             .otherwise(windows))
+    text = _c(col)
+
+    def per_text(w):
+        # ``w`` is a lambda variable: the split runs once per text, not once
+        # per chunk (an expression referenced inside a lambda is re-evaluated
+        # on every call).
+        n = F.size(w)
+        n_chunks = F.lit(1) + F.ceil((n - F.lit(size)) / F.lit(step)).cast("int")
+        windows = F.transform(
+            F.sequence(F.lit(0), n_chunks - 1),
+            lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        return (F.when(n == 0, F.array().cast("array<string>"))
+                 .when(n <= size, F.array(text))
+                 .otherwise(windows))
+
+    return F.transform(F.array(words(text)), per_text)[0]
 
 
 def prepare_text(col, max_chars: int | None = MAX_TEXT_CHARS) -> Column:

@@ -8,8 +8,6 @@ reproduce the same vectors; vectors hold integer counts, so dot products
 and norms are exact.
 """
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ def _c(col) -> Column:
 
 def tokens(col) -> Column:
     parts = F.split(F.lower(F.coalesce(_c(col), F.lit(""))), TOKEN_SPLIT_JAVA)
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(parts, "")
 
 
 def token_buckets(col, dim: int = DEFAULT_DIM) -> Column:
@@ -35,11 +33,24 @@ def token_buckets(col, dim: int = DEFAULT_DIM) -> Column:
                          F.lit(dim)).cast("int"))
 
 
+def bucket_counts(buckets, dim: int = DEFAULT_DIM) -> Column:
+    """Dense ``array<double>`` of counts per bucket (Arrow UDF, numpy
+    ``bincount`` per row; one Python call per batch of rows)."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def _counts(col: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=dim)
+                          .astype(np.float64) if b is not None else np.zeros(dim)
+                          for b in col])
+
+    return _counts(_c(buckets))
+
+
 def hash_embedding(col, dim: int = DEFAULT_DIM) -> Column:
     """Dense ``array<double>`` of token counts per bucket."""
-    b = token_buckets(col, dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+    return bucket_counts(token_buckets(col, dim), dim)
 
 
 def dot(a, b) -> Column:
