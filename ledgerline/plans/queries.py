@@ -776,3 +776,75 @@ def q_segment_overview(spark, sf_dir):
     seg = model.predict(cust)
     total = seg.select(F.count(F.lit(1))).scalar()
     return seg.orderBy("customer_id").limit(10).withColumn("total_customers", total)
+
+
+# --------------------------------------------------------------------------
+# Vector store sink/source, training run, dashboard, prompts, streaming
+
+from ..operators import dashboard as DB  # noqa: E402
+from ..plans.training import train_all  # noqa: E402
+from ..streaming.scoring import StreamPaths, run_available_now  # noqa: E402
+
+
+@register("build_store")
+def q_build_store(spark, sf_dir):
+    """X5 + X6 + S8: product knowledge store (chunks + embeddings) written
+    as parquet and read back."""
+    path = IO.unique_scratch(spark, "vector-store")
+    IO.write_store(RT.build_store(products_table(spark, sf_dir)), path)
+    return IO.load_store(spark, path)
+
+
+_EMB_SQL = ("list_transform(range(" + str(DEFAULT_DIM) + "), lambda i: CAST(len(list_filter(bk, "
+            "lambda x: x = i)) AS DOUBLE))")
+
+
+@register("load_store", f"""WITH {_PRODUCT_CHUNKS},
+sb AS (SELECT *, {_bucket_sql("array_to_string(list_filter(regexp_split_to_array(content, '" + TX.WS_RE2 + "'), lambda x: x <> ''), ' ')")} AS bk
+       FROM store WHERE len(list_filter(regexp_split_to_array(content, '{TX.WS_RE2}'), lambda x: x <> '')) > 0)
+SELECT id, product_id, product_name, category, brand, content, {_EMB_SQL} AS embedding FROM sb""")
+def q_load_store(spark, sf_dir):
+    """The store written as JSON lines and loaded back with its schema."""
+    path = IO.unique_scratch(spark, "vector-store-jsonl")
+    st = RT.build_store(products_table(spark, sf_dir)).select(*[f.name for f in IO.STORE_SCHEMA])
+    st.write.mode("overwrite").json(path)
+    return IO.load_store(spark, path, fmt="jsonl")
+
+
+@register("training_summary")
+def q_training_summary(spark, sf_dir):
+    """M14 + S5 + S7 + G1: the whole training run; its summary record."""
+    out = IO.unique_scratch(spark, "training")
+    raw_p, raw_c, raw_o = products_table(spark, sf_dir), customers_table(spark, sf_dir), \
+        orders_table(spark, sf_dir)
+    return train_all(spark, raw_p, raw_c, raw_o, out, DM.DemandConfig.quick(),
+                     forest_trees=200, kmeans_restarts=20)
+
+
+@register("dashboard")
+def q_dashboard(spark, sf_dir):
+    """KPIs, top categories, label rate and cluster sizes in one row."""
+    m = _master(spark, sf_dir)
+    model, cust = _segments(spark, sf_dir)
+    return DB.dashboard(m, feat.anomaly_features(m), model.predict(cust))
+
+
+@register("prompts")
+def q_prompts(spark, sf_dir):
+    """Sales prompts for every forecast (forecast record as JSON)."""
+    return DB.sales_prompts(q_forecast(spark, sf_dir))
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """R1 + R2: order lines streamed as transactions through validation
+    and isolation-forest scoring into an append-only log table."""
+    base = IO.unique_scratch(spark, "stream")
+    paths = StreamPaths(f"{base}/source", f"{base}/scored", f"{base}/quarantine",
+                        f"{base}/checkpoints")
+    tx = master_from_sf(spark, sf_dir).select(
+        F.col("order_id").cast("string").alias("order_id"), "quantity", "price",
+        "discount_pct", F.col("promotion_flag").cast("int").alias("promotion_flag"))
+    tx.write.mode("overwrite").parquet(paths.source)
+    run_available_now(spark, _forest(spark, sf_dir)[0], paths)
+    return spark.read.parquet(paths.scored)
