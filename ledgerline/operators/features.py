@@ -120,6 +120,9 @@ def demand_features(master: DataFrame, exclude_current: bool = False,
 def customer_features(master: DataFrame) -> DataFrame:
     """A2 + A3 + F10: one row per customer."""
     m = master.filter(F.col("customer_id").isNotNull())
+    # Scalar subquery: over a materialised master table (the training job
+    # writes and re-reads it) this reads one column; over a lazy plan it
+    # re-runs that plan once.
     latest = master.select(F.max("order_date")).scalar()
     per_order = m.groupBy("customer_id", "order_id").agg(
         F.sum(F.col("total_amount").cast("decimal(18,2)")).alias("spend"),
