@@ -848,3 +848,9 @@ def q_stream_scoring(spark, sf_dir):
     tx.write.mode("overwrite").parquet(paths.source)
     run_available_now(spark, _forest(spark, sf_dir)[0], paths)
     return spark.read.parquet(paths.scored)
+
+
+@register("analytics_prompt")
+def q_analytics_prompt(spark, sf_dir):
+    """The analytics prompt with the dashboard record as JSON."""
+    return DB.analytics_prompt(q_dashboard(spark, sf_dir))
