@@ -69,8 +69,15 @@ def demand_daily(master: DataFrame) -> DataFrame:
         F.coalesce(avg4("price"), F.lit(0.0)).alias("price"),
         F.coalesce(avg4("base_price"), F.lit(0.0)).alias("base_price"),
     ]
-    aggs += [F.coalesce(first_by_order(c, key), F.lit("unknown")).alias(c)
-             for c in DEMAND_TEXT_COLUMNS]
+    nullable = {f.name: f.nullable for f in master.schema.fields}
+    if not any(nullable.get(c, True) for c in DEMAND_TEXT_COLUMNS):
+        # No nulls to skip (the master table fills them): one struct minimum
+        # led by the row-order key picks the first line's values for all six
+        # columns with one aggregation buffer instead of six.
+        aggs.append(F.min(F.struct(key.alias("__k"), *DEMAND_TEXT_COLUMNS)).alias("__first"))
+    else:
+        aggs += [F.coalesce(first_by_order(c, key), F.lit("unknown")).alias(c)
+                 for c in DEMAND_TEXT_COLUMNS]
     aggs += [
         F.coalesce(avg4("discount_pct"), F.lit(0.0)).alias("discount_pct"),
         F.coalesce(F.max("promotion_flag"), F.lit(0)).alias("promotion_flag"),
@@ -78,7 +85,14 @@ def demand_daily(master: DataFrame) -> DataFrame:
         F.coalesce(avg4("margin_pct"), F.lit(0.0)).alias("margin_pct"),
         F.coalesce(avg4("popularity_score"), F.lit(0.0)).alias("popularity_score"),
     ]
-    return m.groupBy("product_id", "order_date").agg(*aggs)
+    out = m.groupBy("product_id", "order_date").agg(*aggs)
+    if "__first" in out.columns:
+        out = out.select(*[F.col(f"__first.{c}").alias(c) if c in DEMAND_TEXT_COLUMNS else c
+                           for c in ["product_id", "order_date", "quantity", "total_amount",
+                                     "price", "base_price", *DEMAND_TEXT_COLUMNS,
+                                     "discount_pct", "promotion_flag", "purchase_frequency",
+                                     "margin_pct", "popularity_score"]])
+    return out
 
 
 def add_demand_windows(daily: DataFrame, exclude_current: bool = False) -> DataFrame:
