@@ -22,6 +22,12 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # AQE sizes reduce partitions from the shuffle statistics; the advisory
+    # size keeps a partition well inside an executor's execution memory and
+    # splits skewed ones (a key with a third of the rows) for joins.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.files.maxPartitionBytes": "128m",
 }
 
 

@@ -29,6 +29,8 @@ def test_training_run_summary(spark):
     assert "demand_forecasting" in back.columns
     # The forest round-trips
     f = IF.IsolationForestModel.load(spark, f"{out}/models/anomaly_model")
+    dm, modes = DM.load(spark, f"{out}/models/demand_model")
+    assert set(modes) == set(DM.DEMAND_CATEGORICAL)
     assert f.threshold is not None and len(f.nodes) > 0
 
 
@@ -55,3 +57,10 @@ def test_stream_scoring_and_quarantine(spark):
         .parquet(paths.source)
     run_available_now(spark, model, paths)
     assert sorted(r["order_id"] for r in spark.read.parquet(paths.scored).collect()) == ["a", "b", "d"]
+
+
+def test_demand_model_roundtrip_and_missing(spark):
+    import pytest
+    from ledgerline.sources.io import ModelNotFoundError
+    with pytest.raises(ModelNotFoundError):
+        DM.load(spark, IO.unique_scratch(spark, "no-model"))
