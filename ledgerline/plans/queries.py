@@ -854,3 +854,28 @@ def q_stream_scoring(spark, sf_dir):
 def q_analytics_prompt(spark, sf_dir):
     """The analytics prompt with the dashboard record as JSON."""
     return DB.analytics_prompt(q_dashboard(spark, sf_dir))
+
+
+@register("embedding_search", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                  sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+           FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, s.vec_id,
+            CASE WHEN len(q.v) > 0 AND len(q.v) = len(s.v) AND q.n > 0 AND s.n > 0
+                 THEN list_dot_product(q.v, s.v) / (q.n * s.n) ELSE 0.0 END AS raw
+          FROM e q CROSS JOIN e s),
+ranked AS (SELECT query_id, vec_id, floor(raw * 1e4 + 5e-1) / 1e4 AS score,
+             row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1e4 + 5e-1) / 1e4 DESC, vec_id) AS rank
+           FROM pairs),
+top AS (SELECT * FROM ranked WHERE rank <= 3)
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT *, max(CAST(score >= 0.35 AS INTEGER)) OVER (PARTITION BY query_id) AS anyp FROM top)
+WHERE score >= 0.35 OR anyp = 0""")
+def q_embedding_search(spark, sf_dir):
+    """X8 over the given vector table: exact top-3 neighbours of every
+    stored vector (blocked search, no cross join)."""
+    e = read(spark, sf_dir, "embeddings")
+    qs = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    hits = RT.search(qs, ["query_id"], "qvec", e.select("vec_id", "embedding"),
+                     s_order=["vec_id"], k=TX.TOP_K, min_score=TX.MIN_SCORE)
+    return hits.select("query_id", "vec_id", "score", "rank")
