@@ -128,10 +128,11 @@ def revenue_ytd(master: DataFrame, **slicers) -> DataFrame:
 def category_distribution(master: DataFrame, **slicers) -> DataFrame:
     """Lines per category and their share of all lines.
 
-    The share window spans the grouped rows only (one per category).
+    The total is a scalar subquery (no unpartitioned window, which would
+    move every group into one task).
     """
     m = apply_slicers(master, **slicers)
     g = m.groupBy("category").agg(F.count(F.lit(1)).alias("order_lines"))
-    total = F.sum("order_lines").over(Window.partitionBy())
+    total = g.select(F.sum("order_lines")).scalar()
     return g.select("category", "order_lines",
                     round_half_up(F.col("order_lines") / total, 4).alias("share"))

@@ -879,3 +879,9 @@ def q_embedding_search(spark, sf_dir):
     hits = RT.search(qs, ["query_id"], "qvec", e.select("vec_id", "embedding"),
                      s_order=["vec_id"], k=TX.TOP_K, min_score=TX.MIN_SCORE)
     return hits.select("query_id", "vec_id", "score", "rank")
+
+
+@register("demand_features_matrix")
+def q_demand_features_matrix(spark, sf_dir):
+    """M1: imputed + encoded + assembled model inputs of every demand row."""
+    return DM.feature_matrix(_demand(spark, sf_dir))
