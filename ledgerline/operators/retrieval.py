@@ -16,11 +16,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import blank_to_default, round_half_up
+from ..functions.scalars import blank_to_default
 from ..functions.text import (CHUNK_OVERLAP_WORDS, CHUNK_SIZE_WORDS, EMBED_BATCH_SIZE,
                               MIN_SCORE, TOP_K, chunk_text, knowledge_text, prepare_text,
                               words)
