@@ -133,3 +133,23 @@ def test_embed_with_pluggable_and_count_check(spark):
         raise AssertionError("expected failure")
     except Exception as e:  # noqa: BLE001
         assert "Embedding count mismatch" in str(e)
+
+
+def test_chunk_random_texts_match_rule(spark):
+    """Randomised: many texts with mixed blanks (incl. Unicode spaces) and
+    several size/overlap settings, checked in one job against the rule."""
+    rng = np.random.RandomState(11)
+    blanks = [" ", "  ", "\t", "\n", " ", " ", "　", " \r\n "]
+    cases = []
+    for i in range(150):
+        n = int(rng.choice([0, 1, 5, 19, 20, 21, 79, 80, 81, 139, 150, 151, 170, 400]))
+        words = [f"w{j}{'é' * (j % 3)}" for j in range(n)]
+        text = "".join(w + blanks[rng.randint(len(blanks))] for w in words)
+        if rng.rand() < 0.3:
+            text = blanks[rng.randint(len(blanks))] + text
+        cases.append((i, text))
+    df = spark.createDataFrame(cases, "id int, t string")
+    for size, ov in [(80, 10), (20, 5), (25, 25), (30, 0)]:
+        got = {r["id"]: r["c"] for r in df.select("id", chunk_text("t", size, ov).alias("c")).collect()}
+        for i, t in cases:
+            assert got[i] == ref_chunks(t, size, ov), (i, size, ov)
