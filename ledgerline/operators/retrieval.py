@@ -215,11 +215,13 @@ NO_HITS_ERROR = "No relevant product knowledge found in the local vector store."
 RETRIEVAL_SOURCE = "local_vector_store"
 
 
-def support_context(questions: DataFrame, hits: DataFrame, q_key: list[str]) -> DataFrame:
+def support_context(questions: DataFrame, hits: DataFrame, q_key: list[str],
+                    stamp: bool = False) -> DataFrame:
     """Per question the sources, context text and fallback answer.
 
     ``hits`` is the output of :func:`search`.  Sources are gathered with
-    ``collect_list`` per question, which holds at most k rows.
+    ``collect_list`` per question, which holds at most k rows.  ``stamp``
+    adds the result record's ``created_at`` (left out of oracle checks).
     """
     src = hits.groupBy(*q_key).agg(F.array_sort(F.collect_list(F.struct(
         F.col("rank"), F.col("product_id").cast("string").alias("product_id"),
@@ -252,4 +254,5 @@ def support_context(questions: DataFrame, hits: DataFrame, q_key: list[str]) ->
         F.when(~has, F.lit(NO_HITS_ERROR)).alias("retrieval_error"),
         F.when(has, F.lit("context_fallback")).otherwise(F.lit("not_called")).alias("llm_source"),
         F.lit("support_agent").alias("agent"),
+        *([F.current_timestamp().alias("created_at")] if stamp else []),
     )
