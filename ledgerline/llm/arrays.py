@@ -154,3 +154,82 @@ def digest128(values: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128(values.tobytes()).digest()
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the concatenated ranges ``starts[i] .. starts[i] + lengths[i]``."""
+    total = int(lengths.sum())
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+class Ragged:
+    """Lists of different lengths in one flat array."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, np.asarray(lengths, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    @classmethod
+    def of(cls, lists: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(lists), np.uint8), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def take(self, which: np.ndarray) -> Ragged:
+        lengths = self.lengths[which]
+        return Ragged(self.flat[ragged(self.starts[which], lengths)], lengths)
+
+    def grouped(self, counts: np.ndarray) -> Ragged:
+        """Join every ``counts[i]`` consecutive lists into one."""
+        edge = np.concatenate([[0], np.cumsum(self.lengths)])
+        return Ragged(self.flat, np.diff(edge[np.concatenate([[0], np.cumsum(counts)])]))
+
+    def __add__(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.lengths, other.lengths]))
+
+
+class SpanTable:
+    """What ``make`` says about distinct byte spans, kept over the slices.
+
+    ``make(spans)`` returns Ragged columns with one list per span.  Spans are
+    told apart by a 64-bit hash.  Beyond ``limit`` spans the table starts
+    afresh, so its memory is bounded.
+    """
+
+    def __init__(self, make, limit: int = 400_000):
+        self.make, self.limit = make, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows, self.columns = np.empty(0, np.uint64), np.empty(0, np.int64), None
+
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[Ragged]]:
+        """Row of every span, and the columns."""
+        keys, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.searchsorted(self.keys, keys)
+            new = np.ones(len(keys), bool)
+            there = at < len(self.keys)
+            new[there] = self.keys[at[there]] != keys[there]
+            if len(self.keys) == 0 or len(self.keys) + new.sum() <= self.limit:
+                break
+            self.clear()
+        if new.any() or self.columns is None:
+            raw = buf.tobytes()
+            made = self.make([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            rows = len(self.keys) + np.arange(int(new.sum()))
+            self.rows = np.insert(self.rows, at[new], rows)
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.columns = made if self.columns is None else [a + b for a, b in zip(self.columns, made)]
+            at = np.searchsorted(self.keys, keys)
+        return self.rows[at][which], self.columns
+
+
+def per_worker(key, make):
+    """``make()``, kept in the Python worker for its later tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
