@@ -105,11 +105,13 @@ def _byte_codes(seed: int) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hash of every byte span, equal for equal bytes wherever they stand."""
+    """64-bit hash of every span (bytes or code points), equal for equal
+    content wherever it stands."""
     up, down = _powers(len(buf) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_byte_codes(seed)[buf] * up[:len(buf)], out=total[1:], dtype=np.uint64)
+        codes = _byte_codes(seed)[buf] if buf.dtype == np.uint8 else mix64(buf + np.uint64(seed << 32)) | np.uint64(1)
+        np.cumsum(codes * up[:len(buf)], out=total[1:], dtype=np.uint64)
         value = (total[ends] - total[starts]) * down[starts]
         return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

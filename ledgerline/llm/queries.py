@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan
+from . import byte_bpe, license_scan, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"),
                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def id_remainder(column: str, modulus: int):
+    return F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % modulus
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(id_remainder("doc_id", 3) != 1))
+    return model.score(documents).select(
+        "doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # tokenised once; the group count and the placement both read the copy
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("word_bpe_49k.json")).checkpoint()
+    return packing.pack(pieces)
