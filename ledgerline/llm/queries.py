@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, multiprobe, norm_search, packing, toxicity
+from . import byte_bpe, license_scan, multiprobe, norm_search, packing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op4_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+# (host, path, verdict) of the registered query
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.decide(table(spark, sf_dir, "pages"), rules)
