@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, license_scan, multiprobe, norm_search, packing, suffix_dedup, toxicity, url_filter
+from . import byte_bpe, jaccard_join, license_scan, maxent_lm, multiprobe, norm_search, packing, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), min_length=200).drop("spans")
+
+
+@query("op6_maxent_lm")
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
