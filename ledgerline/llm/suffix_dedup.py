@@ -265,18 +265,21 @@ def keep_characters(raw: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, gram: int = 32,
-          group_bytes: int = 1 << 20, task_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if
-    wanted, the text that is left."""
+          group_bytes: int = 1 << 20, task_bytes: int = 1 << 20, with_text: bool = False,
+          carry: list[str] | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans; the text
+    that is left (a character cut by a span stays whole) if wanted; and
+    ``row``, a struct of the columns to ``carry`` along."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"),
+                      *([F.struct(*carry).alias("row")] if carry else []))
     keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(-1)))
     spans = repeated_spans(keyed.select("doc", "th", "text"), min_length, min(gram, min_length), group_bytes, task_bytes)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text_, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "spans"))):
+            out: dict[str, list] = {c: [] for c in types}
+            for text_, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 raw = text_.encode()
                 merged = merge_spans([(s["first"], s["past"]) for s in found or []])
                 digest, at = hashlib.sha256(), 0
@@ -284,18 +287,25 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
-                row = {"doc_id": doc_id, "n_bytes": len(raw), "n_removed": sum(b - a for a, b in merged),
-                       "n_spans": len(merged), "kept_sha256": digest.hexdigest(),
-                       "spans": [{"first": a, "past": b} for a, b in merged]}
+                out["n_bytes"].append(len(raw))
+                out["n_removed"].append(sum(b - a for a, b in merged))
+                out["n_spans"].append(len(merged))
+                out["kept_sha256"].append(digest.hexdigest())
+                out["spans"].append([{"first": a, "past": b} for a, b in merged])
                 if with_text:
-                    row["text"] = keep_characters(raw, merged)
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                        ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)]
-                       + [("text", pa.string())] * with_text)
-    return keyed.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-                "spans array<struct<first:long,past:long>>" + ", text string" * with_text)
+                    out["text"].append(keep_characters(raw, merged))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *(pa.array(out[c], t) for c, t in types.items()), *([batch["row"]] if carry else [])],
+                names=["doc_id", *types, *(["row"] if carry else [])])
+
+    types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(),
+             "spans": pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))}
+    schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+              "spans array<struct<first:long,past:long>>")
+    if with_text:
+        types["text"] = pa.string()
+        schema += ", text string"
+    if carry:
+        schema += ", row " + keyed.schema["row"].dataType.simpleString()
+    joined = keyed.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans", *(["row"] if carry else []))
+    return joined.mapInArrow(finish, schema)

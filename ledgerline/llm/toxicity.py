@@ -229,6 +229,21 @@ class Model:
         return rows.mapInArrow(run, "doc_id long, score double")
 
 
+    def reject(self, df: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+        """The rows, whole, whose score is below the threshold."""
+        automaton, base, window, strength = Automaton(self.terms), self.base, self.window, self.strength
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, words, hits, keys in find(batches, automaton, window, text_col):
+                clean = np.full(len(rows), 1.0 - base)
+                text = np.searchsorted(words.first, hits, "right") - 1
+                for d, key in set(zip(text.tolist(), keys.tolist())):
+                    clean[d] *= 1.0 - strength(key)
+                yield rows.filter(pa.array(1.0 - clean < threshold))
+
+        return df.mapInArrow(run, df.schema)
+
+
 def prior(key: int) -> tuple[float, float]:
     """Pseudo-counts (toxic, clean) of a kind of hit."""
     errors, in_quotes = key // 2 % 3, key % 2
@@ -242,10 +257,10 @@ def prior_share(key: int) -> float:
     return a / (a + b)
 
 
-def find(batches, automaton: Automaton, window: int):
+def find(batches, automaton: Automaton, window: int, text_col: str = "text"):
     """(rows, words, hits, keys) per slice; key = 2 * (3 * term + errors) + quoted."""
-    for rows, _, _ in A.slices(batches, "text", 1 << 20):
-        words = read_words(rows.column(rows.schema.get_field_index("text")).to_pylist())
+    for rows, _, _ in A.slices(batches, text_col, 1 << 20):
+        words = read_words(rows.column(rows.schema.get_field_index(text_col)).to_pylist())
         hits, kinds = automaton.match(words)
         yield rows, words, hits, 2 * kinds.astype(np.int64) + quoted(words, hits, window)
 
