@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import jaccard_join, packing, suffix_dedup, toxicity
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import checkpointed, ensure_checkpoint_dir
 
 TOXIC_FROM = 0.7
 SHINGLE_WORDS = 5
@@ -42,8 +42,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.join(docs, width=SHINGLE_WORDS, threshold=SIMILARITY).where("doc_id is not null")
-    by_id = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"),
-                                        F.count("*").alias("rows")).checkpoint()
+    by_id = checkpointed(found.groupBy("doc_id").agg(
+        F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")))
     kept = docs.join(by_id.where("not stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     again = by_id.where("stays and rows > 1").select("doc_id")
     if again.isEmpty():
@@ -63,7 +63,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=SEQUENCE_TOKENS)
-    return packing.pack(pieces.checkpoint(), max_tokens=SEQUENCE_TOKENS)
+    return packing.pack(checkpointed(pieces), max_tokens=SEQUENCE_TOKENS)
 
 
 STAGES = [

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def _star(both: DataFrame, lowest: DataFrame) -> DataFrame:
     return both.join(lowest, "u")
@@ -36,14 +38,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ignored.
     """
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct().checkpoint())
+         .where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct())
+    e = checkpointed(e)
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(e)
     while before[0]:
-        e = _small(_large(e)).checkpoint()
+        e = checkpointed(_small(_large(e)))
         after = state(e)
         if after == before:
             break

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import arrays as A
 
 ANCHOR = "h long, fp long, start long, n long, at long"
@@ -178,7 +179,7 @@ def _index(regions: DataFrame, length: int, group_bytes: int, task_bytes: int) -
     while True:
         sizes = regions.groupBy("key").agg(F.sum("c").alias("all_c"), (F.min("own") != F.max("own")).alias("mixed"),
                                            F.sum(F.length("region")).alias("bytes"))
-        judged = regions.join(sizes, "key").where("all_c > 1").checkpoint()
+        judged = checkpointed(regions.join(sizes, "key").where("all_c > 1"))
         total = judged.where(f"mixed and bytes <= {group_bytes}").agg(F.sum(F.length("region"))).first()[0] or 0
         tasks = max(1, -(-total // task_bytes))
         whole = judged.where("not mixed and c = 1").select("h", "fp", F.col("shift").alias("a"),
@@ -192,7 +193,7 @@ def _index(regions: DataFrame, length: int, group_bytes: int, task_bytes: int) -
         hot = judged.where(f"mixed and bytes > {group_bytes}").select(*(x.split()[0] for x in REGION.split(", ")))
         if hot.isEmpty():
             return found
-        regions = hot.mapInArrow(split, REGION).checkpoint()
+        regions = checkpointed(hot.mapInArrow(split, REGION))
 
 
 def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, task_bytes: int) -> DataFrame:
@@ -211,7 +212,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
 
     everywhere = texts.select("doc", "th", "text").mapInArrow(anchors, "doc long, th long, " + ANCHOR)
     again = everywhere.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
-    shared = everywhere.join(again, "h", "left_semi").checkpoint()
+    shared = checkpointed(everywhere.join(again, "h", "left_semi"))
     entries = shared.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "th", "start")).alias("one"),
                                             F.first("n").alias("n"), F.first("at").alias("at"))
     several = entries.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
@@ -232,8 +233,8 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
                         for x in REGION.split(", ")])
     wanted = mixed.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "fp", "c", "start", "n", "at")).alias("wanted"))
     # repeated rows cut the same regions: one of each stays
-    regions = (texts.join(wanted, ["doc", "th"]).select("text", "wanted").mapInArrow(cut, REGION)
-               .dropDuplicates(["h", "fp"]).checkpoint())
+    regions = checkpointed(texts.join(wanted, ["doc", "th"]).select("text", "wanted").mapInArrow(cut, REGION)
+                           .dropDuplicates(["h", "fp"]))
     partly = _index(regions, length, group_bytes, task_bytes)
     copied = entries.where("c > 1").select("h", "fp", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
     ranges = shared.select("doc", "th", "h", "fp", "start").join(copied.unionByName(partly), ["h", "fp"])

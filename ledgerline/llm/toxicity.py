@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import arrays as A
 
 # Seed terms known without labels; marks and words that report
@@ -363,7 +364,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows))
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # at most max_fit_rows ids: a bounded broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").checkpoint()
+    sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _lexicon(batches, min_contexts, evidence, max_terms)
