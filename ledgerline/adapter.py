@@ -15,6 +15,10 @@ Mapping (fixed choices of this adapter):
   shipping_status = l_linestatus, anomaly_flag = (l_returnflag = 'R')
   products  = part (p_type is the category, p_retailprice the base price)
   customers = customer JOIN nation JOIN region (segment = c_mktsegment)
+  margin_pct = p_size / 2, popularity_score = p_partkey % 100 / 4,
+  purchase_frequency = c_custkey % 13, age = 18 + c_custkey % 60,
+  discount_sensitivity = c_custkey % 11 / 8 (exact in binary, so that sums
+  do not depend on the order of the rows)
 Row order of the order table (used for pandas-style ``first``) is the
 lexicographic order of ``line_key``.
 """
@@ -99,6 +103,12 @@ def products_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("base_price"),
         F.col("p_retailprice").alias("price"),
         F.col("p_size").alias("size"),
+        F.rtrim(F.repeat(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("")),
+                         F.lit(12) + F.col("p_size").cast("int") % 9)).alias("product_description"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("returns within "), F.col("p_size").cast("string"),
+                                                     F.lit(" days"))).alias("return_policy"),
+        (F.col("p_size") * F.lit(0.5)).alias("margin_pct"),
+        (F.col("p_partkey") % 100 * F.lit(0.25)).alias("popularity_score"),
     )
 
 
@@ -114,6 +124,9 @@ def customers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("location"),
         F.col("r_name").alias("region"),
         F.col("c_mktsegment").alias("segment"),
+        (F.col("c_custkey") % 13 * F.lit(1.0)).alias("purchase_frequency"),
+        (F.col("c_custkey") % 60 + F.lit(18.0)).alias("age"),
+        (F.col("c_custkey") % 11 * F.lit(0.125)).alias("discount_sensitivity"),
     )
 
 
@@ -144,12 +157,16 @@ orders_c AS (
 ),
 products_c AS (
   SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
-         p_brand AS brand, p_retailprice AS base_price, p_retailprice AS price, p_size AS size
+         p_brand AS brand, p_retailprice AS base_price, p_retailprice AS price, p_size AS size,
+         CAST(p_size * 5e-1 AS DOUBLE) AS margin_pct,
+         CAST(p_partkey % 100 * 25e-2 AS DOUBLE) AS popularity_score
   FROM part
 ),
 customers_c AS (
   SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, n.n_name AS location,
-         r.r_name AS region, c.c_mktsegment AS segment
+         r.r_name AS region, c.c_mktsegment AS segment,
+         CAST(c.c_custkey % 13 AS DOUBLE) AS purchase_frequency, CAST(c.c_custkey % 60 + 18 AS DOUBLE) AS age,
+         CAST(c.c_custkey % 11 * 125e-3 AS DOUBLE) AS discount_sensitivity
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
@@ -167,9 +184,10 @@ master AS (
          COALESCE(p.category, 'general') AS category,
          COALESCE(p.brand, 'generic') AS brand,
          COALESCE(p.base_price, COALESCE(o.price, 0.0)) AS base_price,
-         0.0 AS margin_pct, 0.0 AS popularity_score,
+         COALESCE(p.margin_pct, 0.0) AS margin_pct, COALESCE(p.popularity_score, 0.0) AS popularity_score,
          COALESCE(c.segment, 'general') AS segment,
-         0.0 AS purchase_frequency, 0.0 AS age, 0.0 AS discount_sensitivity,
+         COALESCE(c.purchase_frequency, 0.0) AS purchase_frequency, COALESCE(c.age, 0.0) AS age,
+         COALESCE(c.discount_sensitivity, 0.0) AS discount_sensitivity,
          'unknown' AS preferred_channel,
          COALESCE(c.region, 'unknown') AS customer_region,
          COALESCE(o.region, 'unknown') AS order_region,

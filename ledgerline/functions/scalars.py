@@ -33,11 +33,19 @@ def to_text(col, default: str) -> Column:
 
 
 def blank_to_default(col, default: str = "") -> Column:
-    """null, absent or blank-after-trim -> default; result trimmed."""
-    t = F.trim(_c(col).cast("string"))
+    """null, absent or blank-after-trim -> default; result trimmed.
+
+    White space is Unicode's, as in ``functions.text``, not only the blank.
+    """
+    t = strip(_c(col).cast("string"))
     return F.coalesce(F.nullif(t, F.lit("")), F.lit(default))
 
 
+def strip(col) -> Column:
+    """The text without leading and trailing white space."""
+    return F.regexp_replace(F.regexp_replace(_c(col), "(?U)^[\\s\\x1c-\\x1f]+", ""), "(?U)[\\s\\x1c-\\x1f]+\\z", "")
+
+
 def to_timestamp_safe(col, fmt: str | None = None) -> Column:
     """date coerce; unparseable -> null (never raises)."""
     c = _c(col)

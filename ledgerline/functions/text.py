@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import blank_to_default
+from .scalars import blank_to_default, strip
 
 # Chunking and retrieval settings of the reference.
 CHUNK_SIZE_WORDS = 80
@@ -73,10 +73,10 @@ def chunk_text(col, size: int = CHUNK_SIZE_WORDS, overlap: int = CHUNK_OVERLAP_W
     return F.transform(F.array(words(text)), per_text)[0]
 
 
-def prepare_text(col, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
-    """Collapse white space to single spaces, trim, optionally cut to
-    ``max_chars`` characters (the reference's embedding-input limit;
-    pass ``None`` to keep whole texts)."""
+def prepare_text(col, max_chars: int | None = None) -> Column:
+    """Collapse white space to single spaces, trim; whole texts unless
+    ``max_chars`` is given (``MAX_TEXT_CHARS`` is the reference's limit of an
+    embedding input)."""
     clean = F.array_join(words(col), " ")
     if max_chars is None:
         return clean
@@ -113,4 +113,4 @@ def knowledge_text(product_id="product_id", product_name="product_name", categor
         F.concat(F.lit("Customer Review: "), val(review)),
     ]
     # concat with a null part is null, and concat_ws skips nulls
-    return F.trim(F.concat_ws("\n", *lines))
+    return strip(F.concat_ws("\n", *lines))

@@ -34,16 +34,18 @@ def token_buckets(col, dim: int = DEFAULT_DIM) -> Column:
 
 
 def bucket_counts(buckets, dim: int = DEFAULT_DIM) -> Column:
-    """Dense ``array<double>`` of counts per bucket (Arrow UDF, numpy
-    ``bincount`` per row; one Python call per batch of rows)."""
+    """Dense ``array<double>`` of counts per bucket (Arrow UDF, one numpy
+    ``bincount`` per batch of rows)."""
     import numpy as np
     import pandas as pd
 
     @F.pandas_udf("array<double>")
     def _counts(col: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=dim)
-                          .astype(np.float64) if b is not None else np.zeros(dim)
-                          for b in col])
+        rows = [np.asarray(b, np.int64) if b is not None else np.empty(0, np.int64) for b in col]
+        row = np.repeat(np.arange(len(rows)), [len(b) for b in rows])
+        flat = np.concatenate([*rows, np.empty(0, np.int64)])
+        counts = np.bincount(row * dim + flat, minlength=len(rows) * dim).astype(np.float64)
+        return pd.Series(list(counts.reshape(len(rows), dim)))
 
     return _counts(_c(buckets))
 

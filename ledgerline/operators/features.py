@@ -23,57 +23,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import avg4, first_by_order, money_sum, round_half_up, unit_price
-
-DEMAND_TEXT_COLUMNS = ["category", "brand", "order_region", "customer_region", "channel", "segment"]
-
-DEMAND_COLUMNS = [
-    "product_id", "order_date", "quantity", "total_amount", "price", "base_price",
-    "category", "brand", "order_region", "customer_region", "channel", "segment",
-    "discount_pct", "promotion_flag", "purchase_frequency", "margin_pct",
-    "popularity_score", "order_month", "order_weekday", "is_weekend",
-    "lag_1_sales", "lag_7_sales", "rolling_avg_7", "target_demand",
-]
-
-DEMAND_FEATURES = [
-    "product_id", "category", "brand", "order_region", "customer_region", "channel",
-    "segment", "price", "base_price", "order_month", "order_weekday", "is_weekend",
-    "lag_1_sales", "lag_7_sales", "rolling_avg_7", "discount_pct", "promotion_flag",
-    "purchase_frequency", "margin_pct", "popularity_score",
-]
-DEMAND_CATEGORICAL = DEMAND_FEATURES[:7]
-DEMAND_NUMERIC = DEMAND_FEATURES[7:]
-
-ANOMALY_FEATURES = ["quantity", "price", "total_amount", "unit_price", "discount_pct",
-                    "promotion_flag"]
-
-CLUSTER_FEATURES = ["customer_total_spend", "customer_total_orders", "avg_order_value",
-                    "recency_days", "purchase_frequency", "age", "discount_sensitivity"]
-
+from ..schemas import (ANOMALY_FEATURES, CLUSTER_FEATURES, DEMAND_CATEGORICAL, DEMAND_COLUMNS,  # noqa: F401
+                       DEMAND_FEATURES, DEMAND_NUMERIC, DEMAND_TEXT_COLUMNS)
 
 def _order_key(master: DataFrame):
-    return F.col("line_key") if "line_key" in master.columns else F.monotonically_increasing_id()
+    """The row order of the order table: ``line_key``, or else the row's own
+    columns (a row number of a distributed scan would not be stable)."""
+    if "line_key" in master.columns:
+        return F.col("line_key")
+    return F.struct(*(c for c in ("order_id", "customer_id", "quantity", "price", "total_amount",
+                                  *DEMAND_TEXT_COLUMNS) if c in master.columns))
 
 
-def demand_daily(master: DataFrame) -> DataFrame:
+def demand_daily(master: DataFrame, filled: bool = True, day_grain: bool = False) -> DataFrame:
     """A1: aggregate lines to (product_id, order_date).
 
     Rows with a null product or date are dropped (pandas drops null group
     keys).  ``first`` follows the order table's row order (``line_key``).
     Averages are rounded to 4 digits with the floor rule.
+
+    ``filled`` states that the text columns hold no nulls, which the master
+    guarantees (a schema read back from files no longer says so); with
+    ``filled=False`` each column skips its own nulls.  ``day_grain`` cuts the
+    date to the day, which bounds a product's rows by the calendar where
+    order dates carry a time.
     """
     key = _order_key(master)
     m = master.filter(F.col("product_id").isNotNull() & F.col("order_date").isNotNull())
+    if day_grain:
+        m = m.withColumn("order_date", F.date_trunc("day", "order_date"))
     aggs = [
         F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"),
         money_sum("total_amount").alias("total_amount"),
         F.coalesce(avg4("price"), F.lit(0.0)).alias("price"),
         F.coalesce(avg4("base_price"), F.lit(0.0)).alias("base_price"),
     ]
-    nullable = {f.name: f.nullable for f in master.schema.fields}
-    if not any(nullable.get(c, True) for c in DEMAND_TEXT_COLUMNS):
-        # No nulls to skip (the master table fills them): one struct minimum
-        # led by the row-order key picks the first line's values for all six
-        # columns with one aggregation buffer instead of six.
+    if filled:
+        # one struct minimum led by the row-order key picks the first line's
+        # values for all six columns with one aggregation buffer
         aggs.append(F.min(F.struct(key.alias("__k"), *DEMAND_TEXT_COLUMNS)).alias("__first"))
     else:
         aggs += [F.coalesce(first_by_order(c, key), F.lit("unknown")).alias(c)
@@ -183,10 +170,8 @@ def anomaly_features(master: DataFrame, drop_null_features: bool = True) -> Data
 def latest_by_product(demand: DataFrame) -> DataFrame:
     """The last (by date) demand row of each product.
 
-    Written as ``max_by`` in an aggregation, so a hot product is reduced
-    map-side instead of being sorted in one task.
+    The row without a successor in the window that the lags use: demand that
+    was just computed is partitioned and sorted for it already.
     """
-    cols = [c for c in demand.columns if c != "product_id"]
-    latest = demand.groupBy("product_id").agg(
-        F.max_by(F.struct(*cols), F.col("order_date")).alias("r"))
-    return latest.select("product_id", *[F.col(f"r.{c}").alias(c) for c in cols])
+    w = Window.partitionBy("product_id").orderBy("order_date")
+    return demand.withColumn("__next", F.lead("order_date").over(w)).where("__next IS NULL").drop("__next")

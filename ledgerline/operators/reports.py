@@ -92,19 +92,59 @@ def revenue_by_segment_brand(master: DataFrame, **slicers) -> DataFrame:
     return m.groupBy("segment", "brand").agg(money_sum("total_amount").alias("revenue"))
 
 
+def lag_snapshot(demand: DataFrame) -> DataFrame:
+    """Per product the mean lags next to its total demand."""
+    return demand.groupBy("product_id").agg(
+        F.sum("quantity").alias("total_quantity"), avg4("lag_1_sales").alias("avg_lag_1"),
+        avg4("lag_7_sales").alias("avg_lag_7"), avg4("rolling_avg_7").alias("avg_rolling_7"))
+
+
+def price_vs_quantity(demand: DataFrame) -> DataFrame:
+    """Daily price and quantity points, by category."""
+    return demand.groupBy("category", "price").agg(
+        F.sum("quantity").alias("total_quantity"), F.count(F.lit(1)).alias("product_days"))
+
+
+def flag_distribution(anomaly: DataFrame) -> DataFrame:
+    """Lines and revenue per anomaly flag."""
+    return anomaly.groupBy("anomaly_flag").agg(
+        F.count(F.lit(1)).alias("order_lines"), money_sum("total_amount").alias("revenue"))
+
+
+def flagged_orders(anomaly: DataFrame) -> DataFrame:
+    """The flagged lines."""
+    return anomaly.where("anomaly_flag = 1").select(
+        "order_id", "product_id", "customer_id", "quantity", "price", "total_amount", "discount_pct")
+
+
+def spend_vs_frequency(customers: DataFrame) -> DataFrame:
+    """Customers and their spend per purchase frequency."""
+    return customers.groupBy("purchase_frequency").agg(
+        F.count(F.lit(1)).alias("customers"), money_sum("customer_total_spend").alias("spend"),
+        F.sum("customer_total_orders").cast("long").alias("orders"))
+
+
+def customer_table(customers: DataFrame) -> DataFrame:
+    """One line per customer with order value and recency."""
+    return customers.select("customer_id", "customer_total_spend", "customer_total_orders", "avg_order_value",
+                            "recency_days", "age", "discount_sensitivity")
+
+
 def feature_summary(demand: DataFrame) -> DataFrame:
     """Feature averages per category plus a grand-total row.
 
-    One ``rollup`` pass: the row with ``category`` null is the total.
+    Sums and counts by category first; the rollup (``category`` null is the
+    total) then doubles those few rows instead of all demand rows.
     """
-    return demand.rollup("category").agg(
-        avg4("lag_1_sales").alias("avg_lag_1"),
-        avg4("rolling_avg_7").alias("avg_rolling_7"),
-        avg4("margin_pct").alias("avg_margin_pct"),
-        avg4("discount_pct").alias("avg_discount_pct"),
-        F.sum("lag_7_sales").alias("sum_lag_7"),
-        F.count(F.lit(1)).alias("product_days"),
-    )
+    means = {"avg_lag_1": "lag_1_sales", "avg_rolling_7": "rolling_avg_7", "avg_margin_pct": "margin_pct",
+             "avg_discount_pct": "discount_pct"}
+    by_category = demand.groupBy("category").agg(
+        *(F.sum(c).alias(f"s_{name}") for name, c in means.items()),
+        *(F.count(c).alias(f"n_{name}") for name, c in means.items()),
+        F.sum("lag_7_sales").alias("sum_lag_7"), F.count(F.lit(1)).alias("product_days"))
+    return by_category.rollup("category").agg(
+        *(round_half_up(F.sum(f"s_{name}") / F.sum(f"n_{name}"), 4).alias(name) for name in means),
+        F.sum("sum_lag_7").alias("sum_lag_7"), F.sum("product_days").alias("product_days"))
 
 
 def revenue_ytd(master: DataFrame, **slicers) -> DataFrame:

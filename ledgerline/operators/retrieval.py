@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import blank_to_default
+from ..functions.scalars import blank_to_default, strip
 from ..functions.text import (CHUNK_OVERLAP_WORDS, CHUNK_SIZE_WORDS, EMBED_BATCH_SIZE,
                               MIN_SCORE, TOP_K, chunk_text, knowledge_text, prepare_text,
                               words)
@@ -160,20 +160,23 @@ def search(questions: DataFrame, q_key: list[str], q_vec: str, store: DataFrame,
     ``k`` is clamped with ``max(1, k)`` (K5).
     """
     k = max(1, int(k or TOP_K))
-    s_order = s_order or ["id"]
-    s_cols = s_cols or [c for c in store.columns if c != s_vec]
+    s_order = s_order or ["id"]  # together unique in the store
+    s_cols = list(s_cols or [c for c in store.columns if c != s_vec])
     for c in s_order:
         if c not in s_cols:
             s_cols.append(c)
-    nq = questions.count()
+    # block counts: bounded blocks, and at least one store block per core
+    cores = store.sparkSession.sparkContext.defaultParallelism
     ns = store.count()
-    qb_n = max(1, math.ceil(nq / q_block))
-    sb_n = max(1, math.ceil(ns / s_block))
+    qb_n = max(1, math.ceil(questions.count() / q_block))
+    sb_n = max(1, math.ceil(ns / s_block), min(cores, ns // 256))
     qid_hash = F.xxhash64(*[F.col(c) for c in q_key])
     sid_hash = F.xxhash64(*[F.col(c) for c in s_order])
     q = questions.select(*q_key, F.col(q_vec).alias("qvec"),
                          F.pmod(qid_hash, F.lit(qb_n)).alias("qb"))
-    s = store.select(*s_cols, F.col(s_vec).alias("svec"),
+    # only the keys and the vector are replicated; the winners' other columns
+    # are joined back
+    s = store.select(*s_order, F.col(s_vec).alias("svec"),
                      F.pmod(sid_hash, F.lit(sb_n)).alias("sb"))
     q = q.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(sb_n - 1)))) if sb_n > 1 \
         else q.withColumn("sb", F.lit(0).cast("long"))
@@ -186,18 +189,20 @@ def search(questions: DataFrame, q_key: list[str], q_vec: str, store: DataFrame,
     sschema = {f.name: f.dataType for f in store.schema.fields}
     out_schema = T.StructType(
         [T.StructField(c, qschema[c]) for c in q_key]
-        + [T.StructField(c, sschema[c]) for c in s_cols]
+        + [T.StructField(c, sschema[c]) for c in s_order]
         + [T.StructField("raw_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    fn = _score_block_fn(k, min_score, q_key, s_cols, s_order)
+    fn = _score_block_fn(k, min_score, q_key, s_order, s_order)
     partial = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(fn, out_schema)
 
     w = Window.partitionBy(*q_key).orderBy(F.desc("score"), *[F.asc(c) for c in s_order])
     top = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     any_pass = F.max((F.col("score") >= min_score).cast("int")).over(Window.partitionBy(*q_key))
-    return (top.withColumn("__any", any_pass)
-               .filter((F.col("score") >= min_score) | (F.col("__any") == 0))
-               .drop("__any")
-               .withColumn("below_min_score", F.col("raw_score") < min_score))
+    kept = top.withColumn("__any", any_pass).filter((F.col("score") >= min_score) | (F.col("__any") == 0))
+    rest = [c for c in s_cols if c not in s_order]
+    if rest:
+        kept = kept.join(store.select(*s_order, *rest), s_order)
+    return kept.select(*q_key, *s_cols, "raw_score", "score", "rank",
+                       (F.col("raw_score") < min_score).alias("below_min_score"))
 
 
 def user_questions(conversations: DataFrame) -> DataFrame:
@@ -207,6 +212,9 @@ def user_questions(conversations: DataFrame) -> DataFrame:
 
 
 # Fixed answer texts of the deterministic (no model) support answer.
+NO_HIT_ANSWER = ("I could not retrieve verified product knowledge for this question right now. "
+                 "Please check whether the product knowledge JSON store exists and Azure embedding "
+                 "settings are correct.")
 NO_CHUNKS_ANSWER = ("Product knowledge retrieval is temporarily unavailable, so I cannot "
                     "verify this answer from the knowledge base right now.")
 EMPTY_CONTENT_ANSWER = ("Relevant product metadata was found, but the product knowledge text "
@@ -231,13 +239,13 @@ def support_context(questions: DataFrame, hits: DataFrame, q_key: list[str],
     blocks = F.transform(
         F.filter(F.col("src"), lambda x: F.coalesce(x["content"], F.lit("")) != ""),
         lambda x: F.concat(F.lit("Source "), x["rank"].cast("string"), F.lit(":\n"), x["content"]))
-    context = F.trim(F.array_join(blocks, "\n\n"))
+    context = strip(F.array_join(blocks, "\n\n"))
     top = F.col("src")[0]
     has = F.coalesce(F.size("src"), F.lit(0)) > 0
     pid = F.coalesce(F.nullif(top["product_id"], F.lit("")), F.lit("the matched product"))
     pname = F.coalesce(F.nullif(top["product_name"], F.lit("")), pid)
-    content = F.trim(F.coalesce(top["content"], F.lit("")))
-    answer = (F.when(~has, F.lit(NO_CHUNKS_ANSWER))
+    content = strip(F.coalesce(top["content"], F.lit("")))
+    answer = (F.when(~has, F.lit(NO_HIT_ANSWER))
                .when(content == "", F.lit(EMPTY_CONTENT_ANSWER))
                .otherwise(F.concat(F.lit("Based on the retrieved product knowledge for "), pname,
                                    F.lit(" ("), pid, F.lit("), the available information is: "),
@@ -253,6 +261,7 @@ def support_context(questions: DataFrame, hits: DataFrame, q_key: list[str],
         F.lit(RETRIEVAL_SOURCE).alias("retrieval_source"),
         F.when(~has, F.lit(NO_HITS_ERROR)).alias("retrieval_error"),
         F.when(has, F.lit("context_fallback")).otherwise(F.lit("not_called")).alias("llm_source"),
+        F.lit(None).cast("string").alias("llm_error"),
         F.lit("support_agent").alias("agent"),
         *([F.current_timestamp().alias("created_at")] if stamp else []),
     )

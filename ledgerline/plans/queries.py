@@ -8,10 +8,14 @@ Oracle SQL strings run in DuckDB over the same parquet files (views
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..adapter import with_ctes
 from ..operators import features as feat
 from ..operators.master import MASTER_COLUMNS, master_from_sf
+from ..sources import io as IO
+from .artifacts import (curated_master, demand_artifact, forest_artifact, products_with_demand,
+                        segment_artifact, shared_path)
 from . import sql_ctes as Q
 from .registry import register
 
@@ -67,7 +71,8 @@ from .sql_ctes import r4  # noqa: E402
 
 
 def _master(spark, sf_dir):
-    return master_from_sf(spark, sf_dir)
+    """The curated master (S4): reports scan it instead of joining again."""
+    return curated_master(spark, sf_dir)
 
 
 def _demand(spark, sf_dir):
@@ -262,6 +267,56 @@ def q_category_distribution(spark, sf_dir):
     return R.category_distribution(_master(spark, sf_dir))
 
 
+@register("lag_snapshot", with_ctes(f"""
+SELECT product_id, sum(quantity) AS total_quantity, {r4('avg(lag_1_sales)')} AS avg_lag_1,
+  {r4('avg(lag_7_sales)')} AS avg_lag_7, {r4('avg(rolling_avg_7)')} AS avg_rolling_7
+FROM demand GROUP BY product_id""", Q.DAILY + "," + Q.DEMAND))
+def q_lag_snapshot(spark, sf_dir):
+    """Lags next to demand per product."""
+    return R.lag_snapshot(_demand(spark, sf_dir))
+
+
+@register("price_vs_quantity", with_ctes("""
+SELECT category, price, sum(quantity) AS total_quantity, count(*) AS product_days
+FROM demand GROUP BY category, price""", Q.DAILY + "," + Q.DEMAND))
+def q_price_vs_quantity(spark, sf_dir):
+    """Price and quantity points by category."""
+    return R.price_vs_quantity(_demand(spark, sf_dir))
+
+
+@register("flag_distribution", with_ctes(f"""
+SELECT anomaly_flag, count(*) AS order_lines, {_SUMDEC} AS revenue FROM anom GROUP BY anomaly_flag""", Q.ANOMALY))
+def q_flag_distribution(spark, sf_dir):
+    """Lines and revenue per flag."""
+    return R.flag_distribution(feat.anomaly_features(_master(spark, sf_dir)))
+
+
+@register("flagged_orders", with_ctes("""
+SELECT order_id, product_id, customer_id, quantity, price, total_amount, discount_pct
+FROM anom WHERE anomaly_flag = 1""", Q.ANOMALY))
+def q_flagged_orders(spark, sf_dir):
+    """The flagged lines."""
+    return R.flagged_orders(feat.anomaly_features(_master(spark, sf_dir)))
+
+
+@register("spend_vs_frequency", with_ctes("""
+SELECT purchase_frequency, count(*) AS customers,
+  CAST(sum(CAST(customer_total_spend AS DECIMAL(18,2))) AS DOUBLE) AS spend,
+  CAST(sum(customer_total_orders) AS BIGINT) AS orders
+FROM cust GROUP BY purchase_frequency""", Q.CUSTOMERS))
+def q_spend_vs_frequency(spark, sf_dir):
+    """Spend per purchase frequency."""
+    return R.spend_vs_frequency(feat.customer_features(_master(spark, sf_dir)))
+
+
+@register("customer_table", with_ctes("""
+SELECT customer_id, customer_total_spend, customer_total_orders, avg_order_value, recency_days, age,
+  discount_sensitivity FROM cust""", Q.CUSTOMERS))
+def q_customer_table(spark, sf_dir):
+    """The detailed customer table."""
+    return R.customer_table(feat.customer_features(_master(spark, sf_dir)))
+
+
 # --------------------------------------------------------------------------
 # Text, chunks, vectors, retrieval
 
@@ -276,7 +331,9 @@ _KT_SQL = """
  || chr(10) || 'Product Name: ' || coalesce(nullif(trim(p_name), ''),
                                              nullif(trim(CAST(p_partkey AS VARCHAR)), ''), 'unknown')
  || chr(10) || 'Category: ' || coalesce(nullif(trim(p_type), ''), 'general')
- || chr(10) || 'Brand: ' || coalesce(nullif(trim(p_brand), ''), 'generic')"""
+ || chr(10) || 'Brand: ' || coalesce(nullif(trim(p_brand), ''), 'generic')
+ || chr(10) || 'Description: ' || rtrim(repeat(p_name || ' ' || p_type || ' ' || p_brand || ' ', 12 + CAST(p_size AS INTEGER) % 9))
+ || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Return Policy: ' || 'returns within ' || CAST(p_size AS VARCHAR) || ' days' ELSE '' END"""
 
 
 @register("knowledge_text", f"SELECT p_partkey AS product_id, trim({_KT_SQL}) AS knowledge_text FROM part")
@@ -407,7 +464,8 @@ src AS (SELECT conv_id, turn,
                            content := content, score := score) ORDER BY rank) AS src
         FROM hits GROUP BY conv_id, turn)
 SELECT qs.conv_id, qs.turn, qs.question,
-  CASE WHEN src.src IS NULL THEN '{RT.NO_CHUNKS_ANSWER}'
+  CASE WHEN src.src IS NULL THEN 'I could not retrieve verified product knowledge for this question right now. '
+            || 'Please check whether the product knowledge JSON store exists and Azure embedding settings are correct.'
        WHEN trim(coalesce(src.src[1].content, '')) = '' THEN '{RT.EMPTY_CONTENT_ANSWER}'
        ELSE 'Based on the retrieved product knowledge for '
             || coalesce(nullif(src.src[1].product_name, ''), nullif(src.src[1].product_id, ''), 'the matched product')
@@ -421,7 +479,7 @@ SELECT qs.conv_id, qs.turn, qs.question,
   '{RT.RETRIEVAL_SOURCE}' AS retrieval_source,
   CASE WHEN src.src IS NULL THEN '{RT.NO_HITS_ERROR}' END AS retrieval_error,
   CASE WHEN src.src IS NULL THEN 'not_called' ELSE 'context_fallback' END AS llm_source,
-  'support_agent' AS agent
+  CAST(NULL AS VARCHAR) AS llm_error, 'support_agent' AS agent
 FROM qs LEFT JOIN src ON qs.conv_id = src.conv_id AND qs.turn = src.turn""")
 def q_support_context(spark, sf_dir):
     """Support answers built from the retrieved context (no model call)."""
@@ -467,46 +525,91 @@ from ..operators import quality as QL  # noqa: E402
 from ..operators.master import build_master  # noqa: E402
 
 
-@register("clean_products", """
-SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, category, brand, base_price,
-       COALESCE(TRY_CAST(price AS DOUBLE), 0.0) AS price, size
-FROM (SELECT *, row_number() OVER (PARTITION BY CAST(product_id AS VARCHAR) ORDER BY product_id) AS rn
-      FROM (SELECT p_partkey AS product_id, COALESCE(p_name, 'unknown') AS product_name,
-                   COALESCE(p_type, 'unknown') AS category, COALESCE(p_brand, 'unknown') AS brand,
-                   p_retailprice AS base_price, p_retailprice AS price, p_size AS size FROM part))
-WHERE rn = 1""")
+# Dirty inputs derived from the given tables: every rule of the cleaning has
+# rows that break it.  ``file_order`` is the row order of the file.
+_DIRTY_PARTS_SQL = """
+dirty AS (
+  SELECT p_partkey AS "Product ID", CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS product_name,
+         CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS category, p_brand AS brand,
+         CASE WHEN p_partkey % 13 = 0 THEN 'n/a' WHEN p_partkey % 17 <> 0 THEN CAST(p_size AS VARCHAR) END AS price,
+         p_partkey * 2 AS file_order FROM part
+  UNION ALL
+  SELECT p_partkey, 'late copy', 'late', 'late', '1', p_partkey * 2 + 1 FROM part WHERE p_partkey % 3 = 0
+  UNION ALL
+  SELECT p_partkey, 'early copy', 'early', NULL, 'x', p_partkey * 2 - 1 FROM part WHERE p_partkey % 7 = 0)"""
+
+
+def _dirty_parts(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    price = F.when(key % 13 == 0, F.lit("n/a")).when(key % 17 != 0, F.col("p_size").cast("string"))
+    whole = p.select(key.alias("Product ID"), F.when(key % 11 != 0, F.col("p_name")).alias(" Product-Name"),
+                     F.when(key % 5 != 0, F.col("p_type")).alias("Category"), F.col("p_brand").alias("brand"),
+                     price.alias("Unit Price"), (key * 2).alias("file_order"))
+    late = p.where("p_partkey % 3 = 0").select(key, F.lit("late copy"), F.lit("late"), F.lit("late"), F.lit("1"), key * 2 + 1)
+    early = p.where("p_partkey % 7 = 0").select(key, F.lit("early copy"), F.lit("early"), F.lit(None).cast("string"),
+                                                F.lit("x"), key * 2 - 1)
+    return whole.union(late).union(early)
+
+
+@register("clean_products", f"""WITH {_DIRTY_PARTS_SQL}
+SELECT CAST("Product ID" AS VARCHAR) AS product_id, COALESCE(product_name, 'unknown') AS product_name,
+       COALESCE(category, 'unknown') AS category, COALESCE(brand, 'unknown') AS brand,
+       COALESCE(TRY_CAST(price AS DOUBLE), 0.0) AS price
+FROM (SELECT *, row_number() OVER (PARTITION BY "Product ID" ORDER BY file_order) AS rn FROM dirty) WHERE rn = 1""")
 def q_clean_products(spark, sf_dir):
-    """A12 + F1/F4: cleaned products, first row per product_id."""
-    p = products_table(spark, sf_dir)
-    return CL.clean_products(p, order_key=F.col("product_id"))
+    """A12 + F1/F4 + P2/P7: raw headers, bad prices, nulls and repeated keys;
+    the first row per product_id in file order."""
+    out = CL.clean_products(_dirty_parts(spark, sf_dir), order_key=F.col("file_order"))
+    return out.select("product_id", "product_name", "category", "brand", "price")
 
 
 @register("clean_customers", with_ctes("""
-SELECT CAST(customer_id AS VARCHAR) AS customer_id, customer_name, location,
-       COALESCE(region, 'unknown') AS region, COALESCE(segment, 'unknown') AS segment
-FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY customer_id) AS rn
-      FROM customers_c) WHERE rn = 1"""))
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, COALESCE(region, 'unknown') AS region,
+       COALESCE(segment, 'unknown') AS segment
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY file_order) AS rn FROM (
+  SELECT customer_id, CASE WHEN customer_id % 4 <> 0 THEN region END AS region,
+         CASE WHEN customer_id % 6 <> 0 THEN segment END AS segment, customer_id AS file_order FROM customers_c
+  UNION ALL
+  SELECT customer_id, 'moved', NULL, -customer_id FROM customers_c WHERE customer_id % 5 = 0)) WHERE rn = 1"""))
 def q_clean_customers(spark, sf_dir):
-    """A12 + F4: cleaned customers, first row per customer_id."""
+    """A12 + F4 + P7: cleaned customers, the first row per customer_id."""
     c = customers_table(spark, sf_dir)
-    return CL.clean_customers(c, order_key=F.col("customer_id"))
+    key = F.col("customer_id")
+    whole = c.select(key.alias("CustomerID"), F.when(key % 4 != 0, F.col("region")).alias("Region"),
+                     F.when(key % 6 != 0, F.col("segment")).alias("segment"), key.alias("file_order"))
+    again = c.where("customer_id % 5 = 0").select(key, F.lit("moved"), F.lit(None).cast("string"), -key)
+    out = CL.clean_customers(whole.union(again), order_key=F.col("file_order"))
+    return out.select("customer_id", "region", "segment")
 
 
 @register("clean_orders", with_ctes("""
-SELECT order_id, product_id, customer_id, order_date, quantity, price, total_amount, discount_pct,
-       promotion_flag, channel, payment_method, shipping_status, region, anomaly_flag
-FROM (SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id,
+SELECT order_id, product_id, customer_id, order_date, quantity, price, channel
+FROM (SELECT CAST(order_id AS VARCHAR) AS order_id, COALESCE(product_id, 'unknown') AS product_id,
              CAST(customer_id AS VARCHAR) AS customer_id, order_date,
-             COALESCE(TRY_CAST(quantity AS DOUBLE), 1.0) AS quantity, price, total_amount,
-             discount_pct, promotion_flag, channel, payment_method, shipping_status, region,
-             anomaly_flag,
-             row_number() OVER (PARTITION BY CAST(order_id AS VARCHAR) ORDER BY line_key) AS rn
-      FROM orders_c
+             COALESCE(TRY_CAST(quantity AS DOUBLE), 1.0) AS quantity, price, channel,
+             row_number() OVER (PARTITION BY order_id ORDER BY line_key) AS rn
+      FROM (SELECT order_id, CASE WHEN product_id % 19 <> 0 THEN CAST(product_id AS VARCHAR) END AS product_id,
+                   customer_id, price, channel, line_key,
+                   CASE WHEN (order_id + product_id) % 8 = 0 THEN '-3' WHEN (order_id + product_id) % 9 = 0 THEN 'bad'
+                        WHEN (order_id + product_id) % 10 <> 0 THEN CAST(CAST(quantity AS BIGINT) AS VARCHAR) END AS quantity,
+                   CASE WHEN (order_id + product_id) % 6 <> 0 THEN date_trunc('day', order_date)::TIMESTAMP END AS order_date
+            FROM orders_c)
       WHERE COALESCE(TRY_CAST(quantity AS DOUBLE), 1.0) > 0 AND order_date IS NOT NULL)
 WHERE rn = 1"""))
 def q_clean_orders(spark, sf_dir):
-    """A12 + L1 + L2: cleaned orders, first line per order_id."""
-    return CL.clean_orders(orders_table(spark, sf_dir)).drop("line_key")
+    """A12 + L1 + L2 + F3: text quantities and day-first dates, some broken;
+    the first valid line per order_id."""
+    o = orders_table(spark, sf_dir)
+    k = F.col("order_id") + F.col("product_id")
+    quantity = (F.when(k % 8 == 0, F.lit("-3")).when(k % 9 == 0, F.lit("bad"))
+                .when(k % 10 != 0, F.col("quantity").cast("long").cast("string")))
+    date = F.when(k % 6 == 0, F.lit("31/31/2025")).otherwise(F.date_format("order_date", "dd/MM/yyyy"))
+    raw = o.select(F.col("order_id"), F.when(F.col("product_id") % 19 != 0, F.col("product_id")).alias("ProductID"),
+                   F.col("customer_id").alias("Customer-ID"), date.alias("OrderDate"), quantity.alias("Quantity"),
+                   "price", "channel", "line_key")
+    out = CL.clean_orders(raw, date_format="dd/MM/yyyy")
+    return out.select("order_id", "product_id", "customer_id", "order_date", "quantity", "price", "channel")
 
 
 @register("quarantine", with_ctes(f"""
@@ -518,12 +621,18 @@ FROM (SELECT *, list_filter([
     CASE WHEN COALESCE(TRY_CAST(discount_pct AS DOUBLE), 0.0) < 0 THEN '{QL.MSG_DISCOUNT}' END,
     CASE WHEN COALESCE(TRY_CAST(promotion_flag AS DOUBLE), 0.0) NOT IN (0.0, 1.0) THEN '{QL.MSG_PROMOTION}' END
   ], lambda x: x IS NOT NULL) AS errors
-  FROM master)"""))
+  FROM (SELECT order_id, product_id, customer_id, price,
+          CASE WHEN (order_id + product_id) % 8 = 0 THEN -quantity WHEN (order_id + product_id) % 9 <> 0 THEN quantity END AS quantity,
+          CASE WHEN product_id % 7 = 0 THEN -5.0 ELSE discount_pct END AS discount_pct,
+          CASE WHEN product_id % 9 = 0 THEN 3 ELSE promotion_flag END AS promotion_flag FROM master))"""))
 def q_quarantine(spark, sf_dir):
     """Every order line with its validation errors and a valid flag."""
-    m = master_from_sf(spark, sf_dir).select(
-        "order_id", "product_id", "customer_id", "quantity", "price", "discount_pct",
-        "promotion_flag")
+    k, p = F.col("order_id") + F.col("product_id"), F.col("product_id")
+    m = _master(spark, sf_dir).select(
+        "order_id", "product_id", "customer_id",
+        F.when(k % 8 == 0, -F.col("quantity")).when(k % 9 != 0, F.col("quantity")).alias("quantity"), "price",
+        F.when(p % 7 == 0, F.lit(-5.0)).otherwise(F.col("discount_pct")).alias("discount_pct"),
+        F.when(p % 9 == 0, F.lit(3)).otherwise(F.col("promotion_flag")).alias("promotion_flag"))
     return QL.quarantine(m)
 
 
@@ -586,8 +695,7 @@ def q_upsert(spark, sf_dir):
     f"SELECT {', '.join(MASTER_COLUMNS)} FROM master ORDER BY line_key LIMIT 5"))
 def q_preview_master(spark, sf_dir):
     """First five master rows in order-file order."""
-    m = master_from_sf(spark, sf_dir)
-    return LG.preview(m, 5, ["line_key"]).select(*MASTER_COLUMNS)
+    return LG.preview(_master(spark, sf_dir), 5, ["line_key"]).select(*MASTER_COLUMNS)
 
 
 @register("curated_roundtrip", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
@@ -602,18 +710,19 @@ def q_curated_roundtrip(spark, sf_dir):
 @register("report_export", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
 def q_report_export(spark, sf_dir):
     """Master exported to a reporting CSV and read back with its schema."""
-    m = master_from_sf(spark, sf_dir).select(*MASTER_COLUMNS)
-    src = IO.unique_scratch(spark, "curated-master")
-    IO.write_curated(m, src)
-    out = IO.export_report_csv(spark, src, IO.unique_scratch(spark, "report-csv"))
-    return spark.read.schema(m.schema).option("header", True).csv(out)
+    m = _master(spark, sf_dir)
+    src = shared_path(spark, sf_dir, "master")
+    out = IO.export_report_csv(spark, src, shared_path(spark, sf_dir, "report-csv"))
+    text = T.StructType([T.StructField(f.name, f.dataType if f.name in MASTER_COLUMNS else T.StringType())
+                         for f in m.schema.fields])
+    return IO.load_csv(spark, out, text).select(*MASTER_COLUMNS)
 
 
 @register("log_append")
 def q_log_append(spark, sf_dir):
     """S10 + G4: KPI rows appended to an analytics log collection, read back."""
     path = IO.unique_scratch(spark, "analytics-log")
-    docs = LG.as_log_documents(K.kpis(master_from_sf(spark, sf_dir)), "analytics")
+    docs = LG.as_log_documents(K.kpis(_master(spark, sf_dir)), "analytics")
     LG.append_log(docs, path)
     return spark.read.parquet(path)
 
@@ -627,18 +736,20 @@ from ..models import isoforest as IF  # noqa: E402
 
 
 def _requests(spark, sf_dir):
-    """Forecast requests: every catalogue product for the day after the
-    last order (derived from the data, grows with it)."""
+    """Forecast requests: every catalogue product for the day after the last
+    order, and one product outside the catalogue for every tenth of them."""
     last = read(spark, sf_dir, "orders").select(F.max("o_orderdate")).scalar()
-    return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("product_id"),
-        F.date_format(F.date_add(F.to_date(last), 1), "yyyy-MM-dd").alias("forecast_date"))
+    part = read(spark, sf_dir, "part").select("p_partkey")
+    asked = part.union(part.where("p_partkey % 10 = 0").select(F.col("p_partkey") + 1_000_000_000))
+    return asked.select(F.col("p_partkey").cast("string").alias("product_id"),
+                        F.date_format(F.date_add(F.to_date(last), 1), "yyyy-MM-dd").alias("forecast_date"))
 
 
 _REQ_SQL = """
 req AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id,
                strftime(CAST((SELECT max(o_orderdate) FROM orders) AS DATE) + INTERVAL 1 DAY, '%Y-%m-%d')
-                 AS forecast_date FROM part),
+                 AS forecast_date
+        FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey + 1000000000 FROM part WHERE p_partkey % 10 = 0)),
 latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
            (PARTITION BY product_id ORDER BY order_date DESC) AS rn FROM demand) WHERE rn = 1)"""
 
@@ -666,8 +777,7 @@ FROM req r WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE CAST(l.product_id AS V
                                         Q.DAILY + "," + Q.DEMAND + "," + _REQ_SQL))
 def q_unknown_products(spark, sf_dir):
     """Forecast requests for products without any demand row."""
-    latest = feat.latest_by_product(_demand(spark, sf_dir))
-    return DM.unknown_products(_requests(spark, sf_dir), latest)
+    return DM.unknown_products(_requests(spark, sf_dir), products_with_demand(spark, sf_dir))
 
 
 @register("split_demand", with_ctes("""
@@ -682,98 +792,86 @@ def q_split_demand(spark, sf_dir):
     return DM.split(d, ["product_id", "order_date"], 20)
 
 
-_MODEL_CACHE: dict = {}
-
-
-def _demand_model(spark, sf_dir):
-    key = ("demand", sf_dir)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = DM.train(_demand(spark, sf_dir), DM.DemandConfig.quick())
-    return _MODEL_CACHE[key]
+@register("demand_train_rows", with_ctes("""
+SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(product_id AS VARCHAR) || '|' ||
+       strftime(order_date, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 100 AS INTEGER) < 20
+       THEN 'test' ELSE 'train' END AS split
+FROM (SELECT order_date, """ + ", ".join(feat.DEMAND_FEATURES) + """, target_demand FROM demand)""",
+                                         Q.DAILY + "," + Q.DEMAND))
+def q_demand_train_rows(spark, sf_dir):
+    """L3 + M3: complete demand rows with their split."""
+    return DM.train_rows(_demand(spark, sf_dir))
 
 
 @register("demand_model")
 def q_demand_model(spark, sf_dir):
-    """M1-M4: random-forest demand model; test-split metrics (quick config)."""
-    return _demand_model(spark, sf_dir)[2]
+    """M1-M4: random-forest demand model; test-split metrics."""
+    return demand_artifact(spark, sf_dir)[2]
 
 
 @register("forecast")
 def q_forecast(spark, sf_dir):
     """Predicted demand for every forecast request."""
-    model, modes, _ = _demand_model(spark, sf_dir)
+    model, modes, _ = demand_artifact(spark, sf_dir)
     latest = feat.latest_by_product(_demand(spark, sf_dir))
     inputs = DM.forecast_inputs(_requests(spark, sf_dir), latest)
     return DM.predict(model, inputs, modes)
 
 
-def _forest(spark, sf_dir):
-    key = ("iforest", sf_dir)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = IF.fit(feat.anomaly_features(_master(spark, sf_dir)),
-                                   feat.ANOMALY_FEATURES,
-                                   key=["order_id", "product_id", "customer_id", "quantity",
-                                        "total_amount"])
-    return _MODEL_CACHE[key]
-
-
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf_dir):
     """M5-M7: isolation-forest score and flag of every order line."""
-    return _forest(spark, sf_dir)[1]
+    return forest_artifact(spark, sf_dir)[1]
 
 
 @register("anomaly_metrics")
 def q_anomaly_metrics(spark, sf_dir):
     """A8 + A9 on the isolation-forest flags against the labels."""
-    scored = _forest(spark, sf_dir)[1]
+    scored = forest_artifact(spark, sf_dir)[1]
     return K.anomaly_metrics(scored, "anomaly_flag", "anomaly_pred")
 
 
 @register("score_transactions")
 def q_score_transactions(spark, sf_dir):
     """M8 + L8: batch scoring of valid transactions (order lines as requests)."""
-    model = _forest(spark, sf_dir)[0]
-    tx = master_from_sf(spark, sf_dir).select("order_id", "quantity", "price", "discount_pct",
-                                              "promotion_flag")
+    model = forest_artifact(spark, sf_dir)[0]
+    tx = _master(spark, sf_dir).select("order_id", "quantity", "price", "discount_pct", "promotion_flag")
     valid, _bad = QL.split_valid(tx)
     return IF.score_transactions(model, valid)
 
 
-def _segments(spark, sf_dir):
-    key = ("kmeans", sf_dir)
-    cust = feat.customer_features(_master(spark, sf_dir))
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = CM.fit(cust, k=3, n_init=20, seed=42)
-    return _MODEL_CACHE[key], cust
-
-
 @register("customer_segments")
 def q_customer_segments(spark, sf_dir):
     """Customers with their k-means cluster."""
-    model, cust = _segments(spark, sf_dir)
-    return model.predict(cust)
+    return segment_artifact(spark, sf_dir)[1]
+
+
+@register("segment_customers")
+def q_segment_customers(spark, sf_dir):
+    """M13 + S7: labels of the loaded model, with the labels written at
+    training time beside them (they must agree)."""
+    model, segments = segment_artifact(spark, sf_dir)
+    return model.predict(segments.withColumnRenamed("cluster", "trained_cluster")).select(
+        "customer_id", "trained_cluster", "cluster")
 
 
 @register("cluster_sizes")
 def q_cluster_sizes(spark, sf_dir):
     """A7 + K3: customers per cluster."""
-    model, cust = _segments(spark, sf_dir)
-    return K.cluster_sizes(model.predict(cust))
+    return K.cluster_sizes(segment_artifact(spark, sf_dir)[1])
 
 
 @register("cluster_quality")
 def q_cluster_quality(spark, sf_dir):
     """Silhouette (squared Euclidean) of the segmentation."""
-    model, cust = _segments(spark, sf_dir)
-    return CM.silhouette(model, cust)
+    model, segments = segment_artifact(spark, sf_dir)
+    return CM.silhouette(model, segments.drop("cluster"))
 
 
 @register("segment_overview")
 def q_segment_overview(spark, sf_dir):
     """Total customers and the first ten segment rows."""
-    model, cust = _segments(spark, sf_dir)
-    seg = model.predict(cust)
+    seg = segment_artifact(spark, sf_dir)[1]
     total = seg.select(F.count(F.lit(1))).scalar()
     return seg.orderBy("customer_id").limit(10).withColumn("total_customers", total)
 
@@ -786,7 +884,14 @@ from ..plans.training import train_all  # noqa: E402
 from ..streaming.scoring import StreamPaths, run_available_now  # noqa: E402
 
 
-@register("build_store")
+_EMB_SQL = ("list_transform(range(" + str(DEFAULT_DIM) + "), lambda i: CAST(len(list_filter(bk, "
+            "lambda x: x = i)) AS DOUBLE))")
+
+
+@register("build_store", f"""WITH {_PRODUCT_CHUNKS},
+sb AS (SELECT *, {_bucket_sql("array_to_string(list_filter(regexp_split_to_array(content, '" + TX.WS_RE2 + "'), lambda x: x <> ''), ' ')")} AS bk
+       FROM store WHERE len(list_filter(regexp_split_to_array(content, '{TX.WS_RE2}'), lambda x: x <> '')) > 0)
+SELECT id, product_id, product_name, category, brand, content, chunk_index, product_key, {_EMB_SQL} AS embedding FROM sb""")
 def q_build_store(spark, sf_dir):
     """X5 + X6 + S8: product knowledge store (chunks + embeddings) written
     as parquet and read back."""
@@ -795,10 +900,6 @@ def q_build_store(spark, sf_dir):
     return IO.load_store(spark, path)
 
 
-_EMB_SQL = ("list_transform(range(" + str(DEFAULT_DIM) + "), lambda i: CAST(len(list_filter(bk, "
-            "lambda x: x = i)) AS DOUBLE))")
-
-
 @register("load_store", f"""WITH {_PRODUCT_CHUNKS},
 sb AS (SELECT *, {_bucket_sql("array_to_string(list_filter(regexp_split_to_array(content, '" + TX.WS_RE2 + "'), lambda x: x <> ''), ' ')")} AS bk
        FROM store WHERE len(list_filter(regexp_split_to_array(content, '{TX.WS_RE2}'), lambda x: x <> '')) > 0)
@@ -817,16 +918,15 @@ def q_training_summary(spark, sf_dir):
     out = IO.unique_scratch(spark, "training")
     raw_p, raw_c, raw_o = products_table(spark, sf_dir), customers_table(spark, sf_dir), \
         orders_table(spark, sf_dir)
-    return train_all(spark, raw_p, raw_c, raw_o, out, DM.DemandConfig.quick(),
-                     forest_trees=200, kmeans_restarts=20)
+    return train_all(spark, raw_p, raw_c, raw_o, out, forest_trees=200, kmeans_restarts=20)
 
 
 @register("dashboard")
 def q_dashboard(spark, sf_dir):
     """KPIs, top categories, label rate and cluster sizes in one row."""
     m = _master(spark, sf_dir)
-    model, cust = _segments(spark, sf_dir)
-    return DB.dashboard(m, feat.anomaly_features(m), model.predict(cust))
+    metrics = demand_artifact(spark, sf_dir)[2]
+    return DB.dashboard(m, feat.anomaly_features(m), segment_artifact(spark, sf_dir)[1], metrics)
 
 
 @register("prompts")
@@ -842,11 +942,11 @@ def q_stream_scoring(spark, sf_dir):
     base = IO.unique_scratch(spark, "stream")
     paths = StreamPaths(f"{base}/source", f"{base}/scored", f"{base}/quarantine",
                         f"{base}/checkpoints")
-    tx = master_from_sf(spark, sf_dir).select(
+    tx = _master(spark, sf_dir).select(
         F.col("order_id").cast("string").alias("order_id"), "quantity", "price",
         "discount_pct", F.col("promotion_flag").cast("int").alias("promotion_flag"))
     tx.write.mode("overwrite").parquet(paths.source)
-    run_available_now(spark, _forest(spark, sf_dir)[0], paths)
+    run_available_now(spark, forest_artifact(spark, sf_dir)[0], paths)
     return spark.read.parquet(paths.scored)
 
 
@@ -863,7 +963,7 @@ WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
 pairs AS (SELECT q.vec_id AS query_id, s.vec_id,
             CASE WHEN len(q.v) > 0 AND len(q.v) = len(s.v) AND q.n > 0 AND s.n > 0
                  THEN list_dot_product(q.v, s.v) / (q.n * s.n) ELSE 0.0 END AS raw
-          FROM e q CROSS JOIN e s),
+          FROM e q JOIN (SELECT min(vec_id) AS proto FROM embeddings GROUP BY label) p ON q.vec_id = p.proto CROSS JOIN e s),
 ranked AS (SELECT query_id, vec_id, floor(raw * 1e4 + 5e-1) / 1e4 AS score,
              row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1e4 + 5e-1) / 1e4 DESC, vec_id) AS rank
            FROM pairs),
@@ -872,10 +972,11 @@ SELECT query_id, vec_id, score, rank FROM (
   SELECT *, max(CAST(score >= 0.35 AS INTEGER)) OVER (PARTITION BY query_id) AS anyp FROM top)
 WHERE score >= 0.35 OR anyp = 0""")
 def q_embedding_search(spark, sf_dir):
-    """X8 over the given vector table: exact top-3 neighbours of every
-    stored vector (blocked search, no cross join)."""
+    """X8 over the given vector table: exact top-3 neighbours of every label's
+    prototype, its lowest vec_id (blocked search, no cross join)."""
     e = read(spark, sf_dir, "embeddings")
-    qs = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    proto = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    qs = e.join(proto.select("vec_id"), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     hits = RT.search(qs, ["query_id"], "qvec", e.select("vec_id", "embedding"),
                      s_order=["vec_id"], k=TX.TOP_K, min_score=TX.MIN_SCORE)
     return hits.select("query_id", "vec_id", "score", "rank")

@@ -11,6 +11,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,22 +27,29 @@ class ModelNotFoundError(Exception):
     """A required model artifact or curated table is missing."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jpath)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds any file, as Spark's own readers see it."""
+    try:
+        spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
     """Header CSV scan; a missing path raises ``DataValidationError``.
 
     Without a schema every column is read as string and coerced later by
     the repair functions (inference would need an extra pass over the data).
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise DataValidationError(f"Missing file: {path}")
-    r = spark.read.option("header", True)
+    # doubled quotes inside quotes, as spreadsheet tools write them.  Line
+    # breaks inside quotes need ``multi_line``: such a file is read by one task
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -65,30 +73,42 @@ def load_raw_data(spark: SparkSession, raw_dir: str, fmt: str = "csv",
         if fmt == "csv":
             out[k] = load_csv(spark, p)
         else:
-            if not _exists(spark, p):
+            if not path_exists(spark, p):
                 raise DataValidationError(f"Missing file: {p}")
             out[k] = spark.read.format(fmt).load(p)
     return Raw(**out)
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """CSV holds no nested values: they are written as JSON text."""
+    nested = {f.name: F.to_json(f.name) for f in df.schema.fields
+              if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
+    return df.withColumns(nested) if nested else df
+
+
 def write_curated(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   fmt: str = "parquet", sort_within: list[str] | None = None) -> None:
     """S3: overwrite a curated table (optionally partitioned, K1 sorted
     within partitions instead of a global sort)."""
+    if partition_by:
+        # rows of one partition value meet in a few tasks (large values are
+        # split), so a write does not leave a file per task and value
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        _flat(df).write.mode("overwrite").partitionBy(*(partition_by or [])).option("header", True) \
+            .option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 
 
 def read_curated(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Rescan a curated table (types survive in parquet)."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise ModelNotFoundError(f"Curated table missing: {path}")
     return spark.read.format(fmt).load(path)
 
@@ -100,7 +120,7 @@ def write_json_record(df: DataFrame, path: str) -> None:
 
 def read_metrics(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S5 source: the ``metrics`` sub-record; empty when the file is absent."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema["metrics"].dataType)
     return spark.read.schema(schema).json(path).select("metrics.*")
 
@@ -115,7 +135,7 @@ def export_report_csv(spark: SparkSession, master_path: str, out_path: str,
     df = read_curated(spark, master_path)
     if single_file:
         df = df.coalesce(1)
-    df.write.mode("overwrite").option("header", True).csv(out_path)
+    _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(out_path)
     return out_path
 
 
@@ -141,7 +161,7 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet",
     ``{"records": [...]}``; such a file is parsed by one task, so it is
     meant for migration only.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"Vector store not found at {path}")
     if fmt == "parquet":
         return spark.read.parquet(path)

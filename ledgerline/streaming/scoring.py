@@ -71,10 +71,11 @@ def scoring_streams(spark: SparkSession, model: IsolationForestModel, paths: Str
 
 
 def run_available_now(spark: SparkSession, model: IsolationForestModel, paths: StreamPaths,
-                      timeout_s: int = 600, **kw) -> None:
-    """Process everything currently in the source folder, then stop."""
-    q1, q2 = scoring_streams(spark, model, paths, available_now=True, **kw)
-    for q in (q1, q2):
-        q.awaitTermination(timeout_s)
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+                      **kw) -> None:
+    """Process everything currently in the source folder, then stop.
+
+    Waits until both queries end, however long that takes; a failed query
+    raises its error.
+    """
+    for q in scoring_streams(spark, model, paths, available_now=True, **kw):
+        q.awaitTermination()

@@ -31,6 +31,15 @@ def test_scans_prune_and_push(spark):
     df = E.queries()["vector_search"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in p
-    m = E.queries()["kpis"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    # the lineitem scan reads only the columns the KPIs need
-    assert "l_comment" not in m and "l_tax" not in m
+    # the master's lineitem scan reads only the columns it needs
+    from ledgerline.adapter import orders_table
+    m = orders_table(spark, SF_SMALL).select("order_id", "quantity")._jdf.queryExecution().executedPlan().toString()
+    assert "l_quantity" in m and "l_tax" not in m and "l_shipdate" not in m
+
+
+def test_reports_scan_the_curated_master_once(spark):
+    for name in ["kpis", "monthly_revenue", "revenue_ytd", "top_categories", "customers_by_segment_region",
+                 "anomaly_label_rate"]:
+        p = _plan(spark, name)
+        assert "Join" not in p, name
+        assert p.count("FileScan") == 1, name

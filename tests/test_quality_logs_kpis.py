@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def test_keep_first_and_clean_orders(spark):
     k = keep_first(spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "k int, v string, o int"),
                    "k", F.col("o")).first()
     assert k["v"] == "a"
+    for rows in ([(1, "b", 1), (1, "a", 1)], [(1, "a", 1), (1, "b", 1)]):   # ties: by the row, not by its place
+        tied = keep_first(spark.createDataFrame(rows, "k int, v string, o int"), "k", F.col("o")).first()
+        assert tied["v"] == "a"
+    with pytest.raises(ValueError):
+        clean_orders(df.drop("line_key"))
 
 
 def test_classification_metrics_edges(spark):

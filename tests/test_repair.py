@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions.repair import find_column, normalize_columns, resolve_keys
+from ledgerline import schemas as S
+from ledgerline.functions.repair import normalize_columns, resolve_tables, source_of
 from ledgerline.functions.scalars import (blank_to_default, date_parts, round_half_up, to_number,
                                           to_timestamp_safe, unit_price)
 
@@ -12,8 +13,8 @@ def test_normalize_and_find(spark):
     assert out.columns == ["product_id", "unit-price", "qty"]
     out2 = normalize_columns(df, underscores=True)
     assert out2.columns == ["product_id", "unit_price", "qty"]
-    assert find_column(out.columns, ["product", "id"]) == "product_id"
-    assert find_column(out.columns, ["order", "id"]) is None
+    assert source_of(S.PRODUCTS.column("product_id"), ["sku", "my product id"], "search") == "my product id"
+    assert source_of(S.ORDERS.column("order_id"), out.columns, "search") is None
 
 
 def test_duplicate_headers_keep_first(spark):
@@ -28,7 +29,7 @@ def test_resolve_keys_odd_headers(spark):
     c = spark.createDataFrame([("C1",)], ["CustomerID"])
     o = spark.createDataFrame([("O1", "P1", "C1", "3", "9.5", "2025-01-02")],
                               ["Order_Id", "Product-Id", "customer_id", "Qty", "Unit Price", "Date"])
-    p2, c2, o2 = resolve_keys(p, c, o)
+    p2, c2, o2 = resolve_tables(p, c, o)
     assert "product_id" in p2.columns and "customer_id" in c2.columns
     assert {"order_id", "product_id", "customer_id", "quantity", "price", "order_date"} <= set(o2.columns)
     r = o2.first()
@@ -40,8 +41,8 @@ def test_resolve_keys_missing_raises(spark):
     c = spark.createDataFrame([("C1",)], ["customer_id"])
     o = spark.createDataFrame([("O1", "P1", "C1", 1, 1.0, "2025-01-01")],
                               ["order_id", "product_id", "customer_id", "quantity", "price", "order_date"])
-    with pytest.raises(ValueError, match="product_id column not found in products"):
-        resolve_keys(p, c, o)
+    with pytest.raises(ValueError, match="products: no header means product_id"):
+        resolve_tables(p, c, o)
 
 
 def test_bad_values_coerce(spark):
@@ -78,5 +79,26 @@ def test_weekday_monday_zero(spark):
 def test_round_half_up_floor_rule(spark):
     df = spark.createDataFrame([(0.12345,), (1.00005,), (-0.00005,)], "x double")
     r = [x[0] for x in df.select(round_half_up("x", 4)).collect()]
-    assert r[0] == 0.1235 or abs(r[0] - 0.1235) < 1e-12 or r[0] == 0.1234
+    assert r[0] == 0.1235
     assert all(abs(v * 1e4 - round(v * 1e4)) < 1e-6 for v in r)
+
+
+def test_blank_means_unicode_white_space(spark):
+    df = spark.createDataFrame([("\t\n",), ("\u00a0 a b\t",), (None,)], "s string")
+    assert [r[0] for r in df.select(blank_to_default("s", "none")).collect()] == ["none", "a b", "none"]
+
+
+def test_text_dates_need_their_format(spark):
+    p = spark.createDataFrame([("P1",)], ["product_id"])
+    c = spark.createDataFrame([("C1",)], ["customer_id"])
+    o = spark.createDataFrame([("O1", "P1", "C1", 1, 1.0, "15/01/2025")],
+                              ["order_id", "product_id", "customer_id", "quantity", "price", "order_date"])
+    assert resolve_tables(p, c, o, date_format="dd/MM/yyyy")[2].first()["order_date"].month == 1
+    assert resolve_tables(p, c, o)[2].first()["order_date"] is None
+
+
+def test_aliases_are_added_beside_their_source(spark):
+    from ledgerline.functions.repair import resolve
+    df = spark.createDataFrame([("P1", "2.5")], ["ProductID", "Unit Price"])
+    out = resolve(df, S.PRODUCTS, "alias", fill=False)
+    assert out.columns == ["productid", "unit_price", "product_id", "price"]

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from ledgerline.functions.repair import normalize_inputs
+from ledgerline.functions.repair import resolve_tables
 from ledgerline.sources import io as IO
 
 
@@ -22,7 +22,7 @@ def test_load_raw_csv_and_normalize_inputs(spark):
                           ["Order ID", "ProductID", "CustomerID", "OrderDate", "Qty"]).write.option(
         "header", True).csv(f"{base}/order_data.csv")
     raw = IO.load_raw_data(spark, base)
-    p, c, o = normalize_inputs(raw.products, raw.customers, raw.orders)
+    p, c, o = resolve_tables(raw.products, raw.customers, raw.orders, how="alias", fill=False)
     assert {"product_id", "price"} <= set(p.columns)
     assert "customer_id" in c.columns
     assert {"order_id", "product_id", "customer_id", "order_date"} <= set(o.columns)
@@ -47,3 +47,27 @@ def test_export_requires_master(spark):
     with pytest.raises(IO.ModelNotFoundError):
         IO.export_report_csv(spark, IO.unique_scratch(spark, "nomaster"),
                              IO.unique_scratch(spark, "csv"))
+
+
+def test_csv_quotes_and_nested_columns(spark):
+    from pyspark.sql import functions as F
+    path = IO.unique_scratch(spark, "quoted")
+    df = spark.createDataFrame([(1, 'say "hi", ok')], "k int, v string").withColumn("n", F.struct("k"))
+    IO.write_curated(df, path, fmt="csv")
+    r = IO.load_csv(spark, path).first()
+    assert (r["v"], r["n"]) == ('say "hi", ok', '{"k":1}')
+    folder = IO.unique_scratch(spark, "lines")
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/a.csv", "w") as f:
+        f.write('a,b\n"x ""y"", z","two\nlines"\n')
+    r = IO.load_csv(spark, f"{folder}/a.csv", multi_line=True).collect()
+    assert [tuple(x) for x in r] == [('x "y", z', "two\nlines")]
+
+
+def test_partitioned_write_makes_few_files(spark):
+    import glob
+    path = IO.unique_scratch(spark, "few")
+    df = spark.range(1000).selectExpr("id", "id % 3 AS year").repartition(8)
+    IO.write_curated(df, path, partition_by=["year"])
+    assert len(glob.glob(f"{path}/year=*/*.parquet")) <= 6
+    assert IO.read_curated(spark, path).count() == 1000
