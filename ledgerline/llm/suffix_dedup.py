@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import arrays as A
+from .bitmaps import among, bitmap_of
 
 ANCHOR = "h long, fp long, start long, n long, at long"
 
@@ -91,12 +92,12 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     # ranks of the first 7 symbols, doubled until they cover the bound
     rank = np.zeros(n, np.int64)
     for k in range(7):
-        rank[:n - k] += sym[k:] << (9 * (6 - k))
+        rank[:max(0, n - k)] += sym[k:] << (9 * (6 - k))
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
     depth = 7
     while depth <= length:
         ahead = np.zeros(n, np.int64)
-        ahead[:n - depth] = rank[depth:] + 1
+        ahead[:max(0, n - depth)] = rank[depth:] + 1
         rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
         depth *= 2
     suffix = np.argsort(rank, kind="stable")
@@ -106,16 +107,36 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     first = sym[suffix]
     border = np.ones(n, bool)
     border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    live = np.flatnonzero(~border)
+    live = np.flatnonzero(~border)  # neighbours not yet parted
     rest_a, rest_b = where[suffix[live - 1] + 1], where[suffix[live] + 1]
     lo, hi = np.minimum(rest_a, rest_b), np.maximum(rest_a, rest_b)
-    for _ in range(1, length):
+    level, fresh = 1, n
+    # many borders a level: look at all neighbours
+    while level < length and fresh > n >> 6:
         passed = np.cumsum(border)
         parted = passed[hi] > passed[lo]
-        if not parted.any():
-            break
-        border[live[parted]] = True
+        edge_at, fresh = live[parted], int(parted.sum())
+        border[edge_at] = True
         live, lo, hi = live[~parted], lo[~parted], hi[~parted]
+        level += 1
+    # few borders a level: a queue of the last level's borders, each of which
+    # parts the neighbours whose remainders it lies between
+    if level < length and fresh and len(live):
+        width = hi - lo
+        places = A.ragged(lo + 1, width)
+        owner = np.repeat(np.arange(len(live)), width)[np.argsort(places, kind="stable")]
+        first_at = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n))])
+        whole = np.ones(len(live), bool)
+        seen_at = np.empty(len(live), np.int64)
+        while level < length and len(edge_at):
+            reached = owner[A.ragged(first_at[edge_at], first_at[edge_at + 1] - first_at[edge_at])]
+            reached = reached[whole[reached]]
+            whole[reached] = False
+            order = np.arange(len(reached))
+            seen_at[reached] = order
+            edge_at = live[reached[seen_at[reached] == order]]  # each once
+            level += 1
+        live = live[whole]
     hit = np.zeros(n, bool)
     hit[suffix[live]] = True
     hit[suffix[live - 1]] = True
@@ -196,26 +217,78 @@ def _index(regions: DataFrame, length: int, group_bytes: int, task_bytes: int) -
         regions = checkpointed(hot.mapInArrow(split, REGION))
 
 
+def _repeated_hashes(texts: DataFrame, length: int, gram: int, bucket_bytes: int = 512 << 20) -> DataFrame:
+    """(h): the anchor hashes that stand more than once.
+
+    Hashes travel packed, eight bytes each, in buckets by their topmost bits;
+    the number of buckets follows the input, so a bucket stays small.
+    """
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, int(total * 64 // bucket_bytes).bit_length())
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def rows():
+            # copies are told by two of their kind: more need not travel
+            h, n = np.unique(np.concatenate(kept), return_counts=True)
+            h = np.repeat(h, np.minimum(n, 2))
+            edge = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            edge = np.append(edge, len(h))
+            full = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(
+                [h[edge[b]:edge[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "hashes"])
+
+        for _, buf, off in A.slices(batches, "text", 1 << 20):
+            kept.append(anchors_of(buf, off, length, gram)[1].view(np.uint64))
+            if sum(map(len, kept)) > 1_000_000:
+                yield from rows()
+                kept.clear()
+        if kept:
+            yield from rows()
+
+    def twice(key, table):
+        h, n = np.unique(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64), return_counts=True)
+        return pa.table({"h": pa.array(h[n > 1].view(np.int64))})
+
+    return checkpointed(texts.select("text").mapInArrow(collect, "bucket int, hashes binary").groupBy("bucket")
+                        .applyInArrow(twice, "h long"))
+
+
+def _only(texts: DataFrame, keys: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows whose ``key`` may be in the bitmap, or surely is not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = among(keys, batch["key"].to_numpy())
+            yield batch.filter(pa.array(there if inside else ~there))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, task_bytes: int) -> DataFrame:
     """(doc, th, spans): the byte runs [first, past) to remove, per text.
 
-    ``texts`` has doc (an id), th (a hash of the text) and text.
+    ``texts`` has doc (an id), th (a hash of the text), key (a hash of both)
+    and text.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in A.slices(batches, "text", 1 << 20):
             text, *columns = anchors_of(buf, off, length, gram)
-            take = pa.array(text)
+            seen = among(maybe, columns[0])
+            take, columns = pa.array(text[seen]), [c[seen] for c in columns]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take),
                                               *(pa.array(c, pa.int64()) for c in columns)],
                                              names=["doc", "th", *(x.split()[0] for x in ANCHOR.split(", "))])
 
-    everywhere = texts.select("doc", "th", "text").mapInArrow(anchors, "doc long, th long, " + ANCHOR)
-    again = everywhere.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
-    shared = checkpointed(everywhere.join(again, "h", "left_semi"))
+    again = _repeated_hashes(texts, length, gram)
+    maybe = bitmap_of(again, "h")
+    shared = checkpointed(texts.select("doc", "th", "text").mapInArrow(anchors, "doc long, th long, " + ANCHOR)
+                          .join(again, "h", "left_semi"))
     entries = shared.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "th", "start")).alias("one"),
                                             F.first("n").alias("n"), F.first("at").alias("at"))
-    several = entries.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    several = entries.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where(
+        "kinds > 1 and least = 1").select("h")
     mixed = entries.join(several, "h", "left_semi").select("h", "fp", "c", "one.*", "n", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +304,12 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
 
     region = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64())
                         for x in REGION.split(", ")])
+    # a group of which every region is repeated whole needs no index
     wanted = mixed.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "fp", "c", "start", "n", "at")).alias("wanted"))
     # repeated rows cut the same regions: one of each stays
-    regions = checkpointed(texts.join(wanted, ["doc", "th"]).select("text", "wanted").mapInArrow(cut, REGION)
+    wanted = checkpointed(wanted.withColumn("key", F.xxhash64("doc", "th")))
+    regions = checkpointed(_only(texts.select("doc", "th", "key", "text"), bitmap_of(wanted, "key")).drop("key")
+                           .join(wanted.drop("key"), ["doc", "th"]).select("text", "wanted").mapInArrow(cut, REGION)
                            .dropDuplicates(["h", "fp"]))
     partly = _index(regions, length, group_bytes, task_bytes)
     copied = entries.where("c > 1").select("h", "fp", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
@@ -274,8 +350,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"),
                       *([F.struct(*carry).alias("row")] if carry else []))
-    keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(-1)))
-    spans = repeated_spans(keyed.select("doc", "th", "text"), min_length, min(gram, min_length), group_bytes, task_bytes)
+    keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).withColumn("key", F.xxhash64("doc", "th"))
+    spans = checkpointed(repeated_spans(keyed.select("doc", "th", "key", "text"), min_length, min(gram, min_length),
+                                        group_bytes, task_bytes))
+    touched = bitmap_of(spans.select(F.xxhash64("doc", "th").alias("key")), "key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,5 +386,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
         schema += ", text string"
     if carry:
         schema += ", row " + keyed.schema["row"].dataType.simpleString()
-    joined = keyed.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans", *(["row"] if carry else []))
-    return joined.mapInArrow(finish, schema)
+    # texts without spans stay where they are; only the others are shuffled
+    columns = ["doc_id", "text", "spans", *(["row"] if carry else [])]
+    joined = _only(keyed, touched).join(spans, ["doc", "th"], "left").select(columns)
+    rest = _only(keyed, touched, inside=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return joined.mapInArrow(finish, schema).unionByName(rest.select(columns).mapInArrow(finish, schema))
