@@ -242,5 +242,9 @@ def test_class_factors_sum_to_one():
         unseen = 0.1 / (k.tokens[c] + 0.1 * (k.types[c] + 1))
         assert total + unseen == pytest.approx(1.0)
     table = np.random.default_rng(0).normal(size=(20, 4)).astype(np.float32)
-    logs = maxent_lm.log_softmax(table, np.zeros(4, np.float32), np.array([[1, 2, 3, 4], [0, 0, 5, 19]]))
-    assert np.exp(logs).sum(axis=1) == pytest.approx(1.0)
+    softmax = maxent_lm.Softmax(table, np.zeros(4, np.float32), block=3)
+    rows = np.array([[1, 2, 3, 4], [0, 0, 5, 19], [7, 7, 7, 7], [9, 8, 7, 6]])
+    logs = np.stack([softmax.log_share(rows, np.full(4, c)) for c in range(4)])
+    assert np.exp(logs).sum(axis=0) == pytest.approx(1.0)
+    exact = table[rows].sum(axis=1)
+    assert logs.T == pytest.approx(exact - np.log(np.exp(exact).sum(axis=1, keepdims=True)), abs=1e-4)
