@@ -571,14 +571,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY file_order)
   SELECT customer_id, CASE WHEN customer_id % 4 <> 0 THEN region END AS region,
          CASE WHEN customer_id % 6 <> 0 THEN segment END AS segment, customer_id AS file_order FROM customers_c
   UNION ALL
-  SELECT customer_id, 'moved', NULL, -customer_id FROM customers_c WHERE customer_id % 5 = 0)) WHERE rn = 1"""))
+  SELECT customer_id, 'moved', NULL, -1 - customer_id FROM customers_c WHERE customer_id % 5 = 0)) WHERE rn = 1"""))
 def q_clean_customers(spark, sf_dir):
     """A12 + F4 + P7: cleaned customers, the first row per customer_id."""
     c = customers_table(spark, sf_dir)
     key = F.col("customer_id")
     whole = c.select(key.alias("CustomerID"), F.when(key % 4 != 0, F.col("region")).alias("Region"),
                      F.when(key % 6 != 0, F.col("segment")).alias("segment"), key.alias("file_order"))
-    again = c.where("customer_id % 5 = 0").select(key, F.lit("moved"), F.lit(None).cast("string"), -key)
+    again = c.where("customer_id % 5 = 0").select(key, F.lit("moved"), F.lit(None).cast("string"), -1 - key)
     out = CL.clean_customers(whole.union(again), order_key=F.col("file_order"))
     return out.select("customer_id", "region", "segment")
 
