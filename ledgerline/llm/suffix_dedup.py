@@ -111,8 +111,8 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     rest_a, rest_b = where[suffix[live - 1] + 1], where[suffix[live] + 1]
     lo, hi = np.minimum(rest_a, rest_b), np.maximum(rest_a, rest_b)
     level, fresh = 1, n
-    # many borders a level: look at all neighbours
-    while level < length and fresh > n >> 6:
+    # many borders a level, or neighbours with remote remainders: look at all
+    while level < length and fresh and (fresh > n >> 6 or int((hi - lo).sum()) > 2 * n):
         passed = np.cumsum(border)
         parted = passed[hi] > passed[lo]
         edge_at, fresh = live[parted], int(parted.sum())
