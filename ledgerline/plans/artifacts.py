@@ -46,10 +46,16 @@ def curated_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_curated(spark, path)
 
 
+# The library's default forest (300 trees, depth 16) takes far more than ten
+# minutes on one machine even at the smallest scale; the registered queries
+# state this smaller one.
+QUERY_FOREST = DM.DemandConfig(num_trees=30, max_depth=8)
+
+
 def demand_artifact(spark: SparkSession, sf_dir: str):
     """The demand model with its fill values and metrics, from its files."""
     def build(path):
-        model, modes, metrics = DM.train(feat.demand_features(curated_master(spark, sf_dir)))
+        model, modes, metrics = DM.train(feat.demand_features(curated_master(spark, sf_dir)), QUERY_FOREST)
         DM.save(model, modes, spark, path)
         metrics.write.mode("overwrite").parquet(f"{path}-metrics")
 

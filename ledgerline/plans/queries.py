@@ -14,7 +14,7 @@ from ..adapter import with_ctes
 from ..operators import features as feat
 from ..operators.master import MASTER_COLUMNS, master_from_sf
 from ..sources import io as IO
-from .artifacts import (curated_master, demand_artifact, forest_artifact, products_with_demand,
+from .artifacts import (QUERY_FOREST, curated_master, demand_artifact, forest_artifact, products_with_demand,
                         segment_artifact, shared_path)
 from . import sql_ctes as Q
 from .registry import register
@@ -918,7 +918,7 @@ def q_training_summary(spark, sf_dir):
     out = IO.unique_scratch(spark, "training")
     raw_p, raw_c, raw_o = products_table(spark, sf_dir), customers_table(spark, sf_dir), \
         orders_table(spark, sf_dir)
-    return train_all(spark, raw_p, raw_c, raw_o, out, forest_trees=200, kmeans_restarts=20)
+    return train_all(spark, raw_p, raw_c, raw_o, out, QUERY_FOREST, forest_trees=200, kmeans_restarts=20)
 
 
 @register("dashboard")
