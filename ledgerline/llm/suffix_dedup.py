@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import arrays as A
 from .bitmaps import among, bitmap_of
 
@@ -165,11 +165,12 @@ REGION = ("key long, h long, fp long, own long, c long, shift long, at long, n l
           "region binary")
 
 
-def _index(regions: DataFrame, length: int, group_bytes: int, task_bytes: int) -> DataFrame:
-    """(h, fp, a, b): runs of repeated string starts inside regions."""
-    import xxhash
+def _index(mixed: DataFrame, cut, length: int, group_bytes: int, task_bytes: int) -> DataFrame:
+    """(h, fp, a, b): runs of repeated string starts inside regions.
 
-    found = None
+    ``mixed`` has the groups (h, bytes); ``cut(mixed)`` gives the regions.
+    """
+    import xxhash
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
@@ -197,24 +198,35 @@ def _index(regions: DataFrame, length: int, group_bytes: int, task_bytes: int) -
                         column.append(value)
         return pa.table({x: pa.array(v, pa.int64()) for x, v in zip(("h", "fp", "a", "b"), out)})
 
-    while True:
+    def indexed(rows: DataFrame, total: int) -> DataFrame:
+        tasks = max(1, -(-total // task_bytes))
+        return (rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
+                .select("task", "h", "fp", "c", "shift", "region").groupBy("task")
+                .applyInArrow(match, "h long, fp long, a long, b long"))
+
+    # in the first round every group is known to hold several regions, and
+    # its size without its bytes
+    stats = mixed.select("h", "bytes").distinct().agg(
+        F.sum(F.when(F.col("bytes") <= group_bytes, F.col("bytes"))).alias("small"), F.max("bytes").alias("most")).first()
+    regions = cut(mixed)
+    hot = None
+    if (stats.most or 0) > group_bytes:
+        regions = stored(regions)
+        hot = regions.where(f"bytes > {group_bytes}").drop("bytes")
+    found = indexed(regions.where(f"bytes <= {group_bytes}"), stats.small or 0)
+    while hot is not None:
+        regions = stored(hot.mapInArrow(split, REGION))
         sizes = regions.groupBy("key").agg(F.sum("c").alias("all_c"), (F.min("own") != F.max("own")).alias("mixed"),
                                            F.sum(F.length("region")).alias("bytes"))
-        judged = checkpointed(regions.join(sizes, "key").where("all_c > 1"))
-        total = judged.where(f"mixed and bytes <= {group_bytes}").agg(F.sum(F.length("region"))).first()[0] or 0
-        tasks = max(1, -(-total // task_bytes))
+        judged = stored(regions.join(sizes, "key").where("all_c > 1"))
         whole = judged.where("not mixed and c = 1").select("h", "fp", F.col("shift").alias("a"),
                                                            (F.col("shift") + F.col("n") - 1).alias("b"))
-        indexed = (judged.where(f"mixed and bytes <= {group_bytes}")
-                   .withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-                   .select("task", "h", "fp", "c", "shift", "region").groupBy("task")
-                   .applyInArrow(match, "h long, fp long, a long, b long"))
-        now = whole.unionByName(indexed)
-        found = now if found is None else found.unionByName(now)
+        small = judged.where(f"mixed and bytes <= {group_bytes}")
+        total = small.agg(F.sum(F.length("region"))).first()[0] or 0
+        found = found.unionByName(whole).unionByName(indexed(small, total))
         hot = judged.where(f"mixed and bytes > {group_bytes}").select(*(x.split()[0] for x in REGION.split(", ")))
-        if hot.isEmpty():
-            return found
-        regions = checkpointed(hot.mapInArrow(split, REGION))
+        hot = None if hot.isEmpty() else hot
+    return found
 
 
 def _repeated_hashes(texts: DataFrame, length: int, gram: int, bucket_bytes: int = 512 << 20) -> DataFrame:
@@ -283,35 +295,39 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
 
     again = _repeated_hashes(texts, length, gram)
     maybe = bitmap_of(again, "h")
-    shared = checkpointed(texts.select("doc", "th", "text").mapInArrow(anchors, "doc long, th long, " + ANCHOR)
+    shared = stored(texts.select("doc", "th", "text").mapInArrow(anchors, "doc long, th long, " + ANCHOR)
                           .join(again, "h", "left_semi"))
     entries = shared.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "th", "start")).alias("one"),
                                             F.first("n").alias("n"), F.first("at").alias("at"))
-    several = entries.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where(
-        "kinds > 1 and least = 1").select("h")
-    mixed = entries.join(several, "h", "left_semi").select("h", "fp", "c", "one.*", "n", "at")
+    # a group of which every region is repeated whole needs no index
+    several = entries.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least"),
+                                       F.sum(F.col("n") - 1 + length).alias("bytes")).where(
+        "kinds > 1 and least = 1").select("h", "bytes")
+    mixed = stored(entries.join(several, "h").select("h", "fp", "c", "one.*", "n", "at", "bytes"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist()):
                 raw = text.encode()
                 for w in wanted:
                     out.append({"key": w["h"], "h": w["h"], "fp": w["fp"], "own": w["fp"], "c": w["c"], "shift": 0,
-                                "at": w["at"], "n": w["n"], "o1": 0, "o2": length - gram,
+                                "at": w["at"], "n": w["n"], "o1": 0, "o2": length - gram, "bytes": w["bytes"],
                                 "region": raw[w["start"]:w["start"] + w["n"] - 1 + length]})
             yield pa.RecordBatch.from_pylist(out, schema=region)
 
     region = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64())
-                        for x in REGION.split(", ")])
-    # a group of which every region is repeated whole needs no index
-    wanted = mixed.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "fp", "c", "start", "n", "at")).alias("wanted"))
-    # repeated rows cut the same regions: one of each stays
-    wanted = checkpointed(wanted.withColumn("key", F.xxhash64("doc", "th")))
-    regions = checkpointed(_only(texts.select("doc", "th", "key", "text"), bitmap_of(wanted, "key")).drop("key")
-                           .join(wanted.drop("key"), ["doc", "th"]).select("text", "wanted").mapInArrow(cut, REGION)
-                           .dropDuplicates(["h", "fp"]))
-    partly = _index(regions, length, group_bytes, task_bytes)
+                        for x in (REGION + ", bytes long").split(", ")])
+
+    def cut(mixed_: DataFrame) -> DataFrame:
+        wanted = stored(mixed_.groupBy("doc", "th").agg(
+            F.collect_list(F.struct("h", "fp", "c", "start", "n", "at", "bytes")).alias("wanted")))
+        keys = bitmap_of(wanted.select(F.xxhash64("doc", "th").alias("key")), "key")
+        # repeated rows cut a region twice, but never one that counts once
+        return (_only(texts.select("doc", "th", "key", "text"), keys).drop("key")
+                .join(wanted, ["doc", "th"]).select("text", "wanted").mapInArrow(take, REGION + ", bytes long"))
+
+    partly = _index(mixed, cut, length, group_bytes, task_bytes)
     copied = entries.where("c > 1").select("h", "fp", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
     ranges = shared.select("doc", "th", "h", "fp", "start").join(copied.unionByName(partly), ["h", "fp"])
     return ranges.groupBy("doc", "th").agg(F.collect_set(F.struct(
