@@ -11,7 +11,9 @@ chain is a covered template span.  A template whose best chain covers at least
 ``min_cover`` of its tokens gives its label.
 
 Tokens that no template holds reset the automaton, so only runs of template
-tokens are streamed; they are found with one vectorised lookup.
+tokens are streamed; they are found with one vectorised lookup.  The matches of
+all runs of a text are chained together by their word positions in the text, so
+foreign words inside a notice count as gap like any others.
 
 Edge cases: a null or empty text has no words, no labels and score 0; repeated
 rows give equal rows; other columns of the input are ignored, whatever their
@@ -138,35 +140,39 @@ def chain(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int,
     sides within ``max_gap`` tokens; overlaps count once.
     """
     chains: list[list[int]] = []  # text end, template end, covered, text start
+    near: list[list[int]] = []  # those that a match can still join
     for at, place, n in matches:
+        near = [ch for ch in near if at - ch[0] <= max_gap]
         best, gain = None, n
-        for ch in chains:
+        for ch in near:
             skip = max(0, ch[0] - at, ch[1] - place)
             if skip < n and at + skip - ch[0] <= max_gap and place + skip - ch[1] <= max_gap \
                     and ch[2] + n - skip > gain:
                 best, gain = ch, ch[2] + n - skip
         if best is None:
             chains.append([at + n, place + n, n, at])
+            near.append(chains[-1])
         else:
             best[:3] = [at + n, place + n, gain]
     return [(ch[3], ch[0] - 1, ch[2]) for ch in chains]
 
 
-def _best_spans(run: list[int], first: int, automaton: SuffixAutomaton, lengths: list[int],
-                min_match: int, max_gap: int) -> list[tuple[int, int, int, int]]:
-    """Covered spans (template, first word, last word, covered) in one run."""
+def _matches(run: list[int], first: int, automaton: SuffixAutomaton, min_match: int,
+             by_template: dict[int, list[tuple[int, int, int]]]) -> None:
+    """Add the maximal matches of one run, which starts at word ``first`` of its text."""
     stats = automaton.statistics(run)
-    by_template: dict[int, list[tuple[int, int, int]]] = {}
     for i, (state, n) in enumerate(stats):
         # a match is maximal where the next token does not lengthen it
         if n >= min_match and (i + 1 == len(stats) or stats[i + 1][1] != n + 1):
             for k, end in automaton.ends[state]:
-                by_template.setdefault(k, []).append((i - n + 1, end - n + 1, n))
-    out = []
-    for k, found in by_template.items():
-        for a, b, covered in chain(sorted(found), max_gap):
-            out.append((k, first + a, first + b, min(covered, lengths[k])))
-    return out
+                by_template.setdefault(k, []).append((first + i - n + 1, end - n + 1, n))
+
+
+def _best_spans(by_template: dict[int, list[tuple[int, int, int]]], lengths: list[int],
+                max_gap: int) -> list[tuple[int, int, int, int]]:
+    """Covered spans (template, first word, last word, covered) of one text."""
+    return [(k, a, b, min(covered, lengths[k])) for k, found in by_template.items()
+            for a, b, covered in chain(sorted(found), max_gap)]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -207,7 +213,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fits = where + len(seq) <= first[doc + 1] if len(where) else np.empty(0, bool)
                 for d, p in zip(doc[fits], where[fits]):
                     base[d].append((int(p - first[d]), label))
-            spans: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n)]
+            matches: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in range(n)]
             edge = np.diff(np.concatenate([[0], known.astype(np.int8), [0]]))
             a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             keep = b - a >= min_match
@@ -216,8 +222,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for d in range(d0, d1 + 1):  # a run may touch several texts
                     x, y = max(p, first[d]), min(q, first[d + 1])
                     if y - x >= min_match:
-                        spans[d] += _best_spans(word[x:y].tolist(), int(x - first[d]), automaton,
-                                                lengths, min_match, max_gap)
+                        _matches(word[x:y].tolist(), int(x - first[d]), automaton, min_match, matches[d])
+            spans = [_best_spans(m, lengths, max_gap) for m in matches]
             out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ", 7)}
             for d in range(n):
                 places = sorted(p for p, _ in base[d])

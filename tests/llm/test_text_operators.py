@@ -138,6 +138,16 @@ def test_license_scan_counts_base_phrases_and_adds_labels(spark):
     assert license_scan.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_chains_over_foreign_words(spark):
+    notice = "permission is hereby granted free of charge to any person {} obtaining a copy of this software and associated documentation files"
+    texts = [notice.format("natural or legal"), notice.format("zwei drei vier fuenf"), notice.format("eins zwei drei vier fuenf"),
+             "you may not use this file except in compliance with Acme license you may obtain a copy of the license at"]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[d].labels for d in range(4)] == ["mit", "mit", "", "apache"]
+    assert [rows[d].score for d in range(4)] == [1.0, 1.0, 0.5, 20 / 21]
+    assert [(x.first_word, x.last_word, x.covered, x.length) for x in rows[0].spans] == [(0, 22, 20, 20)]
+
+
 def test_suffix_automaton_gives_matching_statistics():
     rng = random.Random(2)
     sequences = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(6)]
