@@ -6,7 +6,9 @@ their distinct neighbours, so copies of one text count once.  The lexicon is a
 trie; the positions (trie node, errors so far) of a Levenshtein automaton are
 intersected with it and made deterministic, so that one table look-up per
 character finds every listed term and its misspellings (one error from
-``one_error_from`` letters, two from ``two_errors_from``).  A hit is taken as
+``one_error_from`` letters, two from ``two_errors_from``).  Every term that
+passes the evidence tests is listed; a long lexicon is dealt over several such
+tables, whose hits are united.  A hit is taken as
 quoted where quotation marks or words of reporting stand around it inside a
 window of words.  Every (term, errors, quoted) gets the smoothed share of
 toxic texts among the labelled texts that hold it, and a text's score is the
@@ -44,6 +46,7 @@ REPORTING = {"said", "says", "called", "quote", "quoted", "wrote", "word", "term
 # space to divide sign where not a letter, general punctuation
 _BREAKS = [*(c for c in range(128) if not chr(c).isalnum()), 0x85, 0xA0, 0xA1, 0xA7, 0xAB, 0xB7, 0xBB, 0xBF,
            0xD7, 0xF7, *range(0x2000, 0x2070), *range(0x3000, 0x3020)]
+PART_TERMS = 128
 
 
 @dataclass
@@ -180,6 +183,37 @@ class Automaton:
         return hit[order], kind[order]
 
 
+class Automata:
+    """Terms dealt over automata of at most ``PART_TERMS`` terms, hits united.
+
+    Neighbours in the alphabet share an automaton, so that a trie stays narrow.
+    A word's hit is the one with fewest errors, as if one table held all terms.
+    """
+
+    def __init__(self, terms: list[Term]):
+        self.terms = terms
+        order = sorted(range(len(terms)), key=lambda k: terms[k].text)
+        self.parts = []
+        for a in range(0, len(terms), PART_TERMS):
+            own = sorted(order[a:a + PART_TERMS])
+            self.parts.append((Automaton([terms[k] for k in own]), np.array(own, np.int64)))
+
+    def match(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers that hit, and 3 * term + errors of each."""
+        if len(self.parts) == 1:
+            return self.parts[0][0].match(words)
+        # every distinct word is read once by each automaton
+        _, at, back = np.unique(_hash(words.chars, words.starts, words.ends), return_index=True, return_inverse=True)
+        distinct = Words(words.chars, words.starts[at], words.ends[at], words.first, words.edges)
+        best = np.full(len(at), 3 * len(self.terms), np.int64)  # errors first, then term
+        for automaton, own in self.parts:
+            hit, kind = automaton.match(distinct)
+            best[hit] = np.minimum(best[hit], kind % 3 * len(self.terms) + own[kind // 3])
+        best = best[back]
+        hits = np.flatnonzero(best < 3 * len(self.terms))
+        return hits, 3 * (best[hits] % max(1, len(self.terms))) + best[hits] // max(1, len(self.terms))
+
+
 def _hash(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return A.span_hashes(chars, starts, ends, seed=3)
 
@@ -215,7 +249,7 @@ class Model:
 
     def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, score) of every row."""
-        automaton, weights, base = Automaton(self.terms), self.weights, self.base
+        automaton, base = Automata(self.terms), self.base
         window, strength = self.window, self.strength
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +266,7 @@ class Model:
 
     def reject(self, df: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
         """The rows, whole, whose score is below the threshold."""
-        automaton, base, window, strength = Automaton(self.terms), self.base, self.window, self.strength
+        automaton, base, window, strength = Automata(self.terms), self.base, self.window, self.strength
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, words, hits, keys in find(batches, automaton, window, text_col):
@@ -258,7 +292,7 @@ def prior_share(key: int) -> float:
     return a / (a + b)
 
 
-def find(batches, automaton: Automaton, window: int, text_col: str = "text"):
+def find(batches, automaton: Automata, window: int, text_col: str = "text"):
     """(rows, words, hits, keys) per slice; key = 2 * (3 * term + errors) + quoted."""
     for rows, _, _ in A.slices(batches, text_col, 1 << 20):
         words = read_words(rows.column(rows.schema.get_field_index(text_col)).to_pylist())
@@ -300,7 +334,7 @@ def _candidates(texts: list[str], min_contexts: int) -> dict:
     return out
 
 
-def _lexicon(batches, min_contexts: int, evidence: float, max_terms: int):
+def _lexicon(batches, min_contexts: int, evidence: float):
     """Rows (term, stem) from rows ordered with the toxic ones first."""
     toxic_texts: list[str] = []
     found: dict | None = None
@@ -342,7 +376,7 @@ def _lexicon(batches, min_contexts: int, evidence: float, max_terms: int):
     kept = []
     for contexts, n, term, at in good:
         new = [w for w in at.tolist() if w not in covered]
-        if len(new) >= min_contexts and len(kept) < max_terms:
+        if len(new) >= min_contexts:
             covered.update(new)
             kept.append((term, n > 0))
     return kept
@@ -354,7 +388,7 @@ def allowed_errors(term: str, one_error_from: int, two_errors_from: int) -> int:
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", seeds: list[str] | None = None, max_fit_rows: int = 16_000,
-        min_contexts: int = 5, evidence: float = 20.0, max_terms: int = 150,
+        min_contexts: int = 5, evidence: float = 20.0,
         one_error_from: int = 5, two_errors_from: int = 9, window: int = 6) -> Model:
     """Learn from ``labels`` (already restricted to the rows to learn from)."""
     seeds = SEEDS if seeds is None else seeds
@@ -367,7 +401,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _lexicon(batches, min_contexts, evidence, max_terms)
+        terms = _lexicon(batches, min_contexts, evidence)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()),
                                           pa.array([s for _, s in terms], pa.bool_())], names=["term", "stem"])
 
@@ -376,7 +410,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     have = {t.text for t in terms}
     terms += [Term(s, False, allowed_errors(s, one_error_from, two_errors_from)) for s in seeds
               if s not in have and not any(t.stem and s.startswith(t.text) for t in terms)]
-    automaton = Automaton(terms)
+    automaton = Automata(terms)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, found, keys in find(batches, automaton, window):

@@ -211,6 +211,33 @@ def test_toxicity_learns_scores_and_spares_quotations(spark):
     assert {t.text for t in seeds_only.terms} == set(toxicity.SEEDS)
 
 
+def test_toxicity_keeps_every_term_of_a_wide_lexicon(spark):
+    rng = random.Random(8)
+    bad = sorted({"".join(rng.choice("bdfgklmnprz") for _ in range(8)) for _ in range(300)})
+    plain = ["".join(rng.choice("aeioust") for _ in range(5)) for _ in range(40)]
+    texts = [(bad * 10)[8 * i:8 * i + 8] + rng.sample(plain, 20) for i in range(len(bad) * 10 // 8)]
+    texts = [" ".join(rng.sample(words, len(words))) for words in texts]
+    rows = [(i, t, 1) for i, t in enumerate(texts)]
+    rows += [(len(rows) + i, " ".join(rng.choice(plain) for _ in range(28)), 0) for i in range(10 * len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    probe = spark.createDataFrame([(i, f"aeiou {w} tosie") for i, w in enumerate(bad)], "doc_id long, text string")
+    assert [r.doc_id for r in model.score(probe).collect() if r.score < 0.7] == []
+    assert len(toxicity.Automata(model.terms).parts) > 1
+
+
+def test_united_automata_hit_like_one(monkeypatch):
+    rng = random.Random(9)
+    terms = [toxicity.Term(t, i % 3 == 0, 2 if len(t) > 6 else 1 if len(t) > 4 else 0) for i, t in enumerate(dict.fromkeys(
+        t for t in noise(40, "abc", 8, seed=6) if len(t) > 2))]
+    rng.shuffle(terms)
+    words = toxicity.read_words([" ".join(noise(2000, "abcx", 10, seed=7)), None, ""])
+    hits, kinds = toxicity.Automaton(terms).match(words)
+    monkeypatch.setattr(toxicity, "PART_TERMS", 5)
+    got = toxicity.Automata(terms).match(words)
+    assert len(hits) and got[0].tolist() == hits.tolist() and got[1].tolist() == kinds.tolist()
+
+
 def test_language_model_base_is_exact_and_the_model_better(spark):
     import math
     from collections import Counter
