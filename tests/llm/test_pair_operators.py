@@ -158,6 +158,24 @@ def test_jaccard_join_matches_all_pairs(spark, width, ratio, options):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+def test_large_clusters_are_dealt_on_both_sides_without_unlinked_template_pages(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    template = rng.integers(0, 1 << 63, 60, np.int64).view(np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 1 << 63, 40, np.int64).view(np.uint64)])) for _ in range(80)]
+    sets[79] = np.unique(np.concatenate([sets[78][:97], rng.integers(0, 1 << 63, 3, np.int64).view(np.uint64)]))
+    members = spark.createDataFrame([(7, i % 4, 4, i, bytearray(one.tobytes())) for i, one in enumerate(sets)],
+                                    "cluster long, block int, blocks int, node long, set binary")
+    may = jaccard_join._may_link(members, 8000, (85, 100))
+    assert sorted(r.node for r in may.collect()) == [78, 79]
+    asked, items = jaccard_join._dealt(members.withColumn("label", F.col("node")), members, 1000)
+    queries = asked.groupBy("cluster", "part", "block").count().collect()
+    assert len(queries) == 8 * 4 and max(r["count"] for r in queries) < 40 and sum(r["count"] for r in queries) == 80 * 4
+    assert {(r.part, r.block, r["count"]) for r in items.groupBy("part", "block").count().collect()} == {
+        (p, b, 20) for p in range(8) for b in range(4)}
+
+
 def brute_dedup(docs, length):
     count = Counter(b[i:i + length] for _, b in docs for i in range(len(b) - length + 1))
     out = []
