@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import (byte_bpe, jaccard_join, license_scan, maxent_lm, multiprobe, norm_search, packing,
-               suffix_dedup, toxicity, url_filter)
+               suffix_dedup, toxicity, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_maxent_lm")
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), n_components=16)

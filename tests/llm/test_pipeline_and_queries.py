@@ -64,7 +64,7 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 def test_queries_are_registered_once_each():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
