@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 from ..session import checkpointed
-from . import (byte_bpe, jaccard_join, license_scan, maxent_lm, multiprobe, norm_search, packing,
-               suffix_dedup, toxicity, url_filter, whitening)
+from . import (byte_bpe, collocations, jaccard_join, license_scan, maxent_lm, multiprobe, norm_search,
+               packing, suffix_dedup, toxicity, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,42 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), n_components=16)
+
+
+@query("op13_phrase_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, m, phrase, count(*) AS f
+  FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))
+          AS phrase
+        FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))
+  GROUP BY ALL),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, k,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM c))
+  GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+ranked AS (
+  SELECT cut.lang, row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, a DESC, cut.phrase) AS rank,
+         cut.phrase, a, l, r, n, score
+  FROM cut JOIN n ON n.lang = cut.lang
+  LEFT JOIN inside i ON i.lang = cut.lang AND i.phrase = cut.phrase
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT * FROM ranked WHERE rank <= 2000
+""")
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), min_count=30, top=2000)
