@@ -49,7 +49,7 @@ from . import quotient_filter as Q
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPACES = b" \t"
 SLICE = 1 << 20
-BUFFER = 1 << 20        # entries of a task's filters before they are written
+BUFFER = 1 << 19        # entries of a task's filters before they are written
 PART_WORDS = 1 << 20    # words of text per part of the merged filters
 MIN_PARTS = 6           # bits
 UNKNOWN = "und"

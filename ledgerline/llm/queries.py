@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 from ..session import checkpointed
-from . import (byte_bpe, collocations, jaccard_join, license_scan, maxent_lm, multiprobe, norm_search,
-               packing, suffix_dedup, toxicity, url_filter, whitening)
+from . import (byte_bpe, collocations, cross_parsing, jaccard_join, license_scan, maxent_lm, multiprobe,
+               norm_search, packing, suffix_dedup, toxicity, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +142,13 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
 
 
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = cross_parsing.identify(documents, documents.where(id_remainder("doc_id", 5) != 0))
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), n_components=16)
