@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from ..adapter import with_ctes
 from ..operators import features as feat
 from ..operators.master import MASTER_COLUMNS, master_from_sf
+from ..session import stored
 from ..sources import io as IO
-from .artifacts import (QUERY_FOREST, curated_master, demand_artifact, forest_artifact, products_with_demand,
-                        segment_artifact, shared_path)
+from .artifacts import (curated_master, demand_artifact, forest_artifact, products_with_demand, segment_artifact,
+                        shared_path)
 from . import sql_ctes as Q
 from .registry import register
 
@@ -780,22 +781,22 @@ def q_unknown_products(spark, sf_dir):
     return DM.unknown_products(_requests(spark, sf_dir), products_with_demand(spark, sf_dir))
 
 
-@register("split_demand", with_ctes("""
-SELECT product_id, order_date,
-  CASE WHEN CAST(('0x' || substr(md5(CAST(product_id AS VARCHAR) || '|' ||
-       strftime(order_date, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 100 AS INTEGER) < 20
-       THEN 'test' ELSE 'train' END AS split
-FROM demand""", Q.DAILY + "," + Q.DEMAND))
+_SPLIT_SQL = """CASE WHEN row_number() OVER (ORDER BY
+       ('0x' || substr(md5(CAST(product_id AS VARCHAR) || '|' || strftime(order_date, '%Y-%m-%d %H:%M:%S')), 1, 13))::BIGINT,
+       CAST(product_id AS VARCHAR) || '|' || strftime(order_date, '%Y-%m-%d %H:%M:%S'))
+       <= (count(*) OVER () * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split"""
+
+
+@register("split_demand", with_ctes(f"SELECT product_id, order_date, {_SPLIT_SQL} FROM demand",
+                                    Q.DAILY + "," + Q.DEMAND))
 def q_split_demand(spark, sf_dir):
-    """M3: deterministic 80/20 train/test split of the demand rows."""
-    d = _demand(spark, sf_dir).select("product_id", "order_date")
+    """M3: deterministic train/test split of the demand rows, exactly 20 % test."""
+    d = stored(_demand(spark, sf_dir).select("product_id", "order_date"))
     return DM.split(d, ["product_id", "order_date"], 20)
 
 
-@register("demand_train_rows", with_ctes("""
-SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(product_id AS VARCHAR) || '|' ||
-       strftime(order_date, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 100 AS INTEGER) < 20
-       THEN 'test' ELSE 'train' END AS split
+@register("demand_train_rows", with_ctes(f"""
+SELECT *, {_SPLIT_SQL}
 FROM (SELECT order_date, """ + ", ".join(feat.DEMAND_FEATURES) + """, target_demand FROM demand)""",
                                          Q.DAILY + "," + Q.DEMAND))
 def q_demand_train_rows(spark, sf_dir):
@@ -918,7 +919,7 @@ def q_training_summary(spark, sf_dir):
     out = IO.unique_scratch(spark, "training")
     raw_p, raw_c, raw_o = products_table(spark, sf_dir), customers_table(spark, sf_dir), \
         orders_table(spark, sf_dir)
-    return train_all(spark, raw_p, raw_c, raw_o, out, QUERY_FOREST, forest_trees=200, kmeans_restarts=20)
+    return train_all(spark, raw_p, raw_c, raw_o, out, forest_trees=200, kmeans_restarts=20)
 
 
 @register("dashboard")
@@ -982,7 +983,22 @@ def q_embedding_search(spark, sf_dir):
     return hits.select("query_id", "vec_id", "score", "rank")
 
 
-@register("demand_features_matrix")
+_ONE_HOT_JOIN = "\n".join(f"JOIN idx i{i} ON i{i}.k = {i} AND i{i}.v = CAST(d.{c} AS VARCHAR)"
+                          for i, c in enumerate(feat.DEMAND_CATEGORICAL))
+_ONE_HOT_AT = ", ".join(f"i{i}.p" for i in range(len(feat.DEMAND_CATEGORICAL)))
+_ONE_HOT_NUM = ", ".join(f"{{'i': w.n + {k}, 'v': CAST(d.{c} AS DOUBLE)}}" for k, c in enumerate(feat.DEMAND_NUMERIC))
+
+
+@register("demand_features_matrix", with_ctes(f"""
+SELECT product_id, order_date, n_features, list_concat(cat, list_transform(num, lambda x: x.i)) AS indices,
+  list_concat(list_transform(cat, lambda x: 1.0::DOUBLE), list_transform(num, lambda x: x.v)) AS values
+FROM (SELECT d.product_id, d.order_date, CAST(w.n + {len(feat.DEMAND_NUMERIC)} AS INTEGER) AS n_features,
+        [{_ONE_HOT_AT}] AS cat, list_filter([{_ONE_HOT_NUM}], lambda x: x.v <> 0) AS num
+      FROM demand d CROSS JOIN (SELECT count(*) AS n FROM idx) w
+      {_ONE_HOT_JOIN})""", Q.DAILY + "," + Q.DEMAND + """,
+idx AS (SELECT k, v, row_number() OVER (ORDER BY k, v) - 1 AS p
+        FROM (SELECT DISTINCT k, v FROM (""" + " UNION ALL ".join(
+    f"SELECT {i} AS k, CAST({c} AS VARCHAR) AS v FROM demand" for i, c in enumerate(feat.DEMAND_CATEGORICAL)) + """)))"""))
 def q_demand_features_matrix(spark, sf_dir):
-    """M1: imputed + encoded + assembled model inputs of every demand row."""
+    """M1: imputed + one-hot encoded + assembled model inputs of every demand row."""
     return DM.feature_matrix(_demand(spark, sf_dir))
