@@ -1,14 +1,19 @@
 """Curated tables and model artifacts that several queries share.
 
-Each is built once per application and input folder, written under the shared
-scratch folder, and read back by every query that needs it (S3/S4, S7): no
-query repeats the master's joins or a training run, and nothing stays cached
-in executors or in this process.
+Each is built once per application and state of the input files, written under
+the shared scratch folder, and read back by every query that needs it (S3/S4,
+S7): no query repeats the master's joins or a training run, and nothing stays
+cached in executors or in this process.  A changed, added or removed input file
+changes the folder, so the next query reads it; threads of one application that
+ask for the same table wait for one build.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import threading
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +27,27 @@ from ..session import scratch_path
 from ..sources import io as IO
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """What the files under ``sf_dir`` are now: names, sizes, modification times.
+
+    Listed through the file system of the path, one entry per file.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(conf).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return hashlib.md5(json.dumps(sorted(found)).encode()).hexdigest()[:16]
+
+
 def shared_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A folder of this application for what derives from ``sf_dir``."""
-    source = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    return scratch_path(spark, f"{spark.sparkContext.applicationId}-{source}/{name}")
+    """A folder of this application for what derives from the present files of ``sf_dir``."""
+    return scratch_path(spark, f"{spark.sparkContext.applicationId}-{fingerprint(spark, sf_dir)}/{name}")
+
+
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
 def built(spark: SparkSession, path: str, build) -> str:
@@ -33,9 +55,10 @@ def built(spark: SparkSession, path: str, build) -> str:
 
     The mark is written last, so an interrupted build starts again.
     """
-    if not IO.path_exists(spark, f"{path}-done"):
-        build(path)
-        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
+    with _LOCKS[path]:
+        if not IO.path_exists(spark, f"{path}-done"):
+            build(path)
+            spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
     return path
 
 

@@ -71,3 +71,18 @@ def test_partitioned_write_makes_few_files(spark):
     IO.write_curated(df, path, partition_by=["year"])
     assert len(glob.glob(f"{path}/year=*/*.parquet")) <= 6
     assert IO.read_curated(spark, path).count() == 1000
+
+
+def test_curated_tables_follow_their_input_files(spark, tmp_path):
+    import shutil
+
+    import pyarrow.parquet as pq
+    from conftest import SF_SMALL
+    from ledgerline.plans.artifacts import curated_master
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path)
+    n = curated_master(spark, str(tmp_path)).count()
+    assert curated_master(spark, str(tmp_path)).count() == n
+    lines = pq.read_table(f"{SF_SMALL}/lineitem.parquet")
+    pq.write_table(lines.slice(0, len(lines) // 2), f"{tmp_path}/lineitem.parquet")
+    assert curated_master(spark, str(tmp_path)).count() == len(lines) // 2
