@@ -42,6 +42,7 @@ from ..session import checkpointed, stored
 from . import arrays as A
 from .bitmaps import among, bitmap_of
 
+SLICE = 1 << 18  # bytes of text that a pass looks at
 ANCHOR = "h long, fp long, start long, n long, at long"
 
 
@@ -77,7 +78,8 @@ def anchors_of(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     count = np.diff(np.append(first, len(s)))
     fp = A.span_hashes(buf, lo, lo + count - 1 + length, seed=6)
     text = np.searchsorted(off, lo, "right") - 1
-    return text, hashes[p].view(np.int64), fp.view(np.int64), lo - off[text], count, p - lo
+    # least hashes crowd the lowest values: mixed anew, for buckets and bitmaps
+    return text, A.mix64(hashes[p]).view(np.int64), fp.view(np.int64), lo - off[text], count, p - lo
 
 
 def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
@@ -251,7 +253,7 @@ def _repeated_hashes(texts: DataFrame, length: int, gram: int, bucket_bytes: int
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(
                 [h[edge[b]:edge[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "hashes"])
 
-        for _, buf, off in A.slices(batches, "text", 1 << 20):
+        for _, buf, off in A.slices(batches, "text", SLICE):
             kept.append(anchors_of(buf, off, length, gram)[1].view(np.uint64))
             if sum(map(len, kept)) > 1_000_000:
                 yield from rows()
@@ -285,7 +287,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in A.slices(batches, "text", 1 << 20):
+        for rows, buf, off in A.slices(batches, "text", SLICE):
             text, *columns = anchors_of(buf, off, length, gram)
             seen = among(maybe, columns[0])
             take, columns = pa.array(text[seen]), [c[seen] for c in columns]
