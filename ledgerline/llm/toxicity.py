@@ -47,6 +47,7 @@ REPORTING = {"said", "says", "called", "quote", "quoted", "wrote", "word", "term
 _BREAKS = [*(c for c in range(128) if not chr(c).isalnum()), 0x85, 0xA0, 0xA1, 0xA7, 0xAB, 0xB7, 0xBB, 0xBF,
            0xD7, 0xF7, *range(0x2000, 0x2070), *range(0x3000, 0x3020)]
 PART_TERMS = 128
+SLICE = 1 << 18  # bytes of text that are scored at once
 
 
 @dataclass
@@ -158,13 +159,24 @@ class Automaton:
         self.table = np.array([rows[i] for i in range(len(states))], np.int32)
         self.accept = np.array([accept[i] for i in range(len(states))], np.int32)
 
+    def classes(self, chars: np.ndarray) -> np.ndarray:
+        """The class of every character: a table for the scripts below U+3020,
+        a search in the sorted alphabet for the others."""
+        letters = np.array([ord(c) for c in self.alphabet], np.uint32)
+        table = np.zeros(0x3020, np.int32)
+        low = letters < len(table)
+        table[letters[low]] = np.flatnonzero(low) + 1
+        code = table[np.minimum(chars, len(table) - 1)]
+        far = np.flatnonzero(chars >= len(table))
+        code[far] = 0
+        if len(far) and not low.all():
+            at = np.minimum(np.searchsorted(letters, chars[far]), len(letters) - 1)
+            code[far] = np.where(letters[at] == chars[far], at + 1, 0)
+        return code
+
     def match(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers that hit, and 3 * term + errors of each."""
-        classes = np.zeros(0x3020, np.uint8)
-        for i, c in enumerate(self.alphabet, 1):
-            classes[min(ord(c), 0x301F)] = i
-        classes[0x301F] = 0
-        code = classes[np.minimum(words.chars, 0x301F)]
+        code = self.classes(words.chars)
         live = np.arange(len(words.starts))
         state = np.ones(len(live), np.int32)
         place = words.starts.copy()
@@ -294,7 +306,7 @@ def prior_share(key: int) -> float:
 
 def find(batches, automaton: Automata, window: int, text_col: str = "text"):
     """(rows, words, hits, keys) per slice; key = 2 * (3 * term + errors) + quoted."""
-    for rows, _, _ in A.slices(batches, text_col, 1 << 20):
+    for rows, _, _ in A.slices(batches, text_col, SLICE):
         words = read_words(rows.column(rows.schema.get_field_index(text_col)).to_pylist())
         hits, kinds = automaton.match(words)
         yield rows, words, hits, 2 * kinds.astype(np.int64) + quoted(words, hits, window)
