@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,10 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
 
     def describe(self, spans: list[bytes]) -> list[A.Ragged]:
-        coded = self.tokenizer.encode_batch([s.decode() for s in spans], add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)
         ids = [c.ids for c in coded]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return [A.Ragged(np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum())), lengths)]
+        return [A.Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)]
 
 
 def tokenise(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -62,7 +63,7 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = A.per_worker(("words", vocabulary), lambda: WordTokenizer(vocabulary))
-        table = A.per_worker(("words spans", vocabulary), lambda: A.SpanTable(words.describe))
+        table = A.per_worker(("words spans", vocabulary), lambda: A.SpanTable(words.describe, limit=1_000_000))
         blanks = A.byte_mask(A.BLANKS)
         for rows, buf, off in A.slices(batches, "text"):
             s, e = A.word_spans(buf, blanks)
