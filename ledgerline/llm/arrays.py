@@ -49,6 +49,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             buf = np.insert(data[off[at]:off[end]], local[1:], 10)
             yield batch.slice(at, end - at), buf, local + np.arange(end - at + 1)
             at = end
+    # the batches of a long partition are not kept by the worker's pool
+    pa.default_memory_pool().release_unused()
 
 
 def byte_mask(members: bytes) -> np.ndarray:
@@ -227,11 +229,19 @@ class SpanTable:
 
 
 def per_worker(key, make):
-    """``make()``, kept in the Python worker for its later tasks."""
+    """``make()``, kept in the Python worker for its later tasks.
+
+    What another operator (the first word of its keys) left there goes first:
+    a worker that serves the stages of a pipeline holds one operator's tables.
+    """
     import sys
     import types
 
-    kept = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    module = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker"))
+    operator = key[0].split()[0]
+    if getattr(module, "operator", None) != operator:
+        module.operator, module.kept = operator, {}
+        pa.default_memory_pool().release_unused()
+    if key not in module.kept:
+        module.kept[key] = make()
+    return module.kept[key]
