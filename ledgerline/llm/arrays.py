@@ -228,20 +228,28 @@ class SpanTable:
         return self.rows[at][which], self.columns
 
 
-def per_worker(key, make):
-    """``make()``, kept in the Python worker for its later tasks.
+def claimed(operator: str) -> dict:
+    """What ``operator`` keeps in this Python worker between its tasks.
 
-    What another operator (the first word of its keys) left there goes first:
-    a worker that serves the stages of a pipeline holds one operator's tables.
+    What another operator left there goes first: a worker that serves the
+    stages of a pipeline holds one operator's tables.
     """
     import sys
     import types
 
     module = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker"))
-    operator = key[0].split()[0]
     if getattr(module, "operator", None) != operator:
         module.operator, module.kept = operator, {}
         pa.default_memory_pool().release_unused()
-    if key not in module.kept:
-        module.kept[key] = make()
-    return module.kept[key]
+    return module.kept
+
+
+def per_worker(key, make):
+    """``make()``, kept in the Python worker for its operator's later tasks.
+
+    The first word of a key names the operator.
+    """
+    kept = claimed(key[0].split()[0])
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

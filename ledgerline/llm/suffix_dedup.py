@@ -48,6 +48,7 @@ ANCHOR = "h long, fp long, start long, n long, at long"
 
 def anchors_of(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     """Regions of all texts: (text, anchor hash, fingerprint, start, strings, anchor offset)."""
+    A.claimed("suffix_dedup")
     n = len(buf)
     empty = np.empty(0, np.int64)
     if n < length:

@@ -306,6 +306,7 @@ def prior_share(key: int) -> float:
 
 def find(batches, automaton: Automata, window: int, text_col: str = "text"):
     """(rows, words, hits, keys) per slice; key = 2 * (3 * term + errors) + quoted."""
+    A.claimed("toxicity")
     for rows, _, _ in A.slices(batches, text_col, SLICE):
         words = read_words(rows.column(rows.schema.get_field_index(text_col)).to_pylist())
         hits, kinds = automaton.match(words)
