@@ -3,8 +3,9 @@
 Vectors are turned to integers, ``floor(scale * x)``, and rotated by the
 eigenvectors of their Gram matrix (a singular value decomposition of all
 vectors), which moves most of the length into the first components and keeps
-inner products.  Items are cut into bands of falling length.  Inside a band
-they are processed by descending length, a chunk at a time: a whole chunk is
+inner products.  Items are cut into bands of falling length, each of one or
+more blocks, and a query visits only the bands whose longest item can reach its
+k-th best score so far.  Inside a block items are processed by descending length, a chunk at a time: a whole chunk is
 left out for a query when (query length) x (longest item) cannot reach the
 query's k-th best score; otherwise partial sums over the first components plus
 the Cauchy-Schwarz bound of the residuals prune pairs step by step, and only
@@ -19,12 +20,14 @@ id; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import vectors as V
 
 
@@ -113,34 +116,70 @@ def rotation_of(items: DataFrame) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
+@dataclass
+class Bands:
+    """Bands of falling length and the blocks that they are dealt into."""
+
+    cuts: np.ndarray  # ascending lengths between the bands
+    longest: np.ndarray  # longest item of every band, falling
+    first: np.ndarray  # first block of every band, and the end
+
+    def band(self, norm: np.ndarray) -> np.ndarray:
+        return len(self.cuts) - np.searchsorted(self.cuts, norm, side="right")
+
+    def block(self, norm: np.ndarray, h: np.ndarray) -> np.ndarray:
+        band = self.band(norm)
+        parts = self.first[band + 1] - self.first[band]
+        return (self.first[band] + h % np.maximum(parts, 1)).astype(np.int32)
+
+    def reach(self, length: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """How many blocks, from the first, may hold a score of ``floor`` or more."""
+        bound = np.where(length > 0, (floor - 1e-6) / np.maximum(length, 1e-300), -np.inf) * (1 - 1e-9) - 1e-9
+        bands = np.searchsorted(-self.longest, -bound, side="right")
+        return self.first[bands].astype(np.int32)
+
+
+def bands_of(items: DataFrame, blocks: int, block_rows: int, max_bands: int) -> Bands:
+    """At most ``max_bands`` bands of similar size; a band of more rows than a
+    block holds (many blocks in all, or one length shared by many rows) is
+    several blocks, so what the driver holds does not grow with the items."""
+    wanted = min(blocks, max_bands)
+    cuts = items.agg(F.percentile_approx("norm", [i / wanted for i in range(1, wanted)], 10_000)).first()[0] \
+        if wanted > 1 else []
+    edges = Bands(np.unique(np.array(cuts or [], float)), np.empty(0), np.empty(0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = batch.column(0).to_numpy()
+            band = edges.band(norm)
+            count = np.bincount(band, minlength=len(edges.cuts) + 1)
+            longest = np.zeros(len(count))
+            np.maximum.at(longest, band, norm)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.flatnonzero(count)), pa.array(count[count > 0]), pa.array(longest[count > 0])],
+                names=["band", "n", "longest"])
+
+    count, longest = np.zeros(len(edges.cuts) + 1, np.int64), np.zeros(len(edges.cuts) + 1)
+    for band, n, length in (items.select("norm").mapInArrow(measure, "band long, n long, longest double")
+                            .groupBy("band").agg(F.sum("n"), F.max("longest")).collect()):
+        count[band], longest[band] = n, length
+    # an empty band reaches as far as the next one
+    longest = np.maximum.accumulate(longest[::-1])[::-1]
+    return Bands(edges.cuts, longest, np.concatenate([[0], np.cumsum(-(-count // block_rows))]))
+
+
 def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id",
            vec_col: str = "embedding", block_rows: int = 8192, query_rows: int = 2048, seed_rows: int = 1024,
-           chunk: int = 512, steps: tuple[int, ...] = (16, 32)) -> DataFrame:
+           max_bands: int = 1024, chunk: int = 512, steps: tuple[int, ...] = (16, 32)) -> DataFrame:
     """(query_id, rank, vec_id, score) with integer scores."""
     items = V.valid_vectors(df, id_col, vec_col, zero_ok=True)
-    items = (items.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"),
-                          F.coalesce(is_query, F.lit(False)).alias("_is_query")).dropDuplicates(["vec_id", "v"])
-             .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))))
+    # written once: the statistics, the rotation, the seeds and the blocks read the copy
+    items = stored(items.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"),
+                                F.coalesce(is_query, F.lit(False)).alias("_is_query")).dropDuplicates(["vec_id", "v"])
+                   .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))))
     stats = items.agg(F.count("*").alias("n"), F.sum(F.col("_is_query").cast("int")).alias("q")).first()
     rotation = rotation_of(items)
-    blocks = max(1, -(-stats.n // block_rows))
-    # bands of falling length; one length shared by more rows than a block
-    # holds is a band of several blocks
-    cuts = items.agg(F.percentile_approx("norm", [i / blocks for i in range(1, blocks)], 100_000)).first()[0] \
-        if blocks > 1 else []
-    band = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        band = band + (F.col("norm") < c).cast("int")
-    items = items.withColumn("band", band)
-    first_block, at = [], 0
-    sizes = {r["band"]: r["count"] for r in items.groupBy("band").count().collect()}
-    for b in range(max(sizes, default=-1) + 1):
-        parts = max(1, -(-sizes.get(b, 0) // block_rows))
-        first_block.append((at, parts))
-        at += parts
-    place = F.lit(0)
-    for b, (start, parts) in enumerate(first_block):
-        place = F.when(F.col("band") == b, F.pmod(F.xxhash64("vec_id"), F.lit(parts)) + start).otherwise(place)
+    bands = bands_of(items, -(-stats.n // block_rows), block_rows, max_bands)
     seeds = items.orderBy(F.desc("norm"), "vec_id").limit(seed_rows).select("vec_id", "v").toArrow()
     seed_ids, seed = seeds["vec_id"].to_numpy(), V.matrix(seeds)
 
@@ -150,8 +189,15 @@ def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_c
             if len(q):
                 got = scan(batch.column(0).to_numpy(), q, seed_ids, seed, rotation, k,
                            np.full(len(q), -np.inf), chunk, steps)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.floor)],
-                                                 names=["vec_id", "v", "floor"])
+                reach = pa.array(bands.reach(np.sqrt((q * q).sum(axis=1)), got.floor))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.floor), reach],
+                                                 names=["vec_id", "v", "floor", "reach"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = bands.block(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)],
+                                             names=["vec_id", "v", "block"])
 
     def best(key, queries, members):
         out: list[list] = [[], [], []]
@@ -165,7 +211,10 @@ def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_c
                 out[2] += got.scores[n].tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), out)})
 
-    queries = items.where("_is_query").select("vec_id", "v").mapInArrow(start, "vec_id long, v array<double>, floor double")
-    found = V.blocked(queries, items.select("vec_id", "v", "band", "norm"), place, max(1, at),
-                      max(1, -(-(stats.q or 0) // query_rows)), best, "query_id long, vec_id long, score long")
+    queries = items.where("_is_query").select("vec_id", "v").mapInArrow(
+        start, "vec_id long, v array<double>, floor double, reach int")
+    members = items.select("vec_id", "v", "norm", F.xxhash64("vec_id").alias("h")).mapInArrow(
+        place, "vec_id long, v array<double>, block int")
+    found = V.blocked(queries, members, F.col("block"), F.col("reach"), max(1, -(-(stats.q or 0) // query_rows)),
+                      best, "query_id long, vec_id long, score long")
     return V.merged(found, k)

@@ -36,11 +36,20 @@ def matrix(table: pa.Table, column: str = "v") -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.empty((0, 0))
 
 
-def blocked(queries: DataFrame, items: DataFrame, item_block: Column, item_blocks: int, query_blocks: int,
+def blocked(queries: DataFrame, items: DataFrame, item_block: Column, item_blocks: int | Column, query_blocks: int,
             fn, schema: str) -> DataFrame:
-    """``fn(key, queries, items)`` on every pair of blocks."""
+    """``fn(key, queries, items)`` on every pair of blocks.
+
+    ``item_blocks`` may be a column of the queries: how many blocks, from the
+    first, a query visits.
+    """
+    if isinstance(item_blocks, Column):
+        queries = queries.where(item_blocks > 0)
+        item_blocks = item_blocks.cast("int")
+    else:
+        item_blocks = F.lit(item_blocks)
     q = (queries.withColumn("_q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))))
+         .withColumn("_i", F.explode(F.sequence(F.lit(0), item_blocks - 1))))
     v = (items.withColumn("_i", item_block.cast("int"))
          .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
     return q.groupBy("_q", "_i").cogroup(v.groupBy("_q", "_i")).applyInArrow(fn, schema)

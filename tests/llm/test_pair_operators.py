@@ -69,6 +69,33 @@ def test_norm_search_is_exact(spark, options):
     assert norm_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_topk(x, scale, every, k):
+    y = np.floor(x * scale).astype(np.int64)
+    want = []
+    for q in range(0, len(y), every):
+        s = y @ y[q]
+        order = [i for i in np.lexsort((np.arange(len(y)), -s)) if i != q][:k]
+        want += [(q, r + 1, i, int(s[i])) for r, i in enumerate(order)]
+    return want
+
+
+@pytest.mark.parametrize("max_bands", [7, 5000])
+def test_norm_search_with_two_thousand_blocks(spark, max_bands):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 6)) * rng.uniform(0.05, 3.0, size=(2000, 1))
+    x[100:400] = x[100]  # one length shared by many rows: a band of many blocks
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = norm_search.search(df, F.col("vec_id") % 250 == 0, k=4, scale=64, block_rows=1, seed_rows=32, max_bands=max_bands)
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == brute_topk(x, 64, 250, 4)
+
+
+def test_bands_cut_the_blocks_that_cannot_reach():
+    bands = norm_search.Bands(np.array([1.0, 2.0]), np.array([5.0, 1.9, 0.9]), np.array([0, 2, 3, 7]))
+    assert bands.band(np.array([0.5, 1.0, 1.9, 2.0, 5.0])).tolist() == [2, 1, 1, 0, 0]
+    assert sorted(set(bands.block(np.full(40, 0.5), np.arange(-20, 20)).tolist())) == [3, 4, 5, 6]
+    assert bands.reach(np.array([1.0, 1.0, 1.0, 1.0, 0.0]), np.array([4.0, 1.9, 0.1, 6.0, 0.0])).tolist() == [2, 3, 7, 0, 7]
+
+
 def test_multiprobe_recall_ranks_and_ties(spark):
     df, x = vectors(spark, n=1000)
     got = defaultdict(list)
