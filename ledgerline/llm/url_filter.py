@@ -9,8 +9,9 @@ is allowed by a rule (explicit allow goes before block), else blocked if a
 member is blocked by a rule, else the default.
 
 Edges come from each page: ``<link rel=canonical>``, ``<meta
-property=og:url>`` and ``<meta http-equiv=refresh>`` in its html, and the
-redirects that a URL's form implies (http to https, ``www.`` to the bare
+property=og:url>`` and ``<meta http-equiv=refresh>`` in the head of its html
+(comments, scripts and the like left out; relative references and dot segments
+resolved, character references decoded), and the redirects that a URL's form implies (http to https, ``www.`` to the bare
 host, fragment, default port and tracking parameters dropped).
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no
@@ -53,28 +54,72 @@ def place_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, query))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    def step(kept: Column, segment: Column) -> Column:
+        return (F.when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+                .when(segment == ".", kept).otherwise(F.array_append(kept, segment)))
+
+    segments = F.split(path, "/")
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array().cast("array<string>"), step)
+    # a last dot segment names a folder
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """``href`` as a URL, taken from the page at ``base``."""
-    scheme = F.regexp_extract(base, "(?s)^(.*?)://", 1)
+    """``href`` as a URL, taken from the page at ``base``; null if it names no
+    place on the web (``mailto:``, ``javascript:``)."""
+    own = F.regexp_extract(href, "(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(href, "(?s)^[^?#]*(.*)$", 1)
     root = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, "(?s)^(.*?://[^?#]*)", 1), "(?<![:/])/[^/]*$", "")
-    return (F.when(href.contains("://"), href)
-            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    folder = F.coalesce(F.nullif(F.regexp_replace(path_of(base), "[^/]*$", ""), F.lit("")), F.lit("/"))
+    full = (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+            .when(href.startswith("//"), F.concat(F.regexp_extract(base, "(?s)^(.*?)://", 1), F.lit(":"), href))
+            .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(href.startswith("/"), F.concat(root, href))
-            .otherwise(F.concat(folder, F.lit("/"), href)))
+            .when(own != "", F.concat(root, folder, href))
+            .when(href.startswith("?"), F.concat(root, path_of(base), tail))
+            .otherwise(F.concat(root, path_of(base), query_of(base), tail)))
+    return F.concat(F.regexp_extract(full, "(?s)^(.*?://[^/?#]*)", 1), without_dots(path_of(full)),
+                    F.regexp_extract(full, "(?s)^.*?://[^?#]*(.*)$", 1))
+
+
+# The character references that stand in URLs; & goes last, so
+# that a written-out reference is decoded once.
+REFERENCES = [("quot|#34|#x22", '"'), ("apos|#39|#x27", "'"), ("lt|#60|#x3c", "<"), ("gt|#62|#x3e", ">"),
+              ("sol|#47|#x2f", "/"), ("colon|#58|#x3a", ":"), ("quest|#63|#x3f", "?"), ("equals|#61|#x3d", "="),
+              ("num|#35|#x23", "#"), ("amp|#38|#x26", "&")]
+
+
+def decoded(value: Column) -> Column:
+    for names, char in REFERENCES:
+        value = F.regexp_replace(value, f"(?i)&({names});", char)
+    return value
+
+
+def head_of(html: Column) -> Column:
+    """The head of a page without comments and the bodies of raw elements."""
+    hidden = r"(?is)<!--.*?(-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(</\2\s*>|\z)"
+    return F.split(F.regexp_replace(html, hidden, " "), r"(?i)</head\b|<body\b", 2)[0]
 
 
 def link_targets(html: Column) -> Column:
     """Array of the hrefs by which a page names another URL as its own."""
-    def first(tag: str, attribute: str) -> Column:
-        element = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>", 0)
-        return F.regexp_extract(element, rf"(?is)\b{attribute}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+    start = r"(?<=[\s\"'/])"
+    head = head_of(html)
+
+    def first(tag: str, name: str, value: str, attribute: str) -> Column:
+        element = F.regexp_extract(
+            head, rf"(?is)<{tag}\b[^>]*{start}{name}\s*=\s*([\"'][^\"'>]*(?<=[\s\"']){value}(?=[\s\"'])|{value}(?=[\s>/]))[^>]*>", 0)
+        quoted = F.regexp_extract(element, rf"(?is){start}{attribute}\s*=\s*([\"'])\s*(.*?)\s*\1", 2)
+        return F.coalesce(F.nullif(quoted, F.lit("")),
+                          F.regexp_extract(element, rf"(?is){start}{attribute}\s*=\s*([^\"'>\s]+)", 1))
 
-    refresh = F.regexp_extract(html, r"(?is)<meta[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>", 0)
-    found = F.array(first(r"link[^>]*\brel\s*=\s*[\"']?canonical\b", "href"),
-                    first(r"meta[^>]*\bproperty\s*=\s*[\"']?og:url\b", "content"),
-                    F.regexp_extract(refresh, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: x != "")
+    refresh = F.regexp_extract(first("meta", "http-equiv", "refresh", "content"),
+                               r"(?is)^[\s\d.]*[;,]\s*url\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
+    found = F.array(first("link", "rel", "canonical", "href"), first("meta", "property", "og:url", "content"), refresh)
+    return F.transform(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: x != ""), decoded)
 
 
 def rule_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,7 +156,7 @@ def decide(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     formal = base.where(place_of(F.col("url")).isNotNull()).select(
         F.md5("url").alias("a"), F.md5(place_of(F.col("url"))).alias("b"))
     named = (base.where("url like '%://%' and size(targets) > 0").withColumn("target", F.explode("targets"))
-             .withColumn("target", absolute(F.col("url"), F.col("target"))))
+             .withColumn("target", absolute(F.col("url"), F.col("target"))).where("target is not null"))
     links = named.select(F.md5(place_of(F.col("url"))).alias("a"), F.md5(place_of(F.col("target"))).alias("b"))
     member = components(formal.unionByName(links).where("a is not null and b is not null"))
     # targets that are no page count with their own rules

@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -146,6 +148,114 @@ def test_url_rules_and_alias_decisions(spark):
     assert url_filter.decide(df, rules.limit(0)).where("verdict = 'allow'").count() == len(pages)
 
 
+class Links(HTMLParser):
+    """The links of a page's head, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.stopped, self.hidden = {}, False, 0
+
+    def handle_starttag(self, tag, attrs):
+        at = {k: v or "" for k, v in attrs}
+        self.stopped |= tag == "body"
+        self.hidden += tag in ("template", "noscript")
+        if self.stopped or self.hidden:
+            return
+        if tag == "link" and "canonical" in at.get("rel", "").lower().split():
+            self.found.setdefault("canonical", at.get("href", ""))
+        if tag == "meta" and at.get("property", "").lower() == "og:url":
+            self.found.setdefault("og", at.get("content", ""))
+        if tag == "meta" and at.get("http-equiv", "").lower() == "refresh":
+            _, _, url = at.get("content", "").partition("=")
+            self.found.setdefault("refresh", url)
+
+    def handle_endtag(self, tag):
+        self.stopped |= tag == "head"
+        self.hidden -= tag in ("template", "noscript")
+
+
+def brute_urls(pages, rules):
+    """Verdicts by plain loops: every rule, urljoin, union-find."""
+    def parts(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
+        return (m.group(1).lower(), m.group(2), m.group(3) or "") if m else ("", "", "")
+
+    def place(url):
+        host, path, query = parts(url)
+        host = re.sub(r"^www\.", "", re.sub(":(80|443)$", "", host))
+        pairs = [p for p in query[1:].split("&") if not re.match("(utm_[a-z]+|ref|fbclid|gclid)=", p)]
+        return (host, re.sub(r"/(index\.html?)?$", "", path), "&".join(pairs))
+
+    def rule(url):
+        host, path, _ = parts(url)
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+
+    edges, urls = [], {}
+    for _, url, html in pages:
+        if url and "://" in url:
+            edges.append((("form", url), ("place", place(url))))
+            urls[("form", url)] = url
+            links = Links()
+            links.feed(html or "")
+            for target in links.found.values():
+                if target and not re.match("(mailto|javascript):", target):
+                    full = urljoin(url, target.strip())
+                    edges.append((("place", place(url)), ("place", place(full))))
+                    edges.append((("form", full), ("place", place(full))))
+                    urls[("form", full)] = full
+    root, votes = find_roots(edges), defaultdict(set)
+    for node, url in urls.items():
+        if rule(url):
+            votes[root[node]].add(rule(url)[2])
+    out = []
+    for page_id, url, _ in pages:
+        r = rule(url)
+        group = votes[root[("form", url)]] if url and "://" in url else set()
+        out.append((page_id, r and r[0] + r[1], r[2] if r else "block" if group == {"block"} else "allow"))
+    return sorted(out)
+
+
+def test_url_filter_matches_plain_loops(spark):
+    rng = random.Random(11)
+    hosts = ["a.org", "www.a.org", "b.org", "x.example.com", "www.example.com", "q.net", "d.io", "e.io", "f.io"]
+    folders = ["/en/", "/es/", "/fr/", "/", "/x/y/", "/z/"]
+    def url():
+        tail = rng.choice(["", "", "?id=1", "?utm_source=m&id=1", "#top"])
+        return f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(folders)}{rng.choice('pqrst')}{tail}"
+    def reference():
+        return rng.choice([url, lambda: "../" + rng.choice(["en/p", "es/q", "../fr/r", "./x/../z/s"]), lambda: "/fr/../es/" + rng.choice("pq"),
+                           lambda: "//" + rng.choice(hosts) + "/es/p", lambda: "?id=1", lambda: "#end", lambda: "q", lambda: ".", lambda: "..",
+                           lambda: "mailto:a@b.org", lambda: "/go?u=http://q.net/fr/p", lambda: "p?id=1&amp;ref=3"])()
+    def page():
+        link = rng.choice([f'<link rel="canonical" href="{reference()}">', f"<LINK HREF='{reference()}' REL='alternate canonical'/>",
+                           f'<meta property="og:url" content="{reference()}">', f'<meta http-equiv="refresh" content="0; url={reference()}">',
+                           f'<link rel="stylesheet" href="{reference()}">', f'<link data-rel="canonical" href="{reference()}">'])
+        shape = rng.choice(["<html><head>%s</head><body>t</body></html>", "%s", "<head><!-- %s --></head>", "<script>var a = '%s';</script>",
+                            "<head></head><body>%s</body>", "<head><style>p{}</style>%s<title>a</title></head>", "<template>%s</template>", ""])
+        return shape % link if "%s" in shape else None
+    pages = [(i, url(), page()) for i in range(900)] + [(900, None, "<link rel=canonical href=/es/p>"), (901, "no url", None), (902, "", "")]
+    pages += [(7, url(), page()), pages[9]]  # one id with two URLs, one row twice
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = url_filter.decide(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
+    want = brute_urls(pages, RULES)
+    key = lambda r: tuple(str(c) for c in r)
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in got), key=key) == sorted(want, key=key)
+    inherited = [r for r in want if r[1] is None and r[2] == "block"]
+    assert len(inherited) > 10
+
+
+@pytest.mark.parametrize("base,href,want", [
+    ("http://h.org/a/b/c", "../z", "http://h.org/a/z"), ("http://h.org/a/b", "./", "http://h.org/a/"),
+    ("http://h.org", "q", "http://h.org/q"), ("http://h.org/a?x=1", "#t", "http://h.org/a?x=1#t"),
+    ("http://h.org/a?x=1", "?y", "http://h.org/a?y"), ("http://h.org/a/b", "../../../z", "http://h.org/z"),
+    ("https://h.org/a", "//o.net/x/../y", "https://o.net/y"), ("http://h.org/a", "/r?u=http://q.net/", "http://h.org/r?u=http://q.net/"),
+    ("http://h.org/a", "mailto:x@y", None)])
+def test_references_are_resolved(spark, base, href, want):
+    got = spark.createDataFrame([(base, href)], "b string, h string").select(url_filter.absolute(F.col("b"), F.col("h"))).first()[0]
+    assert got == want
+
+
 def shingle_set(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
