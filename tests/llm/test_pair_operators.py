@@ -218,7 +218,7 @@ def brute_urls(pages, rules):
 
 def test_url_filter_matches_plain_loops(spark):
     rng = random.Random(11)
-    hosts = ["a.org", "www.a.org", "b.org", "x.example.com", "www.example.com", "q.net", "d.io", "e.io", "f.io"]
+    hosts = ["a.org", "www.a.org", "b.org", "x.example.com", "www.example.com", "q.net", *(f"h{i}.io" for i in range(30))]
     folders = ["/en/", "/es/", "/fr/", "/", "/x/y/", "/z/"]
     def url():
         tail = rng.choice(["", "", "?id=1", "?utm_source=m&id=1", "#top"])
@@ -235,6 +235,8 @@ def test_url_filter_matches_plain_loops(spark):
                             "<head></head><body>%s</body>", "<head><style>p{}</style>%s<title>a</title></head>", "<template>%s</template>", ""])
         return shape % link if "%s" in shape else None
     pages = [(i, url(), page()) for i in range(900)] + [(900, None, "<link rel=canonical href=/es/p>"), (901, "no url", None), (902, "", "")]
+    pages += [(1000 + i, f"http://s{i}.io/a/{i}", f"<head><link rel=canonical href='{'http://q.net/fr/./u' if i % 2 else '//x.net/es/../fr/u'}{i}'></head>")
+              for i in range(20)]
     pages += [(7, url(), page()), pages[9]]  # one id with two URLs, one row twice
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = url_filter.decide(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()
