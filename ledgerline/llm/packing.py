@@ -138,7 +138,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
 
 
 def pack(pieces: DataFrame, max_tokens: int = 4096, max_documents: int | None = None,
-         max_cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+         max_cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.2, 0.2),
          group_pieces: int = 16_384) -> DataFrame:
     """Add (sequence_id, offset) to pieces with a ``length`` column."""
     capacity = (float(max_tokens), float(max_documents or max_tokens), float(max_cost or max_tokens ** 2))

@@ -119,6 +119,64 @@ def test_best_fit_keeps_every_capacity(rule):
     assert packing.best_fit(np.array([6, 4]), (10.0, 10.0, 100.0), (1.0, 0, 0), rule)[1].tolist() == [0, 6]
 
 
+def plain_best_fit(lengths, capacity, weights, rule):
+    """The stated rule over lists of open sequences, nothing closed early."""
+    rooms, bins = [], []
+    for size in lengths:
+        demand = [size / capacity[0], 1 / capacity[1], size * size / capacity[2]]
+        best, at = None, None
+        for b, room in enumerate(rooms):
+            left = [r - d for r, d in zip(room, demand)]
+            if min(left) < -1e-9:
+                continue
+            score = (-sum(w * d * r for w, d, r in zip(weights, demand, room)) if rule == "dot"
+                     else sum(w * x * x for w, x in zip(weights, left)))
+            if best is None or score < best - 1e-12:
+                best, at = score, b
+        if at is None:
+            rooms.append([1.0, 1.0, 1.0])
+            at = len(rooms) - 1
+        rooms[at] = [r - d for r, d in zip(rooms[at], demand)]
+        bins.append((at, best))
+    return bins, len(rooms)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity,weights", [((100.0, 4.0, 6000.0), (1.0, 0.3, 0.5)), ((100.0, 100.0, 10000.0), (1.0, 0.2, 0.2)),
+                                              ((100.0, 2.0, 1e9), (0.0, 1.0, 0.0))])
+def test_best_fit_chooses_as_the_plain_rule(rule, capacity, weights):
+    rng = np.random.default_rng(8)
+    lengths = np.sort(rng.integers(1, 70, 300))[::-1]
+    bins, _ = packing.best_fit(lengths, capacity, weights, rule)
+    want, count = plain_best_fit(lengths.tolist(), capacity, weights, rule)
+    assert abs(len(set(bins.tolist())) - count) <= 1  # ties may open one more or one less
+    # every choice is a best one: replay the choices against all open sequences
+    rooms = {}
+    for b, size in zip(bins.tolist(), lengths.tolist()):
+        demand = np.array([size / capacity[0], 1 / capacity[1], size * size / capacity[2]])
+        scores = {}
+        for k, room in rooms.items():
+            left = room - demand
+            if left.min() >= -1e-9:
+                scores[k] = -float((np.array(weights) * demand * room).sum()) if rule == "dot" else float((left * left) @ np.array(weights))
+        if b in rooms:
+            assert scores[b] <= min(scores.values()) + 1e-9
+        else:
+            assert not scores
+        rooms[b] = rooms.get(b, np.ones(3)) - demand
+
+
+def test_weights_of_documents_and_cost_take_part_and_keep_the_count():
+    rng = np.random.default_rng(2)
+    lengths = np.sort(np.concatenate([rng.integers(1, 600, 3000), rng.integers(600, 4097, 300)]))[::-1]
+    capacity = (4096.0, 4096.0, 4096.0 ** 2)
+    scalar = packing.best_fit(lengths, capacity, (1.0, 0.0, 0.0), "norm")[0]
+    vector = packing.best_fit(lengths, capacity, (1.0, 0.2, 0.2), "norm")[0]
+    assert (scalar != vector).any()
+    assert len(set(vector.tolist())) <= len(set(scalar.tolist())) + 1
+    assert len(set(vector.tolist())) <= 1.01 * lengths.sum() / 4096 + 1
+
+
 def test_license_scan_counts_base_phrases_and_adds_labels(spark):
     texts = ODD + ["MIT License. the mit-license, Apache  License", "Licensed under CC BY-NC 4.0.", "mit", "licenseé mit license",
                    "permission is hereby granted, free of charge, to any person obtaining a copy of this software",
