@@ -46,12 +46,54 @@ def strip(col) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(col), "(?U)^[\\s\\x1c-\\x1f]+", ""), "(?U)[\\s\\x1c-\\x1f]+\\z", "")
 
 
-def to_timestamp_safe(col, fmt: str | None = None) -> Column:
-    """date coerce; unparseable -> null (never raises)."""
-    c = _c(col)
-    if fmt:
-        return F.try_to_timestamp(c.cast("string"), F.lit(fmt))
-    return F.try_to_timestamp(c.cast("string"))
+def to_timestamp_safe(col, fmt: str | Column | None = None) -> Column:
+    """date coerce; unparseable -> null (never raises).
+
+    ``fmt`` is a datetime pattern, or a column that holds one.
+    """
+    c = _c(col).cast("string")
+    if fmt is None:
+        return F.try_to_timestamp(c)
+    return F.try_to_timestamp(c, F.lit(fmt) if isinstance(fmt, str) else fmt)
+
+
+# Day and time parts of a written timestamp.
+CLOCK = r"([T ])\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def date_pattern(col) -> Column:
+    """The datetime pattern in which a text is written, or null.
+
+    ``1/2/2025`` is read month first, unless the first number is above twelve
+    and the second is not.  Two-digit years and weekday names are not told.
+    """
+    c = _c(col).cast("string")
+    clock = F.regexp_extract(c, CLOCK, 0)
+    day = F.substring(c, F.lit(1), F.length(c) - F.length(clock))
+
+    def sign(pattern: str) -> Column:
+        return F.regexp_extract(day, pattern, 1)
+
+    year_first, year_last = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$", r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
+    first = F.regexp_extract(day, r"^(\d{1,2})\D", 1).try_cast("int")
+    second = F.regexp_extract(day, r"^\d{1,2}\D(\d{1,2})\D", 1).try_cast("int")
+    named, named_long = r"^\d{1,2}([- ])[A-Za-z]{3}\1\d{4}$", r"^\d{1,2}([- ])[A-Za-z]{4,}\1\d{4}$"
+    month_day = r"^[A-Za-z]+ \d{1,2}(,?) \d{4}$"
+    month = F.when(day.rlike("^[A-Za-z]{3} "), F.lit("MMM")).otherwise(F.lit("MMMM"))
+    shape = (F.when(day.rlike(year_first), F.concat_ws("", F.lit("yyyy"), sign(year_first), F.lit("M"), sign(year_first), F.lit("d")))
+             .when(day.rlike(year_last) & (first > 12) & (second <= 12),
+                   F.concat_ws("", F.lit("d"), sign(year_last), F.lit("M"), sign(year_last), F.lit("yyyy")))
+             .when(day.rlike(year_last), F.concat_ws("", F.lit("M"), sign(year_last), F.lit("d"), sign(year_last), F.lit("yyyy")))
+             .when(day.rlike(named), F.concat_ws("", F.lit("d"), sign(named), F.lit("MMM"), sign(named), F.lit("yyyy")))
+             .when(day.rlike(named_long), F.concat_ws("", F.lit("d"), sign(named_long), F.lit("MMMM"), sign(named_long), F.lit("yyyy")))
+             .when(day.rlike(month_day), F.concat_ws("", month, F.lit(" d"), sign(month_day), F.lit(" yyyy")))
+             .when(day.rlike(r"^\d{8}$"), F.lit("yyyyMMdd")))
+    at = (F.when(clock == "", F.lit(""))
+          .otherwise(F.concat(F.when(clock.startswith("T"), F.lit("'T'")).otherwise(F.lit(" ")), F.lit("H:mm"),
+                              F.when(clock.rlike(r":\d{2}:\d{2}"), F.lit(":ss")).otherwise(F.lit("")),
+                              F.when(clock.rlike(r"\.\d"), F.lit(".SSSSSSSSS")).otherwise(F.lit("")),
+                              F.when(clock.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.lit("XXX")).otherwise(F.lit("")))))
+    return F.concat(shape, at)
 
 
 def safe_div(num, den) -> Column:

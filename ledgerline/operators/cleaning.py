@@ -45,7 +45,7 @@ def clean(df: DataFrame, table: S.Table, order_key: Column, date_format: str | N
     ``order_key`` is the row order of the file: an explicit column, because no
     row number of a distributed scan is stable.
     """
-    df = clean_values(resolve(df, table, "alias", date_format, fill=False), table)
+    df = clean_values(resolve(df, table, "alias", date_format, fill=False, order=order_key), table)
     for c in table.columns:
         if c.kind == "date":
             require_columns(df, [c.name], table.name)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import schemas as S
-from ledgerline.functions.repair import normalize_columns, resolve_tables, source_of
+from ledgerline.functions.repair import as_date, normalize_columns, resolve_tables, source_of
 from ledgerline.functions.scalars import (blank_to_default, date_parts, round_half_up, to_number,
                                           to_timestamp_safe, unit_price)
 
@@ -88,13 +88,13 @@ def test_blank_means_unicode_white_space(spark):
     assert [r[0] for r in df.select(blank_to_default("s", "none")).collect()] == ["none", "a b", "none"]
 
 
-def test_text_dates_need_their_format(spark):
+def test_text_dates_by_format_or_found_pattern(spark):
     p = spark.createDataFrame([("P1",)], ["product_id"])
     c = spark.createDataFrame([("C1",)], ["customer_id"])
     o = spark.createDataFrame([("O1", "P1", "C1", 1, 1.0, "15/01/2025")],
                               ["order_id", "product_id", "customer_id", "quantity", "price", "order_date"])
     assert resolve_tables(p, c, o, date_format="dd/MM/yyyy")[2].first()["order_date"].month == 1
-    assert resolve_tables(p, c, o)[2].first()["order_date"] is None
+    assert resolve_tables(p, c, o)[2].first()["order_date"].month == 1
 
 
 def test_aliases_are_added_beside_their_source(spark):
@@ -102,3 +102,30 @@ def test_aliases_are_added_beside_their_source(spark):
     df = spark.createDataFrame([("P1", "2.5")], ["ProductID", "Unit Price"])
     out = resolve(df, S.PRODUCTS, "alias", fill=False)
     assert out.columns == ["productid", "unit_price", "product_id", "price"]
+
+
+@pytest.mark.parametrize("values", [
+    ["2025-01-02", "2025-03-04 10:00:00", "03/04/2025", None, "x", "2025-13-01"],
+    ["31/12/2024", "01/02/2025", "2025-01-02", "12/31/2024"], ["01/02/2025", "31/12/2024", "12/31/2024"],
+    ["1/2/2025", "12/31/2024", "02/29/2023", "02/29/2024"], [None, "2025/03/04", "2025-03-04"], ["04.05.2025", "30.05.2025", "12.30.2024"],
+    ["02 Mar 2025", "3 Apr 2025", "March 4, 2025"], ["Mar 2, 2025", "Apr 30, 2025", "March 4, 2025"], ["April 2, 2025", "June 30, 2025", "Jun 30, 2025"],
+    ["20250304", "20251332", "2025-03-04"], ["2025-01-02 10:20:30", "2025-01-03 00:00:01", "2025-01-03"],
+    ["2025-01-02T10:20:30", "2025-01-03T00:00:01", "01/03/2025"], ["12/31/2024 10:20", "1/3/2025 23:59", "1/3/2025"], ["02-Mar-2025", "03-Apr-2025", "2025-03-04"]])
+def test_one_pattern_from_the_first_value(spark, values):
+    """Against the data frame library whose rule it is: the first value's
+    format reads the column, the rest becomes null."""
+    import warnings
+    import pandas as pd
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = [None if pd.isna(v) else v.to_pydatetime() for v in pd.to_datetime(pd.Series(values, dtype=object), errors="coerce")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k long, d string").repartition(3)
+    got = df.select("k", as_date(df, "d", order=F.col("k")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in got] == want
+
+
+def test_pattern_without_an_order_is_the_most_frequent(spark):
+    df = spark.createDataFrame([("2025-01-02",), ("31/12/2024",), ("30/11/2024",), ("x",), (None,)], "d string")
+    got = {r.d: r.t for r in df.select("d", as_date(df, "d").alias("t")).collect()}
+    assert got["31/12/2024"].month == 12 and got["2025-01-02"] is None and got["x"] is None
+    assert df.limit(0).select(as_date(df.limit(0), "d")).count() == 0
