@@ -62,7 +62,7 @@ CLOCK = r"([T ])\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$"
 
 
 def date_pattern(col) -> Column:
-    """The datetime pattern in which a text is written, or null.
+    """The datetime pattern in which a text is written; null if it is no date.
 
     ``1/2/2025`` is read month first, unless the first number is above twelve
     and the second is not.  Two-digit years and weekday names are not told.
@@ -93,7 +93,8 @@ def date_pattern(col) -> Column:
                               F.when(clock.rlike(r":\d{2}:\d{2}"), F.lit(":ss")).otherwise(F.lit("")),
                               F.when(clock.rlike(r"\.\d"), F.lit(".SSSSSSSSS")).otherwise(F.lit("")),
                               F.when(clock.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.lit("XXX")).otherwise(F.lit("")))))
-    return F.concat(shape, at)
+    pattern = F.concat(shape, at)
+    return F.when(to_timestamp_safe(c, pattern).isNotNull(), pattern)
 
 
 def safe_div(num, den) -> Column:

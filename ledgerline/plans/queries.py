@@ -584,6 +584,39 @@ def q_clean_customers(spark, sf_dir):
     return out.select("customer_id", "region", "segment")
 
 
+from ..functions import repair as RP  # noqa: E402
+
+
+_BY_FORM = """CASE {form} WHEN 'iso' THEN TRY_STRPTIME(written, '%Y-%m-%d')
+  WHEN 'dmy' THEN TRY_STRPTIME(written, '%d/%m/%Y') WHEN 'mdy' THEN TRY_STRPTIME(written, '%m/%d/%Y') END"""
+
+
+@register("orders_found_format", with_ctes(f"""
+SELECT order_id, product_id, written, {_BY_FORM.format(form='coalesce(first, form)')} AS order_date,
+  {_BY_FORM.format(form='coalesce((SELECT mode(form) FROM forms), form)')} AS by_majority
+FROM (SELECT *, (SELECT nullif(arg_min(coalesce(form, 'none'), line_key), 'none') FROM forms WHERE written IS NOT NULL)
+        AS first FROM forms)""", """
+forms AS (
+  SELECT *, CASE WHEN written LIKE '____-%' THEN 'iso'
+      WHEN TRY_STRPTIME(written, '%m/%d/%Y') IS NOT NULL THEN 'mdy'
+      WHEN TRY_STRPTIME(written, '%d/%m/%Y') IS NOT NULL THEN 'dmy' END AS form
+  FROM (SELECT order_id, product_id, line_key, CASE WHEN (order_id + product_id) % 6 = 0 THEN NULL
+                 WHEN (order_id + product_id) % 5 = 0 THEN strftime(order_date, '%Y-%m-%d')
+                 WHEN (order_id + product_id) % 7 = 0 THEN '31/31/2025'
+                 ELSE strftime(order_date, '%d/%m/%Y') END AS written
+        FROM orders_c))"""))
+def q_orders_found_format(spark, sf_dir):
+    """dates written in mixed forms; the first value's form reads
+    all (each its own where the first is no date), or the most frequent one."""
+    o = orders_table(spark, sf_dir)
+    k = F.col("order_id") + F.col("product_id")
+    written = (F.when(k % 6 == 0, F.lit(None)).when(k % 5 == 0, F.date_format("order_date", "yyyy-MM-dd"))
+               .when(k % 7 == 0, F.lit("31/31/2025")).otherwise(F.date_format("order_date", "dd/MM/yyyy")))
+    raw = o.select("order_id", "product_id", "line_key", written.alias("written"))
+    return raw.select("order_id", "product_id", "written", RP.as_date(raw, "written", order=F.col("line_key")).alias("order_date"),
+                      RP.as_date(raw, "written").alias("by_majority"))
+
+
 @register("clean_orders", with_ctes("""
 SELECT order_id, product_id, customer_id, order_date, quantity, price, channel
 FROM (SELECT CAST(order_id AS VARCHAR) AS order_id, COALESCE(product_id, 'unknown') AS product_id,
@@ -692,6 +725,38 @@ def q_upsert(spark, sf_dir):
     return out.select("user_id", "n_events", "last_ts", "updated_at")
 
 
+@register("upsert_table", """
+WITH ex AS (SELECT user_id, count(*) AS n_events, max(ts) AS last_ts FROM events
+            WHERE event_type <> 'purchase' GROUP BY user_id),
+u AS (SELECT user_id, n_events, last_ts, last_ts AS updated_at FROM (
+        SELECT user_id, CAST(1 AS BIGINT) AS n_events, ts AS last_ts,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+        FROM events WHERE event_type = 'purchase') WHERE rn = 1),
+r AS (SELECT user_id, CAST(-1 AS BIGINT) AS n_events, max(ts) AS last_ts, max(ts) AS updated_at FROM events
+      WHERE event_type = 'signup' OR user_id % 50 = 0 GROUP BY user_id),
+one AS (SELECT user_id, n_events, last_ts, CAST(NULL AS TIMESTAMP) AS updated_at FROM ex
+        WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = ex.user_id)
+        UNION ALL SELECT * FROM u)
+SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = one.user_id)
+UNION ALL SELECT * FROM r""")
+def q_upsert_table(spark, sf_dir):
+    """S13 on a stored table: two batches of updates written back into a table
+    keyed by user (all purchases, then a few users), and the table read."""
+    ev = read(spark, sf_dir, "events")
+    path = IO.unique_scratch(spark, "user-activity")
+    existing = ev.filter(F.col("event_type") != "purchase").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last_ts"),
+        F.lit(None).cast("timestamp_ntz" if dict(ev.dtypes)["ts"] == "timestamp_ntz" else "timestamp").alias("updated_at"))
+    LG.write_keyed(existing, path, ["user_id"], parts=16)
+    purchases = ev.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.lit(1).cast("long").alias("n_events"), F.col("ts").alias("last_ts"), "event_id")
+    LG.upsert_table(spark, path, purchases, ["user_id"], ["last_ts", "event_id"], updated_at=F.col("last_ts"))
+    late = ev.where("event_type = 'signup' or user_id % 50 = 0").select(
+        "user_id", F.lit(-1).cast("long").alias("n_events"), F.col("ts").alias("last_ts"))
+    LG.upsert_table(spark, path, late, ["user_id"], ["last_ts"], updated_at=F.col("last_ts"))
+    return LG.read_keyed(spark, path).select("user_id", "n_events", "last_ts", "updated_at")
+
+
 @register("preview_master", with_ctes(
     f"SELECT {', '.join(MASTER_COLUMNS)} FROM master ORDER BY line_key LIMIT 5"))
 def q_preview_master(spark, sf_dir):
@@ -882,7 +947,7 @@ def q_segment_overview(spark, sf_dir):
 
 from ..operators import dashboard as DB  # noqa: E402
 from ..plans.training import train_all  # noqa: E402
-from ..streaming.scoring import StreamPaths, run_available_now  # noqa: E402
+from ..streaming.scoring import TRANSACTION_SCHEMA, StreamPaths, run_available_now  # noqa: E402
 
 
 _EMB_SQL = ("list_transform(range(" + str(DEFAULT_DIM) + "), lambda i: CAST(len(list_filter(bk, "
@@ -951,6 +1016,36 @@ def q_stream_scoring(spark, sf_dir):
     return spark.read.parquet(paths.scored)
 
 
+@register("stream_sinks", with_ctes("""
+SELECT order_id, quantity, price, discount_pct, promotion_flag, 'scored' AS sink, '' AS errors
+FROM tx WHERE quantity > 0 AND price > 0 AND discount_pct >= 0 AND promotion_flag IN (0, 1)
+UNION ALL
+SELECT order_id, quantity, price, discount_pct, promotion_flag, 'quarantine',
+  concat_ws('; ', CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'quantity must be > 0' END,
+    CASE WHEN price IS NULL OR price <= 0 THEN 'price must be > 0' END,
+    CASE WHEN discount_pct < 0 THEN 'discount_pct must be >= 0' END,
+    CASE WHEN promotion_flag NOT IN (0, 1) THEN 'promotion_flag must be 0 or 1' END)
+FROM tx WHERE NOT coalesce(quantity > 0 AND price > 0 AND discount_pct >= 0 AND promotion_flag IN (0, 1), false)""",
+    Q.MASTER_TX))
+def q_stream_sinks(spark, sf_dir):
+    """R1 + R2 + L8: one stream, two sinks; the columns that need no model."""
+    base = IO.unique_scratch(spark, "stream-sinks")
+    paths = StreamPaths(f"{base}/source", f"{base}/scored", f"{base}/quarantine", f"{base}/checkpoints")
+    k = F.col("order_id").cast("long") % 13
+    tx = _master(spark, sf_dir).select(
+        F.col("order_id").cast("string").alias("order_id"), F.when(k != 1, F.col("quantity")).alias("quantity"),
+        F.when(k == 2, -F.col("price")).otherwise(F.col("price")).alias("price"),
+        F.when(k == 3, F.lit(-1.0)).otherwise(F.col("discount_pct")).alias("discount_pct"),
+        F.when(k.isin(3, 4), F.lit(7)).otherwise(F.col("promotion_flag").cast("int")).alias("promotion_flag"))
+    tx.write.parquet(paths.source)
+    run_available_now(spark, forest_artifact(spark, sf_dir)[0], paths, max_files_per_trigger=4)
+    columns = [f.name for f in TRANSACTION_SCHEMA]
+    scored = spark.read.parquet(paths.scored).select(*columns, F.lit("scored").alias("sink"), F.lit("").alias("errors"))
+    bad = spark.read.parquet(paths.quarantined)
+    return scored.unionByName(bad.select(*columns, F.lit("quarantine").alias("sink"),
+                                         F.array_join("errors", "; ").alias("errors")))
+
+
 @register("analytics_prompt")
 def q_analytics_prompt(spark, sf_dir):
     """The analytics prompt with the dashboard record as JSON."""

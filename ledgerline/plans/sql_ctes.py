@@ -76,3 +76,13 @@ anom AS (
     discount_pct, promotion_flag, anomaly_flag
   FROM master
 )"""
+
+# order lines as transactions, some of them broken
+MASTER_TX = """
+tx AS (
+  SELECT CAST(order_id AS VARCHAR) AS order_id, CASE WHEN k <> 1 THEN quantity END AS quantity,
+    CASE WHEN k = 2 THEN -price ELSE price END AS price,
+    CASE WHEN k = 3 THEN -1.0 ELSE discount_pct END AS discount_pct,
+    CAST(CASE WHEN k IN (3, 4) THEN 7 ELSE promotion_flag END AS INTEGER) AS promotion_flag
+  FROM (SELECT *, CAST(order_id AS BIGINT) % 13 AS k FROM master)
+)"""

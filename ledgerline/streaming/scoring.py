@@ -1,18 +1,20 @@
 """Streaming transaction scoring (R1) and log append (R2).
 
 The reference scores one transaction per request; here the same rules run
-as a Structured Streaming job over an unbounded table of transactions:
+as one Structured Streaming query over an unbounded table of transactions:
 
   readStream (parquet folder, explicit schema)
-    -> L8 validation (stateless: errors array per row)
-    -> valid rows: M8 isolation-forest scoring (Arrow ``mapInPandas``)
-       -> file sink with ``created_at`` (append mode, exactly-once via the
-          sink's commit log and the checkpoint)
-    -> invalid rows: quarantine file sink (second query, own checkpoint)
-
-No aggregation and no state, so no watermark is needed; ``append`` mode.
-Checkpoints live under the shared checkpoint folder, so a restarted
-driver or lost executor resumes from the last committed batch.
+    -> foreachBatch: L8 validation once per batch (errors array per row)
+       -> valid rows: M8 isolation-forest scoring (Arrow ``mapInPandas``),
+          written to the scored table
+       -> invalid rows: written to the quarantine table
+
+Both tables are partitioned by ``batch_id``, and a batch overwrites its own
+partition.  A batch that failed between its two writes, or before its commit,
+is replayed under the same id with the same files, so nothing is doubled and
+nothing is lost.  No aggregation and no state, so no watermark is needed.
+Checkpoints live under the shared checkpoint folder, so a restarted driver or
+lost executor resumes from the last committed batch.
 """
 
 from __future__ import annotations
@@ -43,39 +45,50 @@ class StreamPaths:
     checkpoint: str
 
 
-def scoring_streams(spark: SparkSession, model: IsolationForestModel, paths: StreamPaths,
-                    schema: T.StructType = TRANSACTION_SCHEMA, available_now: bool = True,
-                    processing_time: str | None = None, max_files_per_trigger: int | None = None):
-    """Start the scoring and quarantine queries; returns both handles."""
+def batch_writer(model: IsolationForestModel, paths: StreamPaths):
+    """``foreachBatch`` function: one validation, two sinks."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        checked = quarantine(batch).persist()
+        try:
+            now = F.current_timestamp()
+            scored = score_transactions(model, checked.where("is_valid").drop("errors", "is_valid"))
+            to_sink(scored.withColumn("type", F.lit("anomaly_detection")).withColumn("created_at", now),
+                    paths.scored, batch_id)
+            to_sink(checked.where("not is_valid").drop("is_valid").withColumn("created_at", now),
+                    paths.quarantined, batch_id)
+        finally:
+            checked.unpersist()
+
+    return write
+
+
+def to_sink(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A batch's rows as its own partition of a table; written again on replay."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def scoring_stream(spark: SparkSession, model: IsolationForestModel, paths: StreamPaths,
+                   schema: T.StructType = TRANSACTION_SCHEMA, available_now: bool = True,
+                   processing_time: str | None = None, max_files_per_trigger: int | None = None):
+    """Start the query that feeds both sinks; returns its handle."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(paths.source)
-    checked = quarantine(src)
-    valid = checked.filter("is_valid").drop("errors", "is_valid")
-    invalid = checked.filter(~F.col("is_valid")).drop("is_valid")
-    scored = score_transactions(model, valid).withColumn("type", F.lit("anomaly_detection")) \
-        .withColumn("created_at", F.current_timestamp())
-    invalid = invalid.withColumn("created_at", F.current_timestamp())
-
-    def start(df: DataFrame, out: str, name: str):
-        w = (df.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{paths.checkpoint}/{name}").option("path", out))
-        if available_now:
-            w = w.trigger(availableNow=True)
-        elif processing_time:
-            w = w.trigger(processingTime=processing_time)
-        return w.queryName(f"ledgerline_{name}_{abs(hash(out)) % 10**8}").start()
-
-    return start(scored, paths.scored, "scored"), start(invalid, paths.quarantined, "quarantine")
+    w = (reader.parquet(paths.source).writeStream.foreachBatch(batch_writer(model, paths))
+         .option("checkpointLocation", f"{paths.checkpoint}/scoring"))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()
 
 
 def run_available_now(spark: SparkSession, model: IsolationForestModel, paths: StreamPaths,
                       **kw) -> None:
     """Process everything currently in the source folder, then stop.
 
-    Waits until both queries end, however long that takes; a failed query
+    Waits until the query ends, however long that takes; a failed batch
     raises its error.
     """
-    for q in scoring_streams(spark, model, paths, available_now=True, **kw):
-        q.awaitTermination()
+    scoring_stream(spark, model, paths, available_now=True, **kw).awaitTermination()

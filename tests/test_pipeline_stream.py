@@ -59,6 +59,38 @@ def test_stream_scoring_and_quarantine(spark):
     assert sorted(r["order_id"] for r in spark.read.parquet(paths.scored).collect()) == ["a", "b", "d"]
 
 
+def test_a_batch_that_failed_between_its_sinks_is_replayed_without_doubles(spark, monkeypatch):
+    import pytest
+    from ledgerline.streaming import scoring
+    m = master_from_sf(spark, SF_SMALL)
+    model, _ = IF.fit(anomaly_features(m), ["quantity", "price", "total_amount", "unit_price",
+                                             "discount_pct", "promotion_flag"],
+                      key=["order_id", "product_id", "quantity"], n_trees=10)
+    base = IO.unique_scratch(spark, "test-stream-replay")
+    paths = StreamPaths(f"{base}/src", f"{base}/out", f"{base}/bad", f"{base}/ckpt")
+    rows = spark.createDataFrame([(f"t{i}", float(i % 4), 10.0, 0.0, 0) for i in range(40)],
+                                 "order_id string, quantity double, price double, discount_pct double, promotion_flag int")
+    rows.repartition(4).write.parquet(paths.source)
+    plain = scoring.to_sink
+
+    def fails_once(df, path, batch_id):
+        if path == paths.quarantined and batch_id == 1:
+            raise RuntimeError("lost between the two sinks")
+        plain(df, path, batch_id)
+
+    monkeypatch.setattr(scoring, "to_sink", fails_once)
+    with pytest.raises(Exception):
+        run_available_now(spark, model, paths, max_files_per_trigger=2)
+    half = spark.read.parquet(paths.scored).count()
+    assert half > spark.read.parquet(paths.quarantined).where("batch_id = 0").count()
+    monkeypatch.setattr(scoring, "to_sink", plain)
+    run_available_now(spark, model, paths, max_files_per_trigger=2)
+    scored = [r.order_id for r in spark.read.parquet(paths.scored).collect()]
+    bad = [r.order_id for r in spark.read.parquet(paths.quarantined).collect()]
+    assert sorted(scored) == sorted(f"t{i}" for i in range(40) if i % 4)
+    assert sorted(bad) == sorted(f"t{i}" for i in range(0, 40, 4))
+
+
 def test_demand_model_roundtrip_and_missing(spark):
     import pytest
     from ledgerline.sources.io import ModelNotFoundError

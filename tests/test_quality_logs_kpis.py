@@ -97,3 +97,29 @@ def test_kpis_and_top(spark):
     assert top[0]["category"] == "b" and top[0]["revenue"] == 25.0
     m = K.top_categories_map(df, 5).first()["top_categories"]
     assert set(m) == {"a", "b"}
+
+
+def test_upsert_table_rewrites_only_the_parts_of_its_keys(spark):
+    import os
+    from ledgerline.sources import io as IO
+    path = IO.unique_scratch(spark, "test-keyed")
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(200)] + [(None, "n")], "k long, v string")
+    LG.write_keyed(rows, path, ["k"], parts=16)
+
+    def files():
+        return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith(LG.PART)}
+
+    before = files()
+    updates = spark.createDataFrame([(7, "old", 1), (7, "new", 2), (500, "added", 1), (8, "eight", 1)], "k int, v string, at int")
+    stamp = F.lit("2025-01-01").cast("timestamp")
+    written = LG.upsert_table(spark, path, updates, ["k"], ["at"], updated_at=stamp)
+    after = files()
+    got = {r.k: r.v for r in LG.read_keyed(spark, path).collect()}
+    want = {i: f"v{i}" for i in range(200)} | {None: "n", 7: "new", 500: "added", 8: "eight"}
+    assert got == want and LG.read_keyed(spark, path).count() == 202
+    assert written <= 3 and len(before) > 10
+    assert sum(before[d] != after[d] for d in before) <= 3
+    # the same batch again changes nothing; no updates rewrite nothing
+    LG.upsert_table(spark, path, updates, ["k"], ["at"], updated_at=stamp)
+    assert {r.k: r.v for r in LG.read_keyed(spark, path).collect()} == want
+    assert LG.upsert_table(spark, path, updates.limit(0), ["k"], ["at"]) == 0

@@ -124,6 +124,12 @@ def test_one_pattern_from_the_first_value(spark, values):
     assert [r.t for r in got] == want
 
 
+def test_a_broken_first_value_leaves_each_its_own_pattern(spark):
+    df = spark.createDataFrame([(1, "31/31/2025"), (2, "2025-01-02"), (3, "13/02/2025"), (4, "02/03/2025")], "k long, d string")
+    got = [r.t and (r.t.month, r.t.day) for r in df.select("k", as_date(df, "d", order=F.col("k")).alias("t")).orderBy("k").collect()]
+    assert got == [None, (1, 2), (2, 13), (2, 3)]
+
+
 def test_pattern_without_an_order_is_the_most_frequent(spark):
     df = spark.createDataFrame([("2025-01-02",), ("31/12/2024",), ("30/11/2024",), ("x",), (None,)], "d string")
     got = {r.d: r.t for r in df.select("d", as_date(df, "d").alias("t")).collect()}
