@@ -57,8 +57,23 @@ def to_timestamp_safe(col, fmt: str | Column | None = None) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt) if isinstance(fmt, str) else fmt)
 
 
-# Day and time parts of a written timestamp.
-CLOCK = r"([T ])\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$"
+# How the parts of a written timestamp become those of its pattern, in turn.
+_END = "(?=$|[ T]H)"
+WRITTEN = [
+    (r"(?<=:\d\d|\.\d{1,9})(Z|[+-]\d\d:\d\d)$", "XXX"),
+    (r"(?<=[ T])\d{1,2}:\d\d:\d\d(?=$|[.X])", "H:mm:ss"), (r"(?<=[ T])\d{1,2}:\d\d(?=$|X)", "H:mm"),
+    (r"(?<=H:mm:ss)\.\d{1,9}(?=$|X)", ".SSSSSSSSS"),
+    (rf"^\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}{_END}", "yyyy$1M$1d"), (rf"^\d{{8}}{_END}", "yyyyMMdd"),
+    (rf"^(?:1[3-9]|[2-9]\d)([-/.])(?:0?\d|1[0-2])\1\d{{4}}{_END}", "d$1M$1yyyy"),
+    (rf"^\d{{1,2}}([-/.])\d{{1,2}}\1\d{{4}}{_END}", "M$1d$1yyyy"),
+    (rf"^\d{{1,2}}([- ])[A-Za-z]{{3}}\1\d{{4}}{_END}", "d$1MMM$1yyyy"),
+    (rf"^\d{{1,2}}([- ])[A-Za-z]{{4,}}\1\d{{4}}{_END}", "d$1MMMM$1yyyy"),
+    (rf"^[A-Za-z]{{3}} \d{{1,2}}(,?) \d{{4}}{_END}", "MMM d$1 yyyy"),
+    (rf"^[A-Za-z]{{4,}} \d{{1,2}}(,?) \d{{4}}{_END}", "MMMM d$1 yyyy"),
+    ("(?<=[yd])TH", "'T'H"),
+]
+PATTERN = (r"^(yyyy[-/.]M[-/.]d|yyyyMMdd|d[-/.]M[-/.]yyyy|M[-/.]d[-/.]yyyy|d[- ]MMMM?[- ]yyyy|MMMM? d,? yyyy)"
+           r"(( |'T')H:mm(:ss(\.S{9})?)?(XXX)?)?$")
 
 
 def date_pattern(col) -> Column:
@@ -68,33 +83,12 @@ def date_pattern(col) -> Column:
     and the second is not.  Two-digit years and weekday names are not told.
     """
     c = _c(col).cast("string")
-    clock = F.regexp_extract(c, CLOCK, 0)
-    day = F.substring(c, F.lit(1), F.length(c) - F.length(clock))
-
-    def sign(pattern: str) -> Column:
-        return F.regexp_extract(day, pattern, 1)
-
-    year_first, year_last = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$", r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
-    first = F.regexp_extract(day, r"^(\d{1,2})\D", 1).try_cast("int")
-    second = F.regexp_extract(day, r"^\d{1,2}\D(\d{1,2})\D", 1).try_cast("int")
-    named, named_long = r"^\d{1,2}([- ])[A-Za-z]{3}\1\d{4}$", r"^\d{1,2}([- ])[A-Za-z]{4,}\1\d{4}$"
-    month_day = r"^[A-Za-z]+ \d{1,2}(,?) \d{4}$"
-    month = F.when(day.rlike("^[A-Za-z]{3} "), F.lit("MMM")).otherwise(F.lit("MMMM"))
-    shape = (F.when(day.rlike(year_first), F.concat_ws("", F.lit("yyyy"), sign(year_first), F.lit("M"), sign(year_first), F.lit("d")))
-             .when(day.rlike(year_last) & (first > 12) & (second <= 12),
-                   F.concat_ws("", F.lit("d"), sign(year_last), F.lit("M"), sign(year_last), F.lit("yyyy")))
-             .when(day.rlike(year_last), F.concat_ws("", F.lit("M"), sign(year_last), F.lit("d"), sign(year_last), F.lit("yyyy")))
-             .when(day.rlike(named), F.concat_ws("", F.lit("d"), sign(named), F.lit("MMM"), sign(named), F.lit("yyyy")))
-             .when(day.rlike(named_long), F.concat_ws("", F.lit("d"), sign(named_long), F.lit("MMMM"), sign(named_long), F.lit("yyyy")))
-             .when(day.rlike(month_day), F.concat_ws("", month, F.lit(" d"), sign(month_day), F.lit(" yyyy")))
-             .when(day.rlike(r"^\d{8}$"), F.lit("yyyyMMdd")))
-    at = (F.when(clock == "", F.lit(""))
-          .otherwise(F.concat(F.when(clock.startswith("T"), F.lit("'T'")).otherwise(F.lit(" ")), F.lit("H:mm"),
-                              F.when(clock.rlike(r":\d{2}:\d{2}"), F.lit(":ss")).otherwise(F.lit("")),
-                              F.when(clock.rlike(r"\.\d"), F.lit(".SSSSSSSSS")).otherwise(F.lit("")),
-                              F.when(clock.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.lit("XXX")).otherwise(F.lit("")))))
-    pattern = F.concat(shape, at)
-    return F.when(to_timestamp_safe(c, pattern).isNotNull(), pattern)
+    pattern = c
+    for written, part in WRITTEN:
+        pattern = F.regexp_replace(pattern, written, part)
+    # a lambda variable, so that the replacements run once
+    return F.transform(F.array(F.struct(c.alias("c"), pattern.alias("p"))), lambda x: F.when(
+        x["p"].rlike(PATTERN), F.when(F.try_to_timestamp(x["c"], x["p"]).isNotNull(), x["p"])))[0]
 
 
 def safe_div(num, den) -> Column:
