@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,28 +99,38 @@ def decoded(value: Column) -> Column:
     return value
 
 
-def head_of(html: Column) -> Column:
-    """The head of a page without comments and the bodies of raw elements."""
-    hidden = r"(?is)<!--.*?(-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(</\2\s*>|\z)"
-    return F.split(F.regexp_replace(html, hidden, " "), r"(?i)</head\b|<body\b", 2)[0]
+# a page without any of these words names no other URL
+NAMES = "(?i)canonical|og:url|refresh"
+# comments, the bodies of raw elements, and all after the head
+OUTSIDE = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(?:</\1\s*>|\z)"
+           r"|</head\b.*|<body\b.*")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda variable."""
+    return F.transform(F.array(value), use)[0]
 
 
 def link_targets(html: Column) -> Column:
     """Array of the hrefs by which a page names another URL as its own."""
     start = r"(?<=[\s\"'/])"
-    head = head_of(html)
 
-    def first(tag: str, name: str, value: str, attribute: str) -> Column:
+    def first(head: Column, tag: str, name: str, value: str, attribute: str) -> Column:
         element = F.regexp_extract(
             head, rf"(?is)<{tag}\b[^>]*{start}{name}\s*=\s*([\"'][^\"'>]*(?<=[\s\"']){value}(?=[\s\"'])|{value}(?=[\s>/]))[^>]*>", 0)
-        quoted = F.regexp_extract(element, rf"(?is){start}{attribute}\s*=\s*([\"'])\s*(.*?)\s*\1", 2)
-        return F.coalesce(F.nullif(quoted, F.lit("")),
-                          F.regexp_extract(element, rf"(?is){start}{attribute}\s*=\s*([^\"'>\s]+)", 1))
+        quoted = rf"(?is){start}{attribute}\s*=\s*([\"'])\s*(.*?)\s*\1"
+        return once(element, lambda e: F.coalesce(
+            F.nullif(F.regexp_extract(e, quoted, 2), F.lit("")),
+            F.regexp_extract(e, rf"(?is){start}{attribute}\s*=\s*([^\"'>\s]+)", 1)))
+
+    def found(head: Column) -> Column:
+        refresh = F.regexp_extract(first(head, "meta", "http-equiv", "refresh", "content"),
+                                   r"(?is)^[\s\d.]*[;,]\s*url\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
+        return F.array(first(head, "link", "rel", "canonical", "href"),
+                       first(head, "meta", "property", "og:url", "content"), refresh)
 
-    refresh = F.regexp_extract(first("meta", "http-equiv", "refresh", "content"),
-                               r"(?is)^[\s\d.]*[;,]\s*url\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
-    found = F.array(first("link", "rel", "canonical", "href"), first("meta", "property", "og:url", "content"), refresh)
-    return F.transform(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: x != ""), decoded)
+    targets = F.when(html.rlike(NAMES), once(F.regexp_replace(html, OUTSIDE, " "), found))
+    return F.transform(F.filter(F.coalesce(targets, F.array().cast("array<string>")), lambda x: x != ""), decoded)
 
 
 def rule_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -147,8 +158,9 @@ def decide(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
            html_col: str = "html", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict, component) of every page."""
     url = F.col(url_col).cast("string")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
-                        link_targets(F.col(html_col).cast("string")).alias("targets"))
+    # written once: the html is parsed in one pass, not in each of the joins below
+    base = stored(pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
+                               link_targets(F.col(html_col).cast("string")).alias("targets")))
     own = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                       F.md5(place_of(F.col("url"))).alias("node"), F.md5(F.col("url")).alias("form"))
     judged = rule_matches(own, rules)
