@@ -308,7 +308,10 @@ def test_large_clusters_are_dealt_on_both_sides_without_unlinked_template_pages(
                                     "cluster long, block int, blocks int, node long, set binary")
     may = jaccard_join._may_link(members, 8000, (85, 100))
     assert sorted(r.node for r in may.collect()) == [78, 79]
-    asked, items = jaccard_join._dealt(members.withColumn("label", F.col("node")), members, 1000)
+    labelled = members.select("cluster", "block", "blocks", "node", F.col("node").alias("label"),
+                              F.octet_length("set").alias("bytes"), F.lit(True).alias("ask"))
+    visits = jaccard_join._visits(labelled, 1000).select("cluster", "node", F.inline("visits"))
+    asked, items = visits.where("ask"), visits.where("not ask")
     queries = asked.groupBy("cluster", "part", "block").count().collect()
     assert len(queries) == 8 * 4 and max(r["count"] for r in queries) < 40 and sum(r["count"] for r in queries) == 80 * 4
     assert {(r.part, r.block, r["count"]) for r in items.groupBy("part", "block").count().collect()} == {
