@@ -8,6 +8,8 @@ Search plan (exact, no pair rows, no cross join):
   top-k per query.  A final window (planned with WindowGroupLimit) merges
   the per-block top-k.  Memory per task is bounded by the block sizes;
   total work is the inherent queries x store of exact search.
+  Bags of hashed tokens (:func:`search_bags`) travel as bucket lists and are
+  scored by posting lists that skip what cannot reach the top-k.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from ..functions.scalars import blank_to_default, strip
 from ..functions.text import (CHUNK_OVERLAP_WORDS, CHUNK_SIZE_WORDS, EMBED_BATCH_SIZE,
                               MIN_SCORE, TOP_K, chunk_text, knowledge_text, prepare_text,
                               words)
-from ..functions.vectors import DEFAULT_DIM, hash_embedding
+from ..functions.vectors import DEFAULT_DIM, hash_embedding, token_buckets
+from ..session import stored
+from .postings import Postings
 
 STORE_COLUMNS = ["id", "product_id", "product_name", "category", "brand", "content",
                  "chunk_index"]
@@ -47,8 +51,9 @@ def product_chunks(products: DataFrame, size: int = CHUNK_SIZE_WORDS,
         F.col("product_id").alias("product_key"),
         chunk_text(txt, size, overlap).alias("chunks"),
     )
+    # the outer form: for the inner one Spark infers a filter that chunks every text twice
     out = base.select("product_id", "product_name", "category", "brand", "product_key",
-                      F.posexplode("chunks").alias("chunk_index", "content"))
+                      F.posexplode_outer("chunks").alias("chunk_index", "content")).where("chunk_index is not null")
     return out.select(
         F.concat_ws("-", "product_id", F.col("chunk_index").cast("string")).alias("id"),
         "product_id", "product_name", "category", "brand", "content", "chunk_index",
@@ -148,10 +153,54 @@ def _score_block_fn(k: int, min_score: float, q_key: list[str], s_cols: list[str
     return score
 
 
+def _score_bags_fn(k: int, dim: int, q_key: list[str], s_order: list[str]):
+    def score(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
+        spdf = spdf.sort_values(s_order, kind="stable").reset_index(drop=True)
+        lists = Postings(spdf["svec"], dim)
+        q_at, s_at, raw = [], [], []
+        for i, buckets in enumerate(qpdf["qvec"]):
+            own = np.asarray(buckets, np.int64) if buckets is not None else np.empty(0, np.int64)
+            rows, scores = lists.top(own, k)
+            best = np.argsort(-np.floor(scores * 1e4 + 0.5), kind="stable")[:k]
+            q_at.append(np.full(len(best), i))
+            s_at.append(rows[best])
+            raw.append(scores[best])
+        q_at, s_at = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (q_at, s_at))
+        raw = np.concatenate([*raw, np.empty(0)])
+        out = {c: qpdf[c].to_numpy()[q_at] for c in q_key} | {c: spdf[c].to_numpy()[s_at] for c in s_order}
+        return pd.DataFrame(out | {"raw_score": raw, "score": np.floor(raw * 1e4 + 0.5) / 1e4})
+    return score
+
+
+def search_bags(questions: DataFrame, q_key: list[str], q_bag: str, store: DataFrame, s_bag: str = "buckets",
+                s_order: list[str] | None = None, k: int = TOP_K, min_score: float = MIN_SCORE,
+                dim: int = DEFAULT_DIM, **blocks) -> DataFrame:
+    """:func:`search` over bags of hashed tokens (``array<int>`` of buckets).
+
+    Same rows as over the dense count vectors of ``dim`` places: the products
+    are exact integers.  Only rows that hold a bucket of the question and may
+    still reach its top-k are scored.  Both frames are evaluated more than
+    once: pass tables.
+    """
+    return search(questions, q_key, q_bag, store, s_bag, s_order, k, min_score,
+                  **({"s_block": 32_768} | blocks), block_fn=_score_bags_fn(max(1, int(k or TOP_K)), dim, q_key, s_order or ["id"]))
+
+
+def bag_column(df: DataFrame, text: str, out: str = "buckets", dim: int = DEFAULT_DIM) -> DataFrame:
+    """X4 + X5 without the dense vector: the buckets of a text's tokens."""
+    return df.withColumn(out, token_buckets(prepare_text(text), dim))
+
+
+def bag_store(products: DataFrame, dim: int = DEFAULT_DIM, **chunk_kw) -> DataFrame:
+    """X6 as bags: chunks and their buckets, written once as a table."""
+    ch = product_chunks(products, **chunk_kw).filter(F.size(words("content")) > 0)
+    return stored(bag_column(ch, "content", "buckets", dim))
+
+
 def search(questions: DataFrame, q_key: list[str], q_vec: str, store: DataFrame,
            s_vec: str = "embedding", s_order: list[str] | None = None, k: int = TOP_K,
            min_score: float = MIN_SCORE, q_block: int = 2048, s_block: int = 8192,
-           s_cols: list[str] | None = None) -> DataFrame:
+           s_cols: list[str] | None = None, block_fn=None) -> DataFrame:
     """X8 as a batch: exact top-k store rows for every question.
 
     Ranking: rounded score (4 digits) descending, then store order.  If
@@ -191,7 +240,7 @@ def search(questions: DataFrame, q_key: list[str], q_vec: str, store: DataFrame,
         [T.StructField(c, qschema[c]) for c in q_key]
         + [T.StructField(c, sschema[c]) for c in s_order]
         + [T.StructField("raw_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    fn = _score_block_fn(k, min_score, q_key, s_order, s_order)
+    fn = block_fn or _score_block_fn(k, min_score, q_key, s_order, s_order)
     partial = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(fn, out_schema)
 
     w = Window.partitionBy(*q_key).orderBy(F.desc("score"), *[F.asc(c) for c in s_order])

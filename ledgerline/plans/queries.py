@@ -445,12 +445,11 @@ hits AS (
 
 
 def _search_hits(spark, sf_dir):
-    store = RT.build_store(products_table(spark, sf_dir))
+    store = RT.bag_store(products_table(spark, sf_dir))
     qs = RT.user_questions(read(spark, sf_dir, "conversations"))
-    qs = RT.embed_column(qs, "question", "qvec")
-    return qs, RT.search(qs, ["conv_id", "turn"], "qvec", store,
-                         s_order=["product_key", "chunk_index"], k=TX.TOP_K,
-                         min_score=TX.MIN_SCORE)
+    qs = stored(RT.bag_column(qs, "question", "qvec"))
+    hits = RT.search_bags(qs, ["conv_id", "turn"], "qvec", store, s_order=["product_key", "chunk_index"])
+    return qs, hits
 
 
 @register("vector_search", f"WITH {_SEARCH}\nSELECT * FROM hits")

@@ -110,6 +110,35 @@ def test_search_matches_brute_force(spark):
         assert got.get(j, []) == ref_search(v, store), j
 
 
+def test_pruned_search_matches_dense_search(spark):
+    """Skewed bags with ties, empty and null bags, long bags; several blocks."""
+    rng = np.random.RandomState(5)
+    bag = lambda n: [int(x) for x in np.minimum(rng.zipf(1.4, n) - 1, 15)]
+    store = [(i, bag(rng.randint(1, 12))) for i in range(150)] + [(150, []), (151, None), (152, [3] * 20_000 + [4])]
+    store += [(200 + i, store[i % 7][1]) for i in range(40)]
+    queries = [(j, bag(rng.randint(1, 30))) for j in range(40)] + [(40, []), (41, None), (42, [15]), (43, [14, 14])]
+    dense = lambda b: [float(x) for x in np.bincount(b or [], minlength=16)]
+    want = {j: ref_search(dense(b), [{"id": i, "v": dense(v)} for i, v in store]) for j, b in queries}
+    s = spark.createDataFrame(store, "id int, buckets array<int>")
+    q = spark.createDataFrame(queries, "qid int, bag array<int>")
+    for blocks in ({"q_block": 11, "s_block": 32}, {}):
+        got = {}
+        for r in RT.search_bags(q, ["qid"], "bag", s, s_order=["id"], dim=16, **blocks).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["id"])
+        assert got == want, blocks
+
+
+def test_postings_skip_lists_that_cannot_reach_the_top():
+    from ledgerline.operators.postings import Postings
+
+    common, rare = [0], list(range(1, 20))
+    lists = Postings([common * 9 + [rare[i % 19]] for i in range(1000)] + [rare] * 3, 32)
+    rows, scores = lists.top(np.array(rare + common), 3)
+    best = rows[np.argsort(-scores, kind="stable")[:3]]
+    assert best.tolist() == [1000, 1001, 1002] and lists.walked < lists.held
+    assert Postings([], 4).top(np.array([1]), 3)[0].tolist() == []
+
+
 def test_support_context_answers(spark):
     q = spark.createDataFrame([(1, "q1"), (2, "q2")], "qid int, question string")
     hits = spark.createDataFrame(
