@@ -491,6 +491,23 @@ def q_support_context(spark, sf_dir):
                       F.transform("sources", lambda x: x["score"]).alias("source_scores"))
 
 
+@register("support_prompts", f"""WITH {_SEARCH},
+src AS (SELECT conv_id, turn, list(struct_pack(rank := rank, content := content) ORDER BY rank) AS src
+        FROM hits GROUP BY conv_id, turn)
+SELECT qs.conv_id, qs.turn,
+  'Customer Question:' || chr(10) || qs.question || chr(10) || chr(10) || 'Retrieved Context:' || chr(10)
+  || coalesce(trim(array_to_string(list_transform(list_filter(src.src, lambda x: coalesce(x.content, '') <> ''),
+       lambda x: 'Source ' || CAST(x.rank AS VARCHAR) || ':' || chr(10) || x.content), chr(10) || chr(10))), '')
+  || chr(10) || chr(10) || 'Answer briefly using only the retrieved context.' || chr(10)
+  || 'Mention product id if relevant.' AS user_prompt
+FROM qs JOIN src ON qs.conv_id = src.conv_id AND qs.turn = src.turn""")
+def q_support_prompts(spark, sf_dir):
+    """X13 + X10: the support prompt of every question with its retrieved context."""
+    from ..operators import dashboard as DB
+    qs, hits = _search_hits(spark, sf_dir)
+    return DB.support_prompts(RT.support_context(qs.drop("qvec"), hits, ["conv_id", "turn"]), ["conv_id", "turn"])
+
+
 @register("cosine", """
 WITH p AS (SELECT label, min(vec_id) AS proto_id, arg_min(embedding, vec_id) AS pe
            FROM embeddings GROUP BY label),
@@ -792,6 +809,30 @@ def q_log_append(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_LOG_KPIS = ["total_orders", "total_products", "total_customers", "total_revenue", "average_order_value"]
+
+
+@register("log_documents", with_ctes(f"""
+SELECT 'analytics' AS type, count(DISTINCT order_id) AS total_orders, count(DISTINCT product_id) AS total_products,
+  count(DISTINCT customer_id) AS total_customers, floor({_SUMDEC} * 1e2 + 5e-1) / 1e2 AS total_revenue,
+  floor(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) / count(total_amount) * 1e2 + 5e-1) / 1e2
+    AS average_order_value, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS DOUBLE) AS revenue
+FROM master
+UNION ALL
+SELECT 'category_revenue', NULL, NULL, NULL, NULL, NULL, category, CAST({_SUMDEC} AS DOUBLE) FROM master
+WHERE category IS NOT NULL GROUP BY category"""))
+def q_log_documents(spark, sf_dir):
+    """S10 + G4: two kinds of documents appended to one collection, their
+    payloads read back."""
+    path = IO.unique_scratch(spark, "log-documents")
+    m = _master(spark, sf_dir)
+    LG.append_log(LG.as_log_documents(K.kpis(m), "analytics"), path)
+    LG.append_log(LG.as_log_documents(K.revenue_by(m, "category"), "category_revenue"), path)
+    payload = ", ".join([f"{c} {'long' if i < 3 else 'double'}" for i, c in enumerate(_LOG_KPIS)]
+                        + ["category string", "revenue double"])
+    return spark.read.parquet(path).select("type", F.from_json("payload", payload).alias("p")).select("type", "p.*")
+
+
 # --------------------------------------------------------------------------
 # Models: demand forecast, isolation forest, customer segments
 
@@ -941,6 +982,13 @@ def q_segment_overview(spark, sf_dir):
     return seg.orderBy("customer_id").limit(10).withColumn("total_customers", total)
 
 
+@register("segment_profile", with_ctes("""
+SELECT *, (SELECT count(*) FROM cust) AS total_customers FROM cust ORDER BY customer_id LIMIT 10""", Q.CUSTOMERS))
+def q_segment_profile(spark, sf_dir):
+    """The segment overview without the model's labels."""
+    return q_segment_overview(spark, sf_dir).drop("cluster")
+
+
 # --------------------------------------------------------------------------
 # Vector store sink/source, training run, dashboard, prompts, streaming
 
@@ -988,10 +1036,38 @@ def q_training_summary(spark, sf_dir):
 
 @register("dashboard")
 def q_dashboard(spark, sf_dir):
-    """KPIs, top categories, label rate and cluster sizes in one row."""
+    """KPIs, top categories, label rate, cluster sizes and the metrics of
+    all three models in one row."""
+    m = _master(spark, sf_dir)
+    model, segments = segment_artifact(spark, sf_dir)
+    clusters = CM.silhouette(model, segments.drop("cluster")).crossJoin(  # one row each
+        segments.agg(F.count("*").alias("rows_total"), F.countDistinct("cluster").alias("n_clusters")))
+    metrics = {"demand_forecasting": demand_artifact(spark, sf_dir)[2],
+               "anomaly_detection": q_anomaly_metrics(spark, sf_dir), "customer_clustering": clusters}
+    return DB.dashboard(m, feat.anomaly_features(m), segments, metrics)
+
+
+@register("dashboard_record", with_ctes(f"""
+SELECT k.*, a.*, t.*, (SELECT count(*) FROM cust) AS clustered_customers
+FROM (SELECT count(DISTINCT order_id) AS total_orders, count(DISTINCT product_id) AS total_products,
+        count(DISTINCT customer_id) AS total_customers, floor({_SUMDEC} * 1e2 + 5e-1) / 1e2 AS total_revenue,
+        floor(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) / count(total_amount) * 1e2 + 5e-1) / 1e2
+          AS average_order_value FROM master) k,
+     (SELECT CAST(COALESCE(sum(anomaly_flag), 0) AS BIGINT) AS labeled_anomaly_count,
+        {r4('avg(anomaly_flag)')} AS labeled_anomaly_rate FROM anom) a,
+     (SELECT list(category ORDER BY category) AS top_categories,
+        list(floor(revenue * 1e2 + 5e-1) / 1e2 ORDER BY category) AS top_revenues
+      FROM (SELECT category, {_SUMDEC} AS revenue FROM master WHERE category IS NOT NULL GROUP BY category
+            ORDER BY revenue DESC, category LIMIT 5)) t""", Q.ANOMALY + "," + Q.CUSTOMERS))
+def q_dashboard_record(spark, sf_dir):
+    """G5 + G2: the dashboard without model metrics, its maps as arrays."""
     m = _master(spark, sf_dir)
-    metrics = demand_artifact(spark, sf_dir)[2]
-    return DB.dashboard(m, feat.anomaly_features(m), segment_artifact(spark, sf_dir)[1], metrics)
+    d = DB.dashboard(m, feat.anomaly_features(m), segment_artifact(spark, sf_dir)[1]).withColumnRenamed("top_categories", "top")
+    names = F.array_sort(F.map_keys("top"))
+    return d.select(*_LOG_KPIS, "labeled_anomaly_count", "labeled_anomaly_rate", names.alias("top_categories"),
+                    F.transform(names, lambda c: F.col("top")[c]).alias("top_revenues"),
+                    F.aggregate(F.map_values("customer_clusters"), F.lit(0).cast("long"), lambda x, y: x + y)
+                    .alias("clustered_customers"))
 
 
 @register("prompts")

@@ -123,3 +123,28 @@ def test_upsert_table_rewrites_only_the_parts_of_its_keys(spark):
     LG.upsert_table(spark, path, updates, ["k"], ["at"], updated_at=stamp)
     assert {r.k: r.v for r in LG.read_keyed(spark, path).collect()} == want
     assert LG.upsert_table(spark, path, updates.limit(0), ["k"], ["at"]) == 0
+
+
+def test_dashboard_takes_metrics_of_several_models(spark):
+    from ledgerline.operators import dashboard as DB
+
+    master = spark.createDataFrame([(1, 2, 3, 10.0, "a"), (2, 2, 4, 5.0, None)],
+                                   "order_id int, product_id int, customer_id int, total_amount double, category string")
+    one = spark.createDataFrame([(0.5,)], "r2 double")
+    two = spark.createDataFrame([(3, "x")], "n_clusters int, category string")  # a clashing name stays inside
+    row = DB.dashboard(master, model_metrics={"demand": one, "clusters": two}).collect()
+    assert len(row) == 1 and row[0].model_metrics.demand.r2 == 0.5 and row[0].model_metrics.clusters.category == "x"
+    assert row[0].total_orders == 2 and row[0].top_categories == {"a": 10.0}
+    assert DB.dashboard(master, model_metrics=one).first().model_metrics.r2 == 0.5
+    assert "model_metrics" not in DB.dashboard(master).columns
+
+
+def test_support_prompts_only_for_questions_with_hits(spark):
+    from ledgerline.operators import dashboard as DB
+
+    answers = spark.createDataFrame([(1, "Why?", "Source 1:\nx", None), (2, "How?", "", "No hits")],
+                                    "q int, question string, context string, retrieval_error string")
+    got = DB.support_prompts(answers, ["q"]).collect()
+    assert [r.q for r in got] == [1]
+    assert got[0].user_prompt == ("Customer Question:\nWhy?\n\nRetrieved Context:\nSource 1:\nx\n\n"
+                                  "Answer briefly using only the retrieved context.\nMention product id if relevant.")
