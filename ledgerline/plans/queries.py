@@ -1041,7 +1041,7 @@ def q_dashboard(spark, sf_dir):
     m = _master(spark, sf_dir)
     model, segments = segment_artifact(spark, sf_dir)
     clusters = CM.silhouette(model, segments.drop("cluster")).crossJoin(  # one row each
-        segments.agg(F.count("*").alias("rows_total"), F.countDistinct("cluster").alias("n_clusters")))
+        segments.agg(F.count("*").alias("rows_total")))
     metrics = {"demand_forecasting": demand_artifact(spark, sf_dir)[2],
                "anomaly_detection": q_anomaly_metrics(spark, sf_dir), "customer_clustering": clusters}
     return DB.dashboard(m, feat.anomaly_features(m), segments, metrics)
