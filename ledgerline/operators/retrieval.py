@@ -179,8 +179,8 @@ def search_bags(questions: DataFrame, q_key: list[str], q_bag: str, store: DataF
 
     Same rows as over the dense count vectors of ``dim`` places: the products
     are exact integers.  Only rows that hold a bucket of the question and may
-    still reach its top-k are scored.  Both frames are evaluated more than
-    once: pass tables.
+    still reach its top-k are scored.  The store is evaluated more than once:
+    pass a table.
     """
     return search(questions, q_key, q_bag, store, s_bag, s_order, k, min_score,
                   **({"s_block": 32_768} | blocks), block_fn=_score_bags_fn(max(1, int(k or TOP_K)), dim, q_key, s_order or ["id"]))

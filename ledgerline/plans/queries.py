@@ -447,7 +447,7 @@ hits AS (
 def _search_hits(spark, sf_dir):
     store = RT.bag_store(products_table(spark, sf_dir))
     qs = RT.user_questions(read(spark, sf_dir, "conversations"))
-    qs = stored(RT.bag_column(qs, "question", "qvec"))
+    qs = RT.bag_column(qs, "question", "qvec")
     hits = RT.search_bags(qs, ["conv_id", "turn"], "qvec", store, s_order=["product_key", "chunk_index"])
     return qs, hits
 
