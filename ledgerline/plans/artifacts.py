@@ -22,7 +22,7 @@ from ..models import clustering as CM
 from ..models import demand as DM
 from ..models import isoforest as IF
 from ..operators import features as feat
-from ..operators.master import master_from_sf
+from ..operators.master import MASTER_COLUMNS, master_from_sf
 from ..session import scratch_path
 from ..sources import io as IO
 
@@ -63,12 +63,18 @@ def built(spark: SparkSession, path: str, build) -> str:
 
 
 def curated_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The master table, written once and scanned with pruned columns."""
+    """The master columns with the row order, written once and scanned with pruned columns."""
     path = built(spark, shared_path(spark, sf_dir, "master"),
-                 lambda p: IO.write_curated(master_from_sf(spark, sf_dir), p))
+                 lambda p: IO.write_curated(master_from_sf(spark, sf_dir).select(*MASTER_COLUMNS, "line_key"), p))
     return IO.read_curated(spark, path)
 
 
+def whole_master(spark: SparkSession, sf_dir: str) -> str:
+    """S3: the path of the master table with every column of the raw tables (P10), for its export."""
+    return built(spark, shared_path(spark, sf_dir, "master-whole"),
+                 lambda p: IO.write_curated(master_from_sf(spark, sf_dir), p))
+
+
 def demand_artifact(spark: SparkSession, sf_dir: str):
     """The demand model with its fill values and metrics, from its files."""
     def build(path):

@@ -16,7 +16,7 @@ from ..operators.master import MASTER_COLUMNS, master_from_sf
 from ..session import stored
 from ..sources import io as IO
 from .artifacts import (curated_master, demand_artifact, forest_artifact, products_with_demand, segment_artifact,
-                        shared_path)
+                        shared_path, whole_master)
 from . import sql_ctes as Q
 from .registry import register
 
@@ -792,11 +792,10 @@ def q_curated_roundtrip(spark, sf_dir):
 @register("report_export", with_ctes(f"SELECT {', '.join(MASTER_COLUMNS)} FROM master"))
 def q_report_export(spark, sf_dir):
     """Master exported to a reporting CSV and read back with its schema."""
-    m = _master(spark, sf_dir)
-    src = shared_path(spark, sf_dir, "master")
+    src = whole_master(spark, sf_dir)
     out = IO.export_report_csv(spark, src, shared_path(spark, sf_dir, "report-csv"))
     text = T.StructType([T.StructField(f.name, f.dataType if f.name in MASTER_COLUMNS else T.StringType())
-                         for f in m.schema.fields])
+                         for f in IO.read_curated(spark, src).schema.fields])
     return IO.load_csv(spark, out, text).select(*MASTER_COLUMNS)
 
 

@@ -129,13 +129,15 @@ def export_report_csv(spark: SparkSession, master_path: str, out_path: str,
                       single_file: bool = False) -> str:
     """Copy the master table to a reporting CSV; error if missing.
 
-    ``single_file`` funnels all rows through one task; keep it off for
-    large tables (the CSV folder is readable by the reporting tool).
+    The files are compressed (gzip): as plain text the products' long texts
+    stand in every line.  ``single_file`` funnels all rows through one task;
+    keep it off for large tables (the CSV folder is readable by the reporting
+    tool).
     """
     df = read_curated(spark, master_path)
     if single_file:
         df = df.coalesce(1)
-    _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(out_path)
+    _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(out_path, compression="gzip")
     return out_path
 
 
