@@ -28,6 +28,10 @@ from pyspark.sql import types as T
 from ..models.isoforest import IsolationForestModel, score_transactions
 from ..operators.quality import quarantine
 
+# Bytes of a row group of the source's files: only whole groups are dealt to
+# tasks, and a batch of few files shall keep every core scoring.
+SOURCE_GROUP = 4 << 20
+
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("order_id", T.StringType()),
     T.StructField("quantity", T.DoubleType()),
