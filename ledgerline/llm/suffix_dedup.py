@@ -83,40 +83,58 @@ def anchors_of(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     return text, A.mix64(hashes[p]).view(np.int64), fp.view(np.int64), lo - off[text], count, p - lo
 
 
+def _ranks(key: np.ndarray, kind) -> np.ndarray:
+    """The place of every value among the distinct ones."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.zeros(len(key), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    rank = np.empty(len(key), kind)
+    rank[order] = np.cumsum(new, dtype=kind)
+    return rank
+
+
 def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     """Starts in every region whose ``length`` bytes start elsewhere among them."""
     sizes = np.fromiter(map(len, regions), np.int64, len(regions))
     edge = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(edge[-1])
-    sym = np.zeros(n, np.int64)  # 0 closes a region
+    place = np.int32 if n < 1 << 31 else np.int64  # half the memory where places fit
+    sym = np.zeros(n, np.int16)  # 0 closes a region
     inside = np.ones(n, bool)
     inside[edge[1:] - 1] = False
-    sym[inside] = np.frombuffer(b"".join(regions), np.uint8).astype(np.int64) + 1
+    sym[inside] = np.frombuffer(b"".join(regions), np.uint8).astype(np.int16) + 1
+    del inside
     # ranks of the first 7 symbols, doubled until they cover the bound
-    rank = np.zeros(n, np.int64)
+    key = np.zeros(n, np.int64)
     for k in range(7):
-        rank[:max(0, n - k)] += sym[k:] << (9 * (6 - k))
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    depth = 7
+        key <<= 9
+        key[:max(0, n - k)] += sym[k:]
+    rank, depth = _ranks(key, place), 7
     while depth <= length:
-        ahead = np.zeros(n, np.int64)
-        ahead[:max(0, n - depth)] = rank[depth:] + 1
-        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        np.multiply(rank, n + 1, out=key, dtype=np.int64)
+        key[:max(0, n - depth)] += rank[depth:]
+        key[:max(0, n - depth)] += 1
+        rank = _ranks(key, place)
         depth *= 2
-    suffix = np.argsort(rank, kind="stable")
-    where = np.empty(n, np.int64)
-    where[suffix] = np.arange(n)
+    del key
+    suffix = np.argsort(rank, kind="stable").astype(place)
+    del rank
+    where = np.empty(n, place)
+    where[suffix] = np.arange(n, dtype=place)
     # border[j]: the suffixes j - 1 and j are parted by now
     first = sym[suffix]
     border = np.ones(n, bool)
     border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    live = np.flatnonzero(~border)  # neighbours not yet parted
+    del first
+    live = np.flatnonzero(~border).astype(place)  # neighbours not yet parted
     rest_a, rest_b = where[suffix[live - 1] + 1], where[suffix[live] + 1]
     lo, hi = np.minimum(rest_a, rest_b), np.maximum(rest_a, rest_b)
     level, fresh = 1, n
     # many borders a level, or neighbours with remote remainders: look at all
-    while level < length and fresh and (fresh > n >> 6 or int((hi - lo).sum()) > 2 * n):
-        passed = np.cumsum(border)
+    while level < length and fresh and (fresh > n >> 6 or int((hi - lo).sum(dtype=np.int64)) > 2 * n):
+        passed = np.cumsum(border, dtype=place)
         parted = passed[hi] > passed[lo]
         edge_at, fresh = live[parted], int(parted.sum())
         border[edge_at] = True
@@ -125,8 +143,8 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     # few borders a level: a queue of the last level's borders, each of which
     # parts the neighbours whose remainders it lies between
     if level < length and fresh and len(live):
-        width = hi - lo
-        places = A.ragged(lo + 1, width)
+        width = (hi - lo).astype(np.int64)
+        places = A.ragged(lo + np.int64(1), width)
         owner = np.repeat(np.arange(len(live)), width)[np.argsort(places, kind="stable")]
         first_at = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n))])
         whole = np.ones(len(live), bool)
