@@ -50,9 +50,33 @@ def bucket_counts(buckets, dim: int = DEFAULT_DIM) -> Column:
     return _counts(_c(buckets))
 
 
+def token_counts(tokens_col, dim: int = DEFAULT_DIM) -> Column:
+    """Dense ``array<double>`` of counts per bucket of a text's tokens.
+
+    An Arrow UDF that hashes every distinct token of a batch of rows once; the
+    same counts as of :func:`token_buckets`, which hashes each occurrence.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    @F.arrow_udf("array<double>")
+    def _counts(col: pa.Array) -> pa.Array:
+        told = col.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim
+                           for t in told.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(col)), col.value_lengths().fill_null(0).to_numpy())
+        counts = np.bincount(row * dim + bucket[told.indices.to_numpy()], minlength=len(col) * dim)
+        ends = np.arange(0, len(col) * dim + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.float64)))
+
+    return _counts(_c(tokens_col))
+
+
 def hash_embedding(col, dim: int = DEFAULT_DIM) -> Column:
     """Dense ``array<double>`` of token counts per bucket."""
-    return bucket_counts(token_buckets(col, dim), dim)
+    return token_counts(tokens(col), dim)
 
 
 def dot(a, b) -> Column:
