@@ -197,7 +197,7 @@ def _index(mixed: DataFrame, cut, length: int, group_bytes: int, task_bytes: int
         return x - (1 << 64) if x >> 63 else x
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in A.small(batches):
             out = []
             for r in batch.to_pylist():
                 for x1, x2, a, b in _halves(r["o1"], r["o2"], r["at"], r["n"]):
@@ -327,7 +327,8 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
     mixed = stored(entries.join(several, "h").select("h", "fp", "c", "one.*", "n", "at", "bytes"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        A.claimed("suffix_dedup")
+        for batch in A.small(batches):
             out = []
             for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist()):
                 raw = text.encode()
@@ -336,6 +337,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, group_bytes: int, t
                                 "at": w["at"], "n": w["n"], "o1": 0, "o2": length - gram, "bytes": w["bytes"],
                                 "region": raw[w["start"]:w["start"] + w["n"] - 1 + length]})
             yield pa.RecordBatch.from_pylist(out, schema=region)
+        A.release()
 
     region = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64())
                         for x in (REGION + ", bytes long").split(", ")])
@@ -393,7 +395,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
     touched = bitmap_of(spans.select(F.xxhash64("doc", "th").alias("key")), "key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        A.claimed("suffix_dedup")
+        for batch in A.small(batches):
             out: dict[str, list] = {c: [] for c in types}
             for text_, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 raw = text_.encode()
@@ -413,6 +416,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(out[c], t) for c, t in types.items()), *([batch["row"]] if carry else [])],
                 names=["doc_id", *types, *(["row"] if carry else [])])
+        A.release()
 
     types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(),
              "spans": pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))}
