@@ -164,19 +164,23 @@ class Softmax:
     def train(self, scale: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
         """Gradient steps in place; every weight's step shrinks with its own
         gradients, whose squares ``scale`` sums."""
+        short = rows.astype(np.uint16) if len(self.table) <= 1 << 16 else rows  # sorted by digits
+        pairs = self.part.shape[1] % 2 == 0
         for a in range(0, len(classes), self.block):
-            r, c = rows[a:a + self.block], classes[a:a + self.block]
-            g, total, _ = self.weights(r, c)
-            g /= total[:, None]
+            r, c = short[a:a + self.block], classes[a:a + self.block]
+            g, total, _ = self.weights(rows[a:a + self.block], c)
+            g *= (1.0 / total)[:, None]
             g[np.arange(len(c)), c] -= 1.0
             for k in range(r.shape[1]):
                 order = np.argsort(r[:, k], kind="stable")
                 keys = r[order, k]
                 edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 np.take(g, order, axis=0, out=self.part[:len(c)], mode="clip")
-                sums = np.add.reduceat(self.part[:len(c)], edge, axis=0)
+                # two columns are added as one complex number
+                part = self.part[:len(c)].view(np.complex64) if pairs else self.part[:len(c)]
+                sums = np.add.reduceat(part, edge, axis=0).view(np.float32)
                 which = keys[edge]
-                seen = scale[which]
+                seen = np.take(scale, which, axis=0)
                 seen += sums * sums
                 scale[which] = seen
                 seen += 1.0
@@ -194,12 +198,6 @@ def _decode(batch: pa.RecordBatch):
     return np.concatenate(classes).astype(np.int64), np.concatenate(buckets).astype(np.int64), first
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, len(batch), rows):
-            yield batch.slice(a, rows)
-
-
 def train(encoded: DataFrame, classes: Classes, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(weight table, bias), averaged over the tasks after every round."""
     shape = Weights(classes.size)
@@ -223,7 +221,7 @@ def train(encoded: DataFrame, classes: Classes, rounds: int, rate: float) -> tup
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, scale, tokens = start.copy(), np.zeros_like(start), 0
             softmax = Softmax(own, bias)
-            for batch in _small(batches):
+            for batch in A.small(batches):
                 c, b, first = _decode(batch)
                 softmax.train(scale, shape.features(c, b, first), c, rate)
                 tokens += len(c)
@@ -342,7 +340,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape, softmax = Weights(classes.size), Softmax(table, bias)
-        for batch in _small(batches):
+        for batch in A.small(batches):
             c, b, first = _decode(batch)
             logs = softmax.log_share(shape.features(c, b, first), c)
             sums = np.add.reduceat(logs, first[:-1]) / np.log(10)
