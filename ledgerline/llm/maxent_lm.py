@@ -165,20 +165,17 @@ class Softmax:
         """Gradient steps in place; every weight's step shrinks with its own
         gradients, whose squares ``scale`` sums."""
         short = rows.astype(np.uint16) if len(self.table) <= 1 << 16 else rows  # sorted by digits
-        pairs = self.part.shape[1] % 2 == 0
         for a in range(0, len(classes), self.block):
             r, c = short[a:a + self.block], classes[a:a + self.block]
             g, total, _ = self.weights(rows[a:a + self.block], c)
-            g *= (1.0 / total)[:, None]
+            g /= total[:, None]
             g[np.arange(len(c)), c] -= 1.0
             for k in range(r.shape[1]):
                 order = np.argsort(r[:, k], kind="stable")
                 keys = r[order, k]
                 edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 np.take(g, order, axis=0, out=self.part[:len(c)], mode="clip")
-                # two columns are added as one complex number
-                part = self.part[:len(c)].view(np.complex64) if pairs else self.part[:len(c)]
-                sums = np.add.reduceat(part, edge, axis=0).view(np.float32)
+                sums = np.add.reduceat(self.part[:len(c)], edge, axis=0)
                 which = keys[edge]
                 seen = np.take(scale, which, axis=0)
                 seen += sums * sums

@@ -43,7 +43,7 @@ def test_batches_in_parts_keep_every_row():
 
 def test_training_step_is_the_plain_gradient():
     rng = np.random.default_rng(3)
-    for size in (6, 7):  # an odd number of classes has no pairs of columns
+    for size in (6, 7):
         rows, classes = rng.integers(0, 40, (500, 4)) + np.arange(4) * 40, rng.integers(0, size, 500)
         start = rng.normal(size=(160, size)).astype(np.float32)
         bias = rng.normal(size=size).astype(np.float32)
