@@ -18,6 +18,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..adapter import LINE_KEY
 from ..models import clustering as CM
 from ..models import demand as DM
 from ..models import isoforest as IF
@@ -63,10 +64,26 @@ def built(spark: SparkSession, path: str, build) -> str:
 
 
 def curated_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The master columns with the row order, written once and scanned with pruned columns."""
-    path = built(spark, shared_path(spark, sf_dir, "master"),
-                 lambda p: IO.write_curated(master_from_sf(spark, sf_dir).select(*MASTER_COLUMNS, "line_key"), p))
-    return IO.read_curated(spark, path)
+    """The master columns with the row order, written once and scanned with pruned columns.
+
+    What ``line_key`` repeats of the master's columns is not written again.
+    """
+    key = {f"k{i}": own for i, own in enumerate(LINE_KEY.values(), 1)}
+
+    def build(path):
+        master = master_from_sf(spark, sf_dir)
+        rest = []
+        for part, own in key.items():
+            value = F.col(f"line_key.{part}")
+            if own in MASTER_COLUMNS:  # a struct where the column was filled, else null
+                value = F.when(~value.eqNullSafe(F.col(own)), F.struct(value.alias("value")))
+            rest.append(value.alias(f"__{part}"))
+        IO.write_curated(master.select(*MASTER_COLUMNS, *rest), path, compression="zstd")
+
+    table = IO.read_curated(spark, built(spark, shared_path(spark, sf_dir, "master"), build))
+    parts = [F.when(F.col(f"__{part}").isNotNull(), F.col(f"__{part}.value")).otherwise(F.col(own))
+             if own in MASTER_COLUMNS else F.col(f"__{part}") for part, own in key.items()]
+    return table.select(*MASTER_COLUMNS, F.struct(*(v.alias(part) for v, part in zip(parts, key))).alias("line_key"))
 
 
 def whole_master(spark: SparkSession, sf_dir: str) -> str:

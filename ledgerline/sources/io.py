@@ -87,9 +87,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_curated(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  fmt: str = "parquet", sort_within: list[str] | None = None) -> None:
+                  fmt: str = "parquet", sort_within: list[str] | None = None, compression: str | None = None) -> None:
     """S3: overwrite a curated table (optionally partitioned, K1 sorted
-    within partitions instead of a global sort)."""
+    within partitions instead of a global sort, ``compression`` instead of the
+    format's own)."""
     if partition_by:
         # rows of one partition value meet in a few tasks (large values are
         # split), so a write does not leave a file per task and value
@@ -97,6 +98,8 @@ def write_curated(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

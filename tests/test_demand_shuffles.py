@@ -1,17 +1,20 @@
 """What moves and what is written on the way to the daily demand, the curated master and the segments."""
 
 import datetime as dt
+import os
 import shutil
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 from test_master_shuffles import line_shuffles
 
 from ledgerline.adapter import raw_tables
 from ledgerline.operators import features as feat
-from ledgerline.operators.master import build_master
+from ledgerline.operators.master import MASTER_COLUMNS, build_master
+from ledgerline.plans import artifacts
 from ledgerline.plans.registry import all_queries
 
 
@@ -55,3 +58,16 @@ def test_daily_demand_of_odd_tables_is_that_of_the_plain_master(spark, tmp_path)
     found = all_queries()["demand_daily"].build(spark, path)
     assert plain.count() > 200
     assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+
+
+def test_curated_master_writes_what_the_line_key_repeats_once(spark, tmp_path):
+    path = odd_tables(tmp_path)
+    raw = raw_tables(spark, path)
+    plain = build_master(raw.products, raw.customers, raw.orders).select(*MASTER_COLUMNS, "line_key")
+    found = artifacts.curated_master(spark, path)
+    assert found.schema["line_key"].dataType.simpleString() == plain.schema["line_key"].dataType.simpleString()
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    assert found.where(F.col("line_key.k6").isNull()).count() > 10
+    files = artifacts.shared_path(spark, path, "master")
+    assert "line_key" not in spark.read.parquet(files).columns
+    assert any(f.endswith(".zstd.parquet") for f in os.listdir(files.removeprefix("file:")))
