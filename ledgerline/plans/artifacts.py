@@ -24,7 +24,7 @@ from ..models import demand as DM
 from ..models import isoforest as IF
 from ..operators import features as feat
 from ..operators.master import MASTER_COLUMNS, master_from_sf
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import io as IO
 
 
@@ -119,7 +119,8 @@ def forest_artifact(spark: SparkSession, sf_dir: str):
 def segment_artifact(spark: SparkSession, sf_dir: str):
     """The segmentation model and the customers with their cluster."""
     def build(path):
-        customers = feat.customer_features(curated_master(spark, sf_dir))
+        # read several times, aggregated once
+        customers = stored(feat.customer_features(curated_master(spark, sf_dir)))
         model = CM.fit(customers, k=3, n_init=20, seed=42)
         model.save(spark, path)
         model.predict(customers).write.mode("overwrite").parquet(f"{path}-segments")

@@ -71,3 +71,16 @@ def test_curated_master_writes_what_the_line_key_repeats_once(spark, tmp_path):
     files = artifacts.shared_path(spark, path, "master")
     assert "line_key" not in spark.read.parquet(files).columns
     assert any(f.endswith(".zstd.parquet") for f in os.listdir(files.removeprefix("file:")))
+
+
+def test_customers_of_the_segments_are_aggregated_once(spark, tmp_path, monkeypatch):
+    plans = []
+    fit = artifacts.CM.fit
+
+    def seen(customers, **more):
+        plans.append(customers._jdf.queryExecution().executedPlan().toString())
+        return fit(customers, **more)
+
+    monkeypatch.setattr(artifacts.CM, "fit", seen)
+    artifacts.segment_artifact(spark, odd_tables(tmp_path))
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
