@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ from . import arrays as A
 from .bitmaps import among, bitmap_of
 
 SLICE = 1 << 18  # bytes of text that a pass looks at
+INDEX = 1 << 18  # bytes of regions that are sorted at a time, or else one key's
 ANCHOR = "h long, fp long, start long, n long, at long"
 
 
@@ -164,6 +166,26 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a:b - 1]) for a, b in zip(edge, edge[1:])]
 
 
+def repeated_by_key(keys: np.ndarray, regions: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, repeated starts) of every region; equal strings have one key.
+
+    Whole keys are indexed together up to ``INDEX`` bytes, so that the memory
+    does not follow the regions of a task.
+    """
+    order = np.argsort(keys, kind="stable")
+    sizes = np.cumsum(pc.binary_length(regions).to_numpy(zero_copy_only=False)[order])
+    past = np.flatnonzero(np.diff(keys[order], append=0) != 0) + 1 if len(order) else order
+    past = np.append(past[past < len(order)], len(order))  # where a key's rows end
+    at = 0
+    while at < len(order):
+        before = sizes[at - 1] if at else 0
+        fits = past[(past > at) & (sizes[past - 1] <= before + INDEX)]
+        end = int(fits[-1]) if len(fits) else int(past[np.searchsorted(past, at, "right")])
+        rows = order[at:end]
+        yield from zip(rows.tolist(), repeated_starts(regions.take(pa.array(rows)).to_pylist(), length))
+        at = end
+
+
 def runs_of(places: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs (first, last) of sorted places."""
     if not len(places):
@@ -209,20 +231,22 @@ def _index(mixed: DataFrame, cut, length: int, group_bytes: int, task_bytes: int
                         "at": r["at"] - a, "n": b - a + 1, "o1": x1, "o2": x2, "region": part})
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
-    def match(key, table):
-        got = repeated_starts(table["region"].to_pylist(), length)
+    def match(_, table):
+        A.claimed("suffix_dedup")
+        keys, h, fp, c, shift = (table[x].to_numpy() for x in ("key", "h", "fp", "c", "shift"))
         out: list[list] = [[], [], [], []]
-        for h, fp, c, shift, places in zip(*(table[x].to_pylist() for x in ("h", "fp", "c", "shift")), got):
-            if c == 1:  # the others are repeated whole
+        for i, places in repeated_by_key(keys, table["region"].combine_chunks(), length):
+            if c[i] == 1:  # the others are repeated whole
                 for a, b in runs_of(places):
-                    for column, value in zip(out, (h, fp, shift + a, shift + b)):
+                    for column, value in zip(out, (h[i], fp[i], shift[i] + a, shift[i] + b)):
                         column.append(value)
+        A.release()
         return pa.table({x: pa.array(v, pa.int64()) for x, v in zip(("h", "fp", "a", "b"), out)})
 
     def indexed(rows: DataFrame, total: int) -> DataFrame:
         tasks = max(1, -(-total // task_bytes))
         return (rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-                .select("task", "h", "fp", "c", "shift", "region").groupBy("task")
+                .select("task", "key", "h", "fp", "c", "shift", "region").groupBy("task")
                 .applyInArrow(match, "h long, fp long, a long, b long"))
 
     # in the first round every group is known to hold several regions, and
@@ -282,7 +306,10 @@ def _repeated_hashes(texts: DataFrame, length: int, gram: int, bucket_bytes: int
 
     def twice(key, table):
         h, n = np.unique(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64), return_counts=True)
-        return pa.table({"h": pa.array(h[n > 1].view(np.int64))})
+        h = h[n > 1]
+        del n
+        A.release()
+        return pa.table({"h": pa.array(h.view(np.int64))})
 
     return checkpointed(texts.select("text").mapInArrow(collect, "bucket int, hashes binary").groupBy("bucket")
                         .applyInArrow(twice, "h long"))
