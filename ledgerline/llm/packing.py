@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
+SLICE = 1 << 19  # bytes of text that a task looks at
+WORDS = 1 << 12  # words that the library encodes at a time: it takes about a kilobyte for each
+
 
 class WordTokenizer:
     """Ids of white-space separated words by a ``tokenizers`` file.
@@ -51,10 +54,13 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
 
     def describe(self, spans: list[bytes]) -> list[A.Ragged]:
-        coded = self.tokenizer.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return [A.Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)]
+        flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for a in range(0, len(spans), WORDS):
+            coded = self.tokenizer.encode_batch_fast([s.decode() for s in spans[a:a + WORDS]], add_special_tokens=False)
+            ids = [c.ids for c in coded]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        return [A.Ragged(np.concatenate(flat), np.concatenate(lengths))]
 
 
 def tokenise(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -65,7 +71,7 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         words = A.per_worker(("words", vocabulary), lambda: WordTokenizer(vocabulary))
         table = A.per_worker(("words spans", vocabulary), lambda: A.SpanTable(words.describe, limit=1_000_000))
         blanks = A.byte_mask(A.BLANKS)
-        for rows, buf, off in A.slices(batches, "text"):
+        for rows, buf, off in A.slices(batches, "text", SLICE):
             s, e = A.word_spans(buf, blanks)
             which, (ids,) = table.find(buf, s, e)
             taken = ids.take(which)

@@ -58,3 +58,26 @@ def test_training_step_is_the_plain_gradient():
             np.add.at(sums, rows[:, k], g)
             plain -= 0.15 * sums / np.sqrt(1 + sums * sums)
         assert np.abs(model.table - plain).max() < 1e-4
+
+
+def test_words_are_encoded_a_few_at_a_time():
+    peak, wrong = _alone('''
+import random
+import public_tokenizers
+from ledgerline.llm import packing as P
+def mb(name):
+    return int([l for l in open("/proc/self/status") if l.startswith(name)][0].split()[1]) / 1e3
+w = P.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+r = random.Random(1)
+words = sorted({"".join(r.choices("abcdefgh", k=r.randint(4, 12))).encode() for _ in range(120_000)})
+start = mb("VmRSS")
+ids, = w.describe(words)
+peak = mb("VmHWM") - start
+at, wrong = 0, len(words) != len(ids.lengths)
+for word, n in list(zip(words, ids.lengths.tolist()))[:9_000]:
+    wrong += w.tokenizer.encode(word.decode(), add_special_tokens=False).ids != ids.flat[at:at + n].tolist()
+    at += n
+wrong += len(w.describe([])[0].lengths)
+print(peak, wrong)
+''')
+    assert peak < 60 and not wrong
