@@ -75,16 +75,15 @@ def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUSTOMER_SIDE = "__customer_"
 
 
-def orders_table(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+def orders_table(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None, named: bool = True) -> DataFrame:
     """The order table, one row per line.
 
     ``customers`` (with ``customer_id``) are left-joined by the way, their columns
     named ``CUSTOMER_SIDE`` + name: they meet the orders before the lines do, so
     no shuffle by customer moves a line.  ``line_key`` is then taken apart
-    (``LINE_KEY``), for most of it stands in other columns of the line, and
-    ``region`` is the key of the supplier's nation, for ``nation_regions``.  Of a
+    (``LINE_KEY``), for most of it stands in other columns of the line.  Of a
     supplier only its nation's key goes through the join, whose size the planner
-    can tell.
+    can tell; unless ``named``, it stands for ``region``, for ``nation_regions``.
     """
     li = read(spark, sf_dir, "lineitem")
     o = read(spark, sf_dir, "orders").select(
@@ -96,7 +95,7 @@ def orders_table(spark: SparkSession, sf_dir: str, customers: DataFrame | None =
         more = [*(F.col(raw).alias(own) for raw, own in LINE_KEY.items() if own.startswith("__")), *c.columns]
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"))
     j = li.join(s, li.l_suppkey == s.s_suppkey, "left")
-    if customers is None:
+    if named:
         nr = nation_regions(spark, sf_dir)
         j = j.join(F.broadcast(nr), j.region == nr.n_nationkey, "left").drop("region").withColumnRenamed("r_name", "region")
     j = j.withColumn("l_returnflag", (F.col("l_returnflag") == "R").cast("int")).join(o, li.l_orderkey == o.o_orderkey)
