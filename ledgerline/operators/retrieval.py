@@ -9,7 +9,7 @@ Search plan (exact, no pair rows, no cross join):
   the per-block top-k.  Memory per task is bounded by the block sizes;
   total work is the inherent queries x store of exact search.
   Bags of hashed tokens (:func:`search_bags`) travel as bucket lists and are
-  scored by posting lists that skip what cannot reach the top-k.
+  scored in groups of similar rows; groups that cannot reach the top-k are skipped.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ from ..functions.text import (CHUNK_OVERLAP_WORDS, CHUNK_SIZE_WORDS, EMBED_BATCH
                               MIN_SCORE, TOP_K, chunk_text, knowledge_text, prepare_text,
                               words)
 from ..functions.vectors import DEFAULT_DIM, hash_embedding, token_buckets
-from ..session import stored
+from ..session import MOST_APART, keys_apart, stored
 from .postings import Postings
 
 STORE_COLUMNS = ["id", "product_id", "product_name", "category", "brand", "content",
@@ -153,22 +155,21 @@ def _score_block_fn(k: int, min_score: float, q_key: list[str], s_cols: list[str
     return score
 
 
+def _tokens(lists: pa.ChunkedArray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, row, bucket) of every token of a column of bucket lists (null: none)."""
+    lists = lists.combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return len(lists), row, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _score_bags_fn(k: int, dim: int, q_key: list[str], s_order: list[str]):
-    def score(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
-        spdf = spdf.sort_values(s_order, kind="stable").reset_index(drop=True)
-        lists = Postings(spdf["svec"], dim)
-        q_at, s_at, raw = [], [], []
-        for i, buckets in enumerate(qpdf["qvec"]):
-            own = np.asarray(buckets, np.int64) if buckets is not None else np.empty(0, np.int64)
-            rows, scores = lists.top(own, k)
-            best = np.argsort(-np.floor(scores * 1e4 + 0.5), kind="stable")[:k]
-            q_at.append(np.full(len(best), i))
-            s_at.append(rows[best])
-            raw.append(scores[best])
-        q_at, s_at = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (q_at, s_at))
-        raw = np.concatenate([*raw, np.empty(0)])
-        out = {c: qpdf[c].to_numpy()[q_at] for c in q_key} | {c: spdf[c].to_numpy()[s_at] for c in s_order}
-        return pd.DataFrame(out | {"raw_score": raw, "score": np.floor(raw * 1e4 + 0.5) / 1e4})
+    def score(questions: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in s_order]))
+        found = list(Postings(_tokens(rows["svec"]), dim).top_all(*_tokens(questions["qvec"]), k))
+        q_at, s_at, raw = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(
+            zip(*found) if found else ((), (), ()), (np.int64, np.int64, float)))
+        columns = {c: questions[c].take(q_at) for c in q_key} | {c: rows[c].take(s_at) for c in s_order}
+        return pa.table(columns | {"raw_score": raw, "score": np.floor(raw * 1e4 + 0.5) / 1e4})
     return score
 
 
@@ -178,12 +179,13 @@ def search_bags(questions: DataFrame, q_key: list[str], q_bag: str, store: DataF
     """:func:`search` over bags of hashed tokens (``array<int>`` of buckets).
 
     Same rows as over the dense count vectors of ``dim`` places: the products
-    are exact integers.  Only rows that hold a bucket of the question and may
-    still reach its top-k are scored.  The store is evaluated more than once:
+    are exact integers.  Only groups of rows that may still reach a question's
+    top-k are scored.  Blocks are larger than for :func:`search`, as the rows
+    travel once for every block of questions and bags are short.  The store is evaluated more than once:
     pass a table.
     """
     return search(questions, q_key, q_bag, store, s_bag, s_order, k, min_score,
-                  **({"s_block": 32_768} | blocks), block_fn=_score_bags_fn(max(1, int(k or TOP_K)), dim, q_key, s_order or ["id"]))
+                  **({"q_block": 1 << 17, "s_block": 1 << 16} | blocks), block_fn=_score_bags_fn(max(1, int(k or TOP_K)), dim, q_key, s_order or ["id"]))
 
 
 def bag_column(df: DataFrame, text: str, out: str = "buckets", dim: int = DEFAULT_DIM) -> DataFrame:
@@ -240,8 +242,17 @@ def search(questions: DataFrame, q_key: list[str], q_vec: str, store: DataFrame,
         [T.StructField(c, qschema[c]) for c in q_key]
         + [T.StructField(c, sschema[c]) for c in s_order]
         + [T.StructField("raw_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    fn = block_fn or _score_block_fn(k, min_score, q_key, s_order, s_order)
-    partial = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(fn, out_schema)
+    keys = ["qb", "sb"]
+    if qb_n * sb_n <= MOST_APART:  # one pair of blocks a task
+        names = F.array(*map(F.lit, keys_apart(store.sparkSession, qb_n * sb_n)))
+        q, s = (x.withColumn("task", names[(F.col("qb") * sb_n + F.col("sb")).cast("int")])
+                .repartition(qb_n * sb_n, "task") for x in (q, s))
+        keys = ["task"]
+    pairs = q.groupBy(*keys).cogroup(s.groupBy(*keys))
+    if block_fn:
+        partial = pairs.applyInArrow(block_fn, out_schema)
+    else:
+        partial = pairs.applyInPandas(_score_block_fn(k, min_score, q_key, s_order, s_order), out_schema)
 
     w = Window.partitionBy(*q_key).orderBy(F.desc("score"), *[F.asc(c) for c in s_order])
     top = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
