@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -86,12 +88,33 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns(nested) if nested else df
 
 
+MOST_OPEN = 32  # files that a task writes at once; rows of further partition values are sorted first
+
+
+@contextmanager
+def _open_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """Tasks write up to ``n`` partition values without sorting their rows by them, if any."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    if n:
+        spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        if n:
+            spark.conf.set(name, before)
+
+
 def write_curated(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  fmt: str = "parquet", sort_within: list[str] | None = None, compression: str | None = None) -> None:
+                  fmt: str = "parquet", sort_within: list[str] | None = None, compression: str | None = None,
+                  in_place: bool = False) -> None:
     """S3: overwrite a curated table (optionally partitioned, K1 sorted
     within partitions instead of a global sort, ``compression`` instead of the
-    format's own)."""
-    if partition_by:
+    format's own).
+
+    ``in_place`` leaves the rows where they are: for few partition values, of
+    which every task then writes one file each, all of them open at once."""
+    if partition_by and not in_place:
         # rows of one partition value meet in a few tasks (large values are
         # split), so a write does not leave a file per task and value
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
@@ -102,11 +125,12 @@ def write_curated(df: DataFrame, path: str, partition_by: list[str] | None = Non
         w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        _flat(df).write.mode("overwrite").partitionBy(*(partition_by or [])).option("header", True) \
-            .option("escape", '"').csv(path)
-    else:
-        w.format(fmt).save(path)
+    with _open_files(df.sparkSession, MOST_OPEN if in_place else 0):
+        if fmt == "csv":
+            _flat(df).write.mode("overwrite").partitionBy(*(partition_by or [])).option("header", True) \
+                .option("escape", '"').csv(path)
+        else:
+            w.format(fmt).save(path)
 
 
 def read_curated(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
