@@ -1,9 +1,13 @@
-"""What is moved and written for the partitioned master."""
+"""What is moved and written for the partitioned master and for the training rows of the demand."""
 import os
 
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
+from test_demand_shuffles import odd_tables
+from test_master_shuffles import line_shuffles
 
+from ledgerline.models import demand as DM
+from ledgerline.operators import features as feat
 from ledgerline.operators.master import MASTER_COLUMNS, master_from_sf
 from ledgerline.plans.registry import all_queries
 from ledgerline.sources import io as IO
@@ -43,3 +47,14 @@ def test_partitioned_master_is_not_dealt_by_year(spark, monkeypatch):
     assert all(f.endswith(".zstd.parquet") for f in files_of(path))
     plain = plain.select(*MASTER_COLUMNS)
     assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+
+
+def test_training_rows_move_lines_by_product_once(spark, tmp_path, monkeypatch):
+    path = odd_tables(tmp_path)
+    want = DM.train_rows(feat.demand_features(master_from_sf(spark, path)))
+    found = all_queries()["demand_train_rows"].build(spark, path)
+    assert found.columns == want.columns and want.count() > 200
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    monkeypatch.setattr(DM, "train_rows", lambda demand: demand)
+    moved = line_shuffles(all_queries()["demand_train_rows"].build(spark, path))
+    assert moved and not any("order_date" in keys for keys in moved)
